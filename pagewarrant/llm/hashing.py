@@ -100,7 +100,7 @@ def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def chunks(offsets: np.ndarray, most: int = 2_000_000):
+def chunks(offsets: np.ndarray, most: int = 500_000):
     """Ranges of rows that hold about ``most`` bytes; a longer row stands alone."""
     start, n = 0, len(offsets) - 1
     while start < n:

@@ -10,29 +10,22 @@ suffixes before it along their pointers.  No recursion and no renaming.
 Many short texts are sorted at once: every array has a row per text, and each
 step handles the current group of all texts.
 
-Spark brings equal windows together (``repeats``): distinct repeated segments
-are cut into runs of windows with one name, and a name's distinct runs are one
-text for the sorter.  Runs of a name with more than ``MANY`` distinct contents
-meet by their exact windows in a plain aggregation instead, so that no group
-outgrows a task.
+Spark brings equal windows together (``repeats``): the distinct runs of windows
+with one name are one text for the sorter.  A name with more than ``MANY``
+distinct runs is compared by exact windows instead.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import hashing as H
-from .repeats import remove_repeats
-from .session import partitions
+from .repeats import HOT_BATCHES, remove_repeats
 
 SIZE = 50
 #: Distinct contents of a name up to which they are sorted as one text.
-MANY = 64
-#: Windows of a run at most; longer runs (periodic text) are cut.
-RUN = 64
+MANY = 16
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,149 +175,65 @@ def suffix_array(text: bytes) -> np.ndarray:
     return suffix_arrays(np.frombuffer(text, np.uint8).astype(np.int64)[None, :] + 1)[0]
 
 
-def equal_windows(texts: list[list[bytes]], size: int = SIZE) -> list[np.ndarray]:
-    """For each list of byte strings: class numbers of all their windows, string by string.
-
-    The strings of a list are sorted as one text; neighbours in the suffix array
-    that agree in ``size`` bytes are in one class.
-    """
-    out: list[np.ndarray] = [None] * len(texts)
-    joined = [b"".join(x) for x in texts]
-    by_length = sorted(range(len(texts)), key=lambda i: len(joined[i]))
-    at = 0
-    while at < len(by_length):
-        end, most = at, max(64, int(len(joined[by_length[at]]) * 1.15))
-        while end < len(by_length) and len(joined[by_length[end]]) <= most and (end - at + 1) * most <= 600_000:
-            end += 1
-        end = max(end, at + 1)
-        part = by_length[at:end]
-        n = max(len(joined[i]) for i in part)
-        grid = np.ones((len(part), n + size), np.int64)
-        usable = np.zeros((len(part), n), bool)
-        for r, i in enumerate(part):
-            grid[r, : len(joined[i])] = np.frombuffer(joined[i], np.uint8)
-            grid[r, : len(joined[i])] += 2
-            k = 0
-            for x in texts[i]:
-                usable[r, k : k + len(x) - size + 1] = True
-                k += len(x)
-        order = suffix_arrays(grid[:, :n])
-        row = np.repeat(np.arange(len(part)), n)
-        order = order.ravel()
-        keep = usable[row, order]
-        row, order = row[keep], order[keep]
-        same = np.zeros(len(order), bool)
-        pair = np.flatnonzero(row[1:] == row[:-1]) + 1
-        for x in range(0, len(pair), 20_000):
-            p = pair[x : x + 20_000]
+def equal_windows(size: int):
+    """Class numbers of windows, for ``repeats.remove_repeats``: the distinct runs of a name are sorted as one text."""
+
+    def classes(contents: list[bytes], names: np.ndarray) -> list[np.ndarray]:
+        lengths = np.array([len(c) for c in contents])
+        first = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+        n_runs = np.diff(np.r_[first, len(names)])
+        total = np.add.reduceat(lengths, first)
+        out: list[np.ndarray] = [None] * len(contents)
+        base = 0
+        by_length = np.argsort(total, kind="stable")
+        few = by_length[n_runs[by_length] <= MANY]
+        at = 0
+        while at < len(few):
+            end, most = at + 1, max(192, int(total[few[at]] * 1.4))
+            end = max(end, min(int(np.searchsorted(total[few], most, "right")), at + max(1, 1_500_000 // most)))
+            groups = few[at:end]
+            runs, row = _spread(first[groups], n_runs[groups])
+            n = int(total[groups].max())
+            own = lengths[runs]
+            within = np.cumsum(own) - own - np.repeat((np.cumsum(total[groups]) - total[groups]), n_runs[groups])
+            column, which = _spread(within, own)
+            grid = np.ones((len(groups), n + size), np.int64)
+            grid[row[which], column] = np.frombuffer(b"".join([contents[i] for i in runs.tolist()]), np.uint8).astype(np.int64) + 2
+            place = np.full((len(groups), n), -1, np.int64)  # which window of the call, for usable starts
+            windows = own - size + 1
+            column, which = _spread(within, windows)
+            place[row[which], column] = np.arange(len(which))
+            order = suffix_arrays(grid[:, :n]).ravel()
+            line = np.repeat(np.arange(len(groups)), n)
+            keep = place[line, order] >= 0
+            line, order = line[keep], order[keep]
+            same = np.zeros(len(order), bool)
+            pair = np.flatnonzero(line[1:] == line[:-1]) + 1
             span = np.arange(size)
-            same[p] = (grid[row[p][:, None], order[p][:, None] + span] == grid[row[p - 1][:, None], order[p - 1][:, None] + span]).all(1)
-        classes = np.empty(usable.shape, np.int64)
-        classes[row, order] = np.cumsum(~same)
-        for r, i in enumerate(part):
-            out[i] = classes[r][usable[r]]
-        at = end
-    return out
-
-
-_RUNS = "name long, segment binary, at int, least long, content binary"
-
-
-def _runs(spec):
-    schema = pa.schema([("name", pa.int64()), ("segment", pa.binary()), ("at", pa.int32()), ("least", pa.int64()), ("content", pa.binary())])
-
-    def runs(batches):
-        for batch in batches:
-            buf, off = H.column_bytes(batch.column("payload"))
-            segments, least = batch.column("segment").to_pylist(), batch.column("least").to_numpy()
-            for x, y in H.chunks(off):
-                part, at = buf[off[x] : off[y]], off[x : y + 1] - off[x]
-                raw = part.tobytes()
-                values, units, _ = spec.units(part, at)
-                starts, ends, names = H.window_runs(spec, values, units)
-                pieces = (ends - starts + RUN - 1) // RUN
-                offset, which = _spread(np.zeros(len(pieces), np.int64), pieces)
-                starts, ends, names = starts[which] + offset * RUN, np.minimum(ends[which], starts[which] + (offset + 1) * RUN), names[which]
-                owner = np.searchsorted(units, starts, "right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(names.view(np.int64)),
-                        pa.array([segments[x + i] for i in owner.tolist()], pa.binary()),
-                        pa.array((starts - units[owner]).astype(np.int32)),
-                        pa.array(least[x + owner]),
-                        pa.array([raw[a : b + spec.size - 1] for a, b in zip(starts.tolist(), ends.tolist())], pa.binary()),
-                    ],
-                    schema=schema,
-                )
-
-    return runs
-
-
-def _sort_bucket(size: int):
-    schema = pa.schema([("segment", pa.binary()), ("start", pa.int32()), ("end", pa.int32())])
-
-    def sort_bucket(table: pa.Table) -> pa.Table:
-        frame = table.to_pandas()
-        out = {f.name: [] for f in schema}
-        groups, texts, exact = [], [], []
-        for _, rows in frame.groupby("name", sort=False):
-            least = rows["least"].to_numpy()
-            if len(rows) == 1 or (least == least[0]).all():
-                continue  # nothing has a smaller id
-            content, which = np.unique(rows["content"].to_numpy(), return_inverse=True)
-            groups.append((rows["segment"].to_numpy(), rows["at"].to_numpy(), least, content, which))
-            texts.append(content.tolist())
-        short = [i for i, x in enumerate(texts) if len(x) <= MANY]
-        classes = dict(zip(short, equal_windows([texts[i] for i in short], size)))
-        for i, (segment, at, least, content, which) in enumerate(groups):
-            lengths = np.array([len(x) - size + 1 for x in content])
-            if i in classes:
-                own = classes[i]
-            else:
-                windows = [x[k : k + size] for x in content for k in range(len(x) - size + 1)]
-                own = np.unique(np.array(windows, object), return_inverse=True)[1]
-            begins = np.cumsum(lengths) - lengths
-            by_content = np.full(len(content), np.iinfo(np.int64).max)
-            np.minimum.at(by_content, which, least)
-            _, own = np.unique(own, return_inverse=True)
-            by_class = np.full(own.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(by_class, own, np.repeat(by_content, lengths))
-            for s, a, m, c in zip(segment, at.tolist(), least.tolist(), which.tolist()):
-                smaller = by_class[own[begins[c] : begins[c] + lengths[c]]] < m
-                if smaller.any():
-                    edge = np.flatnonzero(np.diff(np.r_[False, smaller, False].astype(np.int8)))
-                    for k in range(0, len(edge), 2):
-                        out["segment"].append(s)
-                        out["start"].append(a + int(edge[k]))
-                        out["end"].append(a + int(edge[k + 1]))
-        return pa.table([pa.array(out[f.name], f.type) for f in schema], schema=schema)
-
-    return sort_bucket
-
-
-def resolve_by_suffixes(spec):
-    """Resolver for ``remove_repeats``: windows of distinct segments that smaller ids have too."""
-
-    def resolve(distinct: DataFrame) -> DataFrame:
-        spark = distinct.sparkSession
-        n = partitions(spark, 4)
-        runs = distinct.select("segment", "least", "payload").mapInArrow(_runs(spec), _RUNS).repartition(partitions(spark))
-        count = runs.groupBy("name").agg(F.count("*").alias("n_runs")).where(F.col("n_runs") > 1)
-        runs = runs.join(count, "name")
-        few = runs.where(F.col("n_runs") <= 16 * MANY).withColumn("bucket", F.pmod("name", F.lit(n)).cast("int"))
-        sorted_ = few.select("bucket", "name", "segment", "at", "least", "content").groupBy("bucket").applyInArrow(_sort_bucket(spec.size), "segment binary, start int, end int")
-        # names with very many runs: exact windows, combined before the shuffle
-        windows = runs.where(F.col("n_runs") > 16 * MANY).select(
-            "segment", "at", "least", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("content") - (spec.size - 1)), lambda k: F.substring("content", k, spec.size))).alias("k", "window")
-        )
-        smallest = windows.groupBy("window").agg(F.min("least").alias("smallest"))
-        exact = windows.join(smallest, "window").where("smallest < least").select("segment", (F.col("at") + F.col("k")).cast("int").alias("start"), (F.col("at") + F.col("k") + 1).cast("int").alias("end"))
-        return sorted_.unionByName(exact).groupBy("segment").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-
-    return resolve
-
-
-def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, with_text: bool = False) -> DataFrame:
+            # the first and last bytes settle most neighbours
+            for probe in (size - 1, size // 2, 0):
+                pair = pair[grid[line[pair], order[pair] + probe] == grid[line[pair - 1], order[pair - 1] + probe]]
+            for x in range(0, len(pair), 20_000):
+                p = pair[x : x + 20_000]
+                same[p] = (grid[line[p][:, None], order[p][:, None] + span] == grid[line[p - 1][:, None], order[p - 1][:, None] + span]).all(1)
+            number = np.empty(len(order), np.int64)
+            number[place[line, order]] = base + np.cumsum(~same)
+            base += len(order) + 1
+            for i, part in zip(runs.tolist(), np.split(number, np.cumsum(windows)[:-1])):
+                out[i] = part
+            at = end
+        for g in by_length[n_runs[by_length] > MANY].tolist():
+            seen: dict[bytes, int] = {}
+            for i in range(first[g], first[g] + n_runs[g]):
+                c = contents[i]
+                out[i] = base + np.array([seen.setdefault(c[k : k + size], len(seen)) for k in range(len(c) - size + 1)])
+            base += len(seen)
+        return out
+
+    return classes
+
+
+def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, with_text: bool = False, hot_batches: int = HOT_BATCHES) -> DataFrame:
     """Cut every byte that a ``size``-byte string covers which also starts in a document with a smaller id.
 
     Returns one row per row of ``docs`` with ``_k_id`` (its id), ``_k_row``
@@ -337,4 +246,4 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     one document and do not cut each other; an empty table gives no rows.
     """
     spec = H.ByteWindows(size, max(1, min(24, size - 1)))
-    return remove_repeats(docs, spec, resolve_by_suffixes(spec), id_col, text_col, with_text)
+    return remove_repeats(docs, spec, equal_windows(size), id_col, text_col, with_text, hot_batches)

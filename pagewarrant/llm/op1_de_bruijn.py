@@ -1,114 +1,72 @@
-"""Substring deduplication over a compacted De Bruijn graph of word windows.
-
-An edge of the graph is a window of ``size`` words, its nodes are the two
-windows of one word less.  Edges come from the distinct repeated segments of
-the corpus (``repeats``).  An aggregation finds for each edge whether one edge
-follows and one edge precedes it wherever it occurs; joined back to the edges
-in segment order, unbranched stretches compact into paths.  A path's source
-coordinates (segment, first window, number of windows) give its words; paths
-whose words agree (128-bit digest) are the same, and the smallest document id
-among them decides which occurrences go.
+"""Substring deduplication over compacted De Bruijn graphs of word windows.
+
+An edge of the graph is a window of ``size`` words; the nodes it joins are its
+first and its last ``size - 1`` words.  Spark's exchanges (``repeats``) bring
+the edges of all documents that share a name together, in the order of their
+source texts.  There, an edge that has the same single edge after it and before
+it wherever it occurs continues a path; other edges start one.  Compacted paths
+are found again at each source coordinate by their head edge and length, their
+words are compared in full, and the smallest id among equal paths decides which
+occurrences go.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+import numpy as np
+from pyspark.sql import DataFrame
 
 from . import hashing as H
-from .repeats import remove_repeats
-from .session import partitions
+from .repeats import HOT_BATCHES, remove_repeats
 
 SIZE = 13
 
 
-def _edges(size: int):
-    schema = pa.schema([("segment", pa.binary()), ("least", pa.int64()), ("at", pa.int32()), ("edge", pa.int64()), ("before", pa.int64()), ("after", pa.int64())])
-
-    def edges(batches):
-        for batch in batches:
-            buf, off = H.column_bytes(batch.column("payload"))
-            segments, least = batch.column("segment").to_pylist(), batch.column("least").to_numpy()
-            for x, y in H.chunks(off):
-                _, _, hashes, units = H.words(buf[off[x] : off[y]], off[x : y + 1] - off[x], ~H.SPACE)
-                edge = H.gram_hashes(hashes, size).view("int64")
-                for i in range(x, y):
-                    a, b = int(units[i - x]), int(units[i - x + 1]) - size + 1
-                    own = edge[a:b]
-                    n = len(own)
-                    if not n:
-                        continue
-                    none = pa.nulls(1, pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([segments[i]] * n, pa.binary()),
-                            pa.array([least[i]] * n, pa.int64()),
-                            pa.array(range(n), pa.int32()),
-                            pa.array(own),
-                            pa.concat_arrays([none, pa.array(own[:-1])]),
-                            pa.concat_arrays([pa.array(own[1:]), none]),
-                        ],
-                        schema=schema,
-                    )
-
-    return edges
-
-
-def _pack(batches, rows: int = 20_000):
-    """Fewer, larger record batches."""
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= rows:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, n = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
-def resolve_by_paths(size: int):
-    """Resolver for ``remove_repeats``: path compaction in joins and windows."""
-    one = _edges(size)
-
-    def resolve(distinct: DataFrame) -> DataFrame:
-        spark = distinct.sparkSession
-        distinct = distinct.select("segment", "least", "payload")
-        edges = distinct.mapInArrow(lambda it: _pack(one(it)), "segment binary, least long, at int, edge long, before long, after long")
-        edges = edges.repartition(partitions(spark))  # one exchange for both readers
-        # an end of a segment counts as a branch: paths may only be cut finer
-        shape = edges.groupBy("edge").agg(
-            (F.count("*") == F.count("after")).alias("runs_on"),
-            F.min("after").alias("a0"),
-            F.max("after").alias("a1"),
-            F.min("before").alias("b0"),
-            F.max("before").alias("b1"),
-            (F.count("*") == F.count("before")).alias("led_to"),
-        )
-        shape = shape.select("edge", (F.col("runs_on") & (F.col("a0") == F.col("a1"))).alias("one_after"), (F.col("led_to") & (F.col("b0") == F.col("b1"))).alias("one_before"))
-        in_segment = Window.partitionBy("segment").orderBy("at")
-        placed = (
-            edges.select("segment", "least", "at", "edge")
-            .join(shape, "edge")
-            .withColumn("starts", ~(F.coalesce(F.col("one_before"), F.lit(False)) & F.coalesce(F.lag("one_after").over(in_segment), F.lit(False))))
-            .withColumn("path", F.sum(F.col("starts").cast("int")).over(in_segment))
-        )
-        paths = placed.groupBy("segment", "path").agg(F.min("least").alias("least"), F.min("at").alias("start"), F.count("*").cast("int").alias("n"))
-        text = distinct.select("segment", F.split(F.col("payload").cast("string"), " ").alias("w"))
-        paths = paths.join(text, "segment").select("segment", "least", "start", "n", F.unhex(F.md5(F.array_join(F.slice("w", F.col("start") + 1, F.col("n") + size - 1), " ").cast("binary"))).alias("content"))
-        smallest = paths.groupBy("content", "n").agg(F.min("least").alias("smallest"))
-        return (
-            paths.join(smallest, ["content", "n"])
-            .where("smallest < least")
-            .groupBy("segment")
-            .agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("end"))).alias("ranges"))
-        )
-
-    return resolve
-
-
-def de_bruijn_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, with_text: bool = False) -> DataFrame:
+def _alone(edges: np.ndarray, others: np.ndarray, n_edges: int) -> np.ndarray:
+    """Edges that always have the same neighbour; -1 stands for none, which is a branch."""
+    least, most = np.full(n_edges, np.iinfo(np.int64).max), np.full(n_edges, -2)
+    np.minimum.at(least, edges, others)
+    np.maximum.at(most, edges, others)
+    return (least == most) & (least >= 0)
+
+
+def path_classes(size: int):
+    """Class numbers of word windows, for ``repeats.remove_repeats``: (compacted path, place in it)."""
+
+    def classes(contents: list[bytes], names: np.ndarray) -> list[np.ndarray]:
+        words = [c.split(b" ") for c in contents]
+        buf = np.frombuffer(b"\n".join(contents) + b"\n", np.uint8)
+        off = np.cumsum([0] + [len(c) + 1 for c in contents])
+        _, _, hashes, units = H.words(buf, off, ~H.SPACE)
+        count = np.diff(units) - size + 1
+        run = np.repeat(np.arange(len(contents)), count)
+        place = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+        found, edge = np.unique(H.gram_hashes(hashes, size)[units[run] + place], return_inverse=True)
+        first, last = place == 0, np.r_[place[1:] == 0, True]
+        after = np.where(last, -1, np.r_[edge[1:], -1])
+        before = np.where(first, -1, np.r_[-1, edge[:-1]])
+        one_after, one_before = _alone(edge, after, len(found)), _alone(edge, before, len(found))
+        # a path starts where the edge before branches or this one can be reached otherwise
+        starts = first | ~one_before[edge] | ~one_after[np.where(first, 0, before)]
+        head = np.flatnonzero(starts)
+        length = np.diff(np.r_[head, len(run)])
+        # source coordinates give a path's words
+        seen: dict[tuple, int] = {}
+        number = np.empty(len(head), np.int64)
+        total = 0
+        for k, (r, p, n) in enumerate(zip(run[head].tolist(), place[head].tolist(), length.tolist())):
+            key = tuple(words[r][p : p + n + size - 1])
+            got = seen.get(key)
+            if got is None:
+                got = seen[key] = total
+                total += n
+            number[k] = got
+        flat = np.repeat(number, length) + np.arange(len(run)) - np.repeat(head, length)
+        return np.split(flat, np.cumsum(count)[:-1])
+
+    return classes
+
+
+def de_bruijn_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, with_text: bool = False, hot_batches: int = HOT_BATCHES) -> DataFrame:
     """Cut every word that a ``size``-word window covers which also starts in a document with a smaller id.
 
     Words are maximal runs of bytes other than space and \\t \\n \\v \\f \\r.
@@ -122,4 +80,4 @@ def de_bruijn_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives no rows.
     """
     spec = H.WordWindows(size, max(1, min(5, size - 1)))
-    return remove_repeats(docs, spec, resolve_by_paths(size), id_col, text_col, with_text)
+    return remove_repeats(docs, spec, path_classes(size), id_col, text_col, with_text, hot_batches)

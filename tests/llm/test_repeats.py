@@ -68,16 +68,16 @@ def corpus(seed, n=120):
 def test_bytes(spark, seed):
     docs = corpus(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    for size in (50, 30):
-        assert rows(suffix_array_dedup(df, size=size)) == brute(docs, size, lambda t: list((t or "").encode()), bytes)
+    for size, hot in ((50, 256), (30, 1)):
+        assert rows(suffix_array_dedup(df, size=size, hot_batches=hot)) == brute(docs, size, lambda t: list((t or "").encode()), bytes)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_words(spark, seed):
     docs = corpus(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    for size in (13, 7):
-        assert rows(de_bruijn_dedup(df, size=size)) == brute(docs, size, lambda t: (t or "").encode().split(), b" ".join)
+    for size, hot in ((13, 256), (7, 1)):
+        assert rows(de_bruijn_dedup(df, size=size, hot_batches=hot)) == brute(docs, size, lambda t: (t or "").encode().split(), b" ".join)
 
 
 def test_many_contexts_of_one_line(spark):
