@@ -214,15 +214,15 @@ def minhash_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         df = df.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
         return df.select("key", "unit", "band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
 
-    whole = of_component.where(F.col("members") <= COMPONENT).select("key" if "key" in of_component.columns else F.col("node").alias("key"), F.col("component").alias("unit"), "members", F.lit(None).cast("int").alias("band"))
+    whole = of_component.where(F.col("members") <= COMPONENT).select(F.col("node").alias("key"), F.col("component").alias("unit"), "members", F.lit(None).cast("int").alias("band"))
     large = of_component.where(F.col("members") > COMPONENT).select(F.col("node").alias("key"))
     bucket = inside.join(large, "key", "left_semi").select("key", F.encode(F.concat_ws("_", "band", "code"), "utf-8").alias("unit"), "members", "band")
     tasks = blocks(whole.unionByName(bucket))
 
     wanted = linked.select(F.col("node").alias("key")).join(texts, "key").select("key", "copies", "least", "bands")
-    first = own.where("_k_id is not null").join(F.broadcast(wanted.select("least", "key")) if False else wanted.select(F.col("least").alias("_k_id"), "key"), "_k_id")
+    first = own.where("_k_id is not null").join(wanted.select(F.col("least").alias("_k_id"), "key"), "_k_id")
     sets = first.mapInArrow(_sets(n), "key binary, grams binary").dropDuplicates(["key"])
-    work = tasks.join(sets, "key").join(wanted.select("key", "copies", F.when(F.lit(True), F.col("bands")).alias("bands")), "key")
+    work = tasks.join(sets, "key").join(wanted.select("key", "copies", "bands"), "key")
     work = work.withColumn("bands", F.when(F.col("band").isNotNull(), F.col("bands")))
     links = work.groupBy("unit", "x", "y").applyInArrow(_compare(threshold), "key binary, links long, label binary")
     links = checkpoint(links)
@@ -233,4 +233,6 @@ def minhash_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     smallest = named.groupBy("component").agg(F.min("least").alias("class_id"))
     result = named.join(smallest, "component").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     found = signed.select("id", "key").join(result, "key").select(F.col("id").alias("_k_id"), F.col("key").alias("_k_text_key"), "class_id", "n_links")
-    return found
+    # rows without grams or id
+    bare = own.where(F.col("_k_id").isNull() | ~F.coalesce(F.col("_k_text"), F.lit("")).rlike("[^ \\t\\n\\x0B\\f\\r]"))
+    return found.unionByName(bare.select("_k_id", F.lit(None).cast("binary").alias("_k_text_key"), F.col("_k_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))

@@ -21,6 +21,48 @@ def op1_de_bruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("_k_id").alias("doc_id"), F.col("n_units").alias("n_words"), _length("removed").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op4_toxicity import toxicity
+
+    out = toxicity(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
+    return out.select(F.col("_k_id").alias("doc_id"), "held_out", "score", "predicted")
+
+
+def op5_shortest_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .op5_packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("_k_id", "doc_id")
+
+
+def op7_lstm_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op7_lstm_blocks import extract_main
+
+    out = extract_main(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select(F.col("_k_id").alias("page_id"), F.col("_k_row.url").alias("url"), F.col("_k_main").alias("text"), F.length("_k_main").cast("long").alias("n_chars"))
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op8_minhash import minhash_join
+
+    return minhash_join(_read(spark, sf_dir, "documents")).select(F.col("_k_id").alias("doc_id"), "class_id", "n_links")
+
+
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op9_winnowing import decontaminate
+
+    out = decontaminate(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    return out.select(
+        F.col("_k_id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op10_suffix_array import suffix_array_dedup
 
@@ -36,6 +78,11 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_de_bruijn": op1_de_bruijn,
+    "op4_toxicity": op4_toxicity,
+    "op5_shortest_pack": op5_shortest_pack,
+    "op7_lstm_blocks": op7_lstm_blocks,
+    "op8_minhash": op8_minhash,
+    "op9_winnowing": op9_winnowing,
     "op10_suffix_array": op10_suffix_array,
 }
 
