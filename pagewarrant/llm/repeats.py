@@ -92,7 +92,7 @@ class _Outbox:
 
 def deal(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Texts in batches by id, with their other columns in one struct so that no names clash."""
-    n = partitions(docs.sparkSession, 4)
+    n = partitions(docs.sparkSession)
     rest = [c for c in docs.columns if c != text_col]
     key = F.col(f"`{id_col}`").cast("long")
     return docs.select(
@@ -249,7 +249,7 @@ class _Runs:
         return np.repeat(owner, count), at, hashes
 
 
-def _tell_runs(spec, n_buckets: int, n_run_buckets: int):
+def _tell_runs(spec, n_buckets: int):
     def tell_runs(texts: pa.Table, answers: pa.Table) -> pa.Table:
         out = _Outbox()
         if not len(texts) or not len(answers):
@@ -279,7 +279,7 @@ def _tell_runs(spec, n_buckets: int, n_run_buckets: int):
             packed["name"], packed["least"], packed["most"] = (np.array(c, t) for c, t in zip(zip(*rows), (np.uint64, np.int64, np.int64)))
             contents = list(place)
             packed["length"] = [len(c) for c in contents]
-            bucket, _ = _codes(packed["name"], n_run_buckets)
+            bucket, _ = _codes(packed["name"], n_buckets)
             order = np.argsort(bucket, kind="stable")
             edges = np.r_[0, np.flatnonzero(np.diff(bucket[order])) + 1, len(order)]
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
@@ -292,7 +292,7 @@ def _tell_runs(spec, n_buckets: int, n_run_buckets: int):
             most = w["least"][np.r_[first[1:] - 1, len(w) - 1]]
             w = w[first].copy()
             w["most"] = most
-            out.send((w["a"] % H.U(n_run_buckets)).astype(np.int32), _WINDOWS, w, batch=batch)
+            out.send((w["a"] % H.U(n_buckets)).astype(np.int32), _WINDOWS, w, batch=batch)
         return out.table()
 
     return tell_runs
@@ -442,11 +442,11 @@ def remove_repeats(docs: DataFrame, spec, classes: Callable, id_col: str, text_c
     Null text is an empty document.  A row with a null id is kept whole and
     compared with nothing.  Rows with one id count as one document.
     """
-    n = partitions(docs.sparkSession, 4)
+    n = partitions(docs.sparkSession)
     dealt = deal(docs, id_col, text_col)
     told = dealt.groupBy("_k_batch").applyInArrow(_announce(spec, n), _MESSAGE_DDL)
     answers = told.groupBy("_k_bucket").applyInArrow(_answer(hot_batches), _MESSAGE_DDL)
-    runs = dealt.groupBy("_k_batch").cogroup(answers.groupBy("_k_batch")).applyInArrow(_tell_runs(spec, n, partitions(docs.sparkSession)), _MESSAGE_DDL)
+    runs = dealt.groupBy("_k_batch").cogroup(answers.groupBy("_k_batch")).applyInArrow(_tell_runs(spec, n), _MESSAGE_DDL)
     verdicts = runs.groupBy("_k_bucket").applyInArrow(_resolve(spec, classes), _MESSAGE_DDL)
     kinds = {f.name: f.dataType for f in dealt.schema}
     schema = T.StructType([T.StructField("_k_id", T.LongType()), T.StructField("_k_row", kinds["_k_row"])])
