@@ -1,13 +1,79 @@
-"""Corpus pipeline: five operators in a row over documents."""
+"""Corpus pipeline: five operators in a row over documents.
+
+Each stage is ``(spark, docs, sf_dir) -> DataFrame``; all but the last return
+the columns of documents.  Rows with a null id pass every filter.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagewarrant.llm.op4_toxicity import toxicity
+from pagewarrant.llm.op5_packing import pack
+from pagewarrant.llm.op8_minhash import minhash_join
+from pagewarrant.llm.op9_winnowing import decontaminate
+from pagewarrant.llm.op10_suffix_array import suffix_array_dedup
+
+
+def _columns(scored: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """The documents' columns again, in their order."""
+    return scored.select(*[F.col(text).alias("text") if c == "text" else F.col(f"_k_row.`{c}`").alias(c) for c in columns])
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go."""
+    scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), with_text=True)
+    return _columns(scored.where("predicted = 0"), "_k_kept_text", docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the least id stays; rows with one id are one document."""
+    linked = minhash_join(docs)
+    gone = linked.where("_k_id <> class_id").select(F.col("_k_id").alias("doc_id"))
+    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of 50-byte strings that a document with a smaller id has go."""
+    cut = suffix_array_dedup(docs, with_text=True)
+    out = _columns(cut, "kept_text", docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a twentieth of their words or more in benchmark windows go."""
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_text=True)
+    return _columns(found.where("not contaminated"), "_k_kept_text", docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2048 ids."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("_k_id", "doc_id")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("suffix_array_dedup", cut_repeats),
+    ("benchmark_decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
+
+#: Tokens and a trained classifier have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order; each one's result is stored in the checkpoint folder before the next reads it."""
+    from pagewarrant.llm.session import checkpoint
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = checkpoint(docs)
     return docs

@@ -21,6 +21,20 @@ def op1_de_bruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("_k_id").alias("doc_id"), F.col("n_units").alias("n_words"), _length("removed").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .op2_language_id import identify
+
+    return identify(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("_k_id", "doc_id")
+
+
+def op3_site_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op3_site_bayes import quality
+
+    return quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).withColumnRenamed("_k_id", "doc_id")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op4_toxicity import toxicity
 
@@ -36,6 +50,13 @@ def op5_shortest_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("_k_id", "doc_id")
 
 
+def op6_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op6_posting_lists import nearest
+
+    vectors = _read(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op7_lstm_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op7_lstm_blocks import extract_main
 
@@ -78,8 +99,11 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_de_bruijn": op1_de_bruijn,
+    "op2_language_id": op2_language_id,
+    "op3_site_bayes": op3_site_bayes,
     "op4_toxicity": op4_toxicity,
     "op5_shortest_pack": op5_shortest_pack,
+    "op6_posting_lists": op6_posting_lists,
     "op7_lstm_blocks": op7_lstm_blocks,
     "op8_minhash": op8_minhash,
     "op9_winnowing": op9_winnowing,

@@ -426,14 +426,17 @@ def _finish(spec, n_buckets: int, with_text: bool):
         spans = pa.ListArray.from_arrays(
             pa.array(offsets), pa.StructArray.from_arrays([pa.array(np.concatenate(span_starts or none).astype(np.int64)), pa.array(np.concatenate(span_ends or none).astype(np.int64))], ["start", "end"])
         )
-        columns = {"_k_id": texts["_k_id"], "_k_row": texts["_k_row"]} | ({"_k_text": texts["_k_text"]} if with_text else {})
+        columns = {"_k_id": texts["_k_id"], "_k_row": texts["_k_row"]}
+        if with_text:  # characters that lost a byte go whole
+            columns["kept_text"] = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
         return pa.table(columns | {"n_units": pa.array(np.concatenate(n_units or none).astype(np.int64)), "removed": spans, "kept": pa.array(kept, pa.binary())})
 
     return finish
 
 
 def remove_repeats(docs: DataFrame, spec, classes: Callable, id_col: str, text_col: str, with_text: bool = False, hot_batches: int = HOT_BATCHES) -> DataFrame:
-    """One row per row of ``docs``: ``_k_id``, ``_k_row`` (its other columns), ``n_units``, ``removed`` spans, ``kept`` bytes.
+    """One row per row of ``docs``: ``_k_id``, ``_k_row`` (its other columns), ``n_units``, ``removed`` spans, ``kept`` bytes,
+    and with ``with_text`` also ``kept_text``.
 
     ``classes(contents, names)`` gets distinct runs ordered by name and returns
     an array of class numbers for each: windows of one name are equal exactly
@@ -451,6 +454,6 @@ def remove_repeats(docs: DataFrame, spec, classes: Callable, id_col: str, text_c
     kinds = {f.name: f.dataType for f in dealt.schema}
     schema = T.StructType([T.StructField("_k_id", T.LongType()), T.StructField("_k_row", kinds["_k_row"])])
     if with_text:
-        schema = schema.add("_k_text", kinds["_k_text"])
+        schema = schema.add("kept_text", "string")
     schema = schema.add("n_units", "long").add("removed", _SPANS).add("kept", "binary")
     return dealt.groupBy("_k_batch").cogroup(answers.union(verdicts).groupBy("_k_batch")).applyInArrow(_finish(spec, n, with_text), schema)
