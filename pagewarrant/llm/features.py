@@ -45,14 +45,25 @@ def counted(docs: np.ndarray, feats: np.ndarray, dims: int) -> tuple[np.ndarray,
 def fit_sparse(rows, cols, values, n_rows: int, n_cols: int, labels, weights, pairs=(), l1: float = 2e-4, pull: float = 1.0, steps: int = 300):
     """Logistic regression by accelerated proximal gradient: L1 on weights, and a quadratic penalty ``pull`` on
     score differences of counterfactual ``pairs`` (rows, cols, values of the differences, their number)."""
-    w, bias = np.zeros(n_cols), 0.0
     y, total = np.asarray(labels, float), float(np.sum(weights)) or 1.0
     weights = np.asarray(weights, float) / total
-    squares = np.bincount(rows, values**2, n_rows)
-    step_size = 4.0 / (max(1.0, float(squares.max(initial=1.0))) + 1.0)
+    share = float(np.clip(weights @ y, 1e-4, 1 - 1e-4))
+    w, bias = np.zeros(n_cols), float(np.log(share / (1 - share)))  # the prior, for texts without features
     p_rows, p_cols, p_values, n_pairs = pairs if len(pairs) else (np.empty(0, int), np.empty(0, int), np.empty(0), 0)
-    if n_pairs:
-        step_size = 1.0 / (1.0 / step_size + 2 * pull * float(np.bincount(p_rows, p_values**2, n_pairs).max(initial=0.0)))
+
+    def curvature(x):
+        """The largest curvature of the loss along x (weights, then bias), and its direction."""
+        score = np.bincount(rows, values * x[cols], n_rows) + x[-1]
+        out = np.r_[np.bincount(cols, values * (weights * score)[rows], n_cols), weights @ score] / 4
+        if n_pairs:
+            gap = np.bincount(p_rows, p_values * x[p_cols], n_pairs)
+            out[:-1] += 2 * pull / n_pairs * np.bincount(p_cols, p_values * gap[p_rows], n_cols)
+        return out
+
+    x = np.ones(n_cols + 1)
+    for _ in range(20):
+        x = curvature(x / np.linalg.norm(x))
+    step_size = 0.9 / max(float(np.linalg.norm(x)), 1e-6)
     v, vb, t = w.copy(), bias, 1.0
     for _ in range(steps):
         score = np.bincount(rows, values * v[cols], n_rows) + vb

@@ -2,9 +2,9 @@
 
 A sparse logistic regression over hashed words and word prefixes.  For labelled
 texts that name a group of people, every group term is also swapped for other
-terms; the fit penalises the squared change of the score, so that the mention of
-a group says nothing by itself.  Term weights are thereby pulled to one value,
-and L1 takes that to zero.
+terms and for none; the fit penalises the squared change of the score, so that the mention of
+a group says nothing by itself.  Term weights are thereby pulled together and to
+zero.
 
 Document frequencies of features by label come from an aggregation over the
 labelled rows of a bounded sample; the features that tell most go to the fit on
@@ -22,6 +22,8 @@ from . import hashing as H
 from .features import counted, fit_sparse, word_features
 
 DIMS = 1 << 18
+#: Weight of squared score changes against the mean log loss.
+PULL = 10.0
 #: Labelled rows of each class that the fit sees at most, those with the least hash of their id.
 SAMPLE = 3000
 #: Features of the fit.
@@ -84,7 +86,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, pull: float = 1.0) -> Model:
+def fit(labelled: DataFrame, sample: int = SAMPLE, pull: float = PULL) -> Model:
     """A model from rows ``_k_id, _k_text, label``; without both labels it says 0 for all."""
     classes = [labelled.where(F.col("label") == k).orderBy(F.xxhash64("_k_id"), "_k_id").limit(sample) for k in (0, 1)]
     rows = classes[0].unionByName(classes[1]).select("_k_text", "label")
@@ -112,16 +114,16 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, pull: float = 1.0) -> Model:
 
 
 def _counterfactuals(rows, cols, values, kept, terms):
-    """Score differences when a term of a text is swapped for the next terms of the list."""
+    """Score differences when a term of a text is swapped for the next terms of the list, or for none."""
     at = np.where(terms >= 0, np.searchsorted(kept, np.maximum(terms, 0)), -1)
     by_word = {int(a[0]): k for k, a in enumerate(at)}
     p_rows, p_cols, p_values, n = [], [], [], 0
     for k in np.flatnonzero(np.isin(cols, list(by_word))).tolist():
         term = by_word[int(cols[k])]
-        for step in (1, 5, 11):
+        for step in (0, 1, 5, 11):
             other = (term + step) % len(terms)
-            for a, sign in ((at[term], 1.0), (at[other], -1.0)):
-                for c in a[a >= 0].tolist():
+            for a, sign in ((at[term], 1.0), (at[other], -1.0 if step else 0.0)):
+                for c in a[a >= 0].tolist() if sign else ():
                     p_rows.append(n)
                     p_cols.append(c)
                     p_values.append(sign * values[k])
@@ -145,7 +147,7 @@ def held_out(id_col: str = "doc_id", of: int = 5, rest: int = 0) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(of)) == rest, F.lit(False))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, pull: float = 1.0, with_text: bool = False) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, pull: float = PULL, with_text: bool = False) -> DataFrame:
     """Score every text: ``_k_id, _k_row`` (struct of the other columns), ``held_out, score`` (0 to 1), ``predicted``.
 
     Labels are 0 or 1 by id; other values and null ids are ignored, and of
