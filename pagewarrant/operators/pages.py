@@ -10,6 +10,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -97,7 +98,7 @@ def links(nodes: DataFrame) -> DataFrame:
     return labelled.select("page_id", "node_id", order.alias("ord"), "href", F.coalesce(F.nullif("text", F.lit("")), F.nullif("aria", F.lit("")), F.nullif("title", F.lit("")), F.lit("")).alias("label"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def url_join(base: pd.Series, ref: pd.Series) -> pd.Series:
     """Reference resolution; null where either is null or malformed."""
 
