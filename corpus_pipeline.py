@@ -14,6 +14,7 @@ from pagewarrant.llm.op5_packing import pack
 from pagewarrant.llm.op8_minhash import minhash_join
 from pagewarrant.llm.op9_winnowing import decontaminate
 from pagewarrant.llm.op10_suffix_array import suffix_array_dedup
+from pagewarrant.llm.session import checkpoint, few
 
 
 def _columns(scored: DataFrame, text: str, columns: list[str]) -> DataFrame:
@@ -29,10 +30,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the least id stays; rows with one id are one document."""
-    linked = minhash_join(docs)
-    gone = linked.where("_k_id <> class_id").select(F.col("_k_id").alias("doc_id"))
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    gone = checkpoint(minhash_join(docs).where("_k_id <> class_id").select(F.col("_k_id").alias("doc_id")).distinct())
+    kept = docs.join(few(gone), "doc_id", "left_anti")
+    again = checkpoint(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    once = kept.join(few(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(few(again), "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +73,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order; each one's result is stored in the checkpoint folder before the next reads it."""
-    from pagewarrant.llm.session import checkpoint
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from .op4_toxicity import held_out
+from .session import bounded_batches
 
 #: Labelled texts per language that the fit sees at most, and words of one text.
 SAMPLE, SAMPLE_WORDS = 400, 2000
@@ -174,9 +175,12 @@ def fit(labelled: DataFrame, vocabulary: str, sample: int = SAMPLE) -> Model:
     """A model from rows ``_k_id, _k_text, lang``."""
     langs = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
     picked = None
+    ids = labelled.select("_k_id", "lang").distinct()
     for lang in langs:  # a bounded sample of each
-        own = labelled.where(F.col("lang") == lang).orderBy(F.xxhash64("_k_id"), "_k_id").limit(sample).select("lang", "_k_text")
+        own = ids.where(F.col("lang") == lang).orderBy(F.xxhash64("_k_id"), "_k_id").limit(sample)
         picked = own if picked is None else picked.unionByName(own)
+    if picked is not None:
+        picked = labelled.join(F.broadcast(picked), ["_k_id", "lang"]).select("lang", "_k_text")
     vocab = pieces(vocabulary)
     probability = np.zeros((len(vocab) + 2, len(langs)))
     if picked is None:
@@ -233,6 +237,7 @@ def identify(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     null or have no letter are ``und`` with score 0, as are all without any
     labelled row; ties go to the first language in order.
     """
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.col(f"`{id_col}`").alias("_k_id"), F.col(f"`{text_col}`").alias("_k_text"), F.col(f"`{lang_col}`").alias("lang"))
     out = held_out("_k_id", 4, 2)
     model = fit(own.where(~out & F.col("lang").isNotNull() & F.col("_k_text").isNotNull()), vocabulary, sample)

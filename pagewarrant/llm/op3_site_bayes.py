@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from . import hashing as H
 from .features import fit_sparse
 from .op4_toxicity import held_out
+from .session import bounded_batches, checkpoint
 
 #: Labelled rows that the fit sees at most, those with the least hash of their id.
 SAMPLE = 8000
@@ -75,8 +76,10 @@ def _measured(batches):
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(np.arange(0, x.size + 1, MEASURES, dtype=np.int32), pa.array(x.ravel()))], ["label", "x"])
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    rows = labelled.orderBy(F.xxhash64("_k_id"), "_k_id").limit(sample).select("_k_text", "label").mapInArrow(_measured, "label int, x array<double>").collect()
+def fit(own: DataFrame, marks: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model from texts and labels; the sample is chosen among ids, which are broadcast to the texts."""
+    ids = own.select("_k_id").where(~held_out("_k_id")).distinct().join(marks, "_k_id").orderBy(F.xxhash64("_k_id"), "_k_id").limit(sample)
+    rows = own.select("_k_id", "_k_text").join(F.broadcast(ids), "_k_id").select("_k_text", "label").mapInArrow(_measured, "label int, x array<double>").collect()
     y = np.array([r["label"] for r in rows])
     if not len(y) or len(set(y.tolist())) < 2:
         return Model(0.0, 1.0, np.zeros(3 * MEASURES), 0.0 if not len(y) else (6.0 if y[0] else -6.0))
@@ -125,16 +128,15 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     the probability of quality 1; null and empty texts are scored by their
     measures, all zero.
     """
+    bounded_batches(docs.sparkSession)
     host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
     own = docs.select(
         F.col(f"`{id_col}`").alias("_k_id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.concat_ws("/", F.coalesce(host.cast("string"), F.lit("")), F.coalesce(path.cast("string"), F.lit(""))).alias("path"), F.col(f"`{text_col}`").alias("_k_text")
     )
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_k_id")).agg(F.max(label_col).cast("int").alias("label")).where("_k_id is not null")
-    model = fit(own.select("_k_id", "_k_text").where(~held_out("_k_id")).join(marks, "_k_id"), sample)
+    model = fit(own, marks, sample)
     scored = own.mapInArrow(_evidence(model), own.drop("_k_text").schema.add("evidence", "double")).withColumn("p", 1 / (1 + F.exp(-F.col("evidence"))))
     paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.avg("p").alias("mean"), F.sum(F.col("p") ** 2).alias("squares"))
-    from .session import checkpoint
-
     paths = checkpoint(paths)
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n_host"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean_host"), F.sum("squares").alias("squares"))
     whole = hosts.agg((F.sum(F.col("n_host") * F.col("mean_host")) / F.sum("n_host")).alias("m")).first()["m"]

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from .features import counted, fit_sparse, word_features
+from .session import bounded_batches, checkpoint
 
 DIMS = 1 << 18
 #: Weight of squared score changes against the mean log loss.
@@ -86,13 +87,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, pull: float = PULL) -> Model:
-    """A model from rows ``_k_id, _k_text, label``; without both labels it says 0 for all."""
-    classes = [labelled.where(F.col("label") == k).orderBy(F.xxhash64("_k_id"), "_k_id").limit(sample) for k in (0, 1)]
-    rows = classes[0].unionByName(classes[1]).select("_k_text", "label")
-    sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+def fit(own: DataFrame, marks: DataFrame, sample: int = SAMPLE, pull: float = PULL) -> Model:
+    """A model from texts (``_k_id, _k_text``) and labels (``_k_id, label``); without both labels it says 0 for all.
+
+    The sample is chosen among ids; texts are joined to the chosen ids, which
+    are broadcast, so no text is shuffled that the fit does not see.
+    """
+    ids = checkpoint(own.select("_k_id").where(~held_out("_k_id")).distinct().join(marks, "_k_id"))
+    sizes = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return Model([], [], 0.0 if sizes.get(1) and not sizes.get(0) else -30.0)
+    classes = [ids.where(F.col("label") == k).orderBy(F.xxhash64("_k_id"), "_k_id").limit(sample) for k in (0, 1)]
+    rows = own.select("_k_id", "_k_text").join(F.broadcast(classes[0].unionByName(classes[1])), "_k_id").select("_k_text", "label")
     each = rows.mapInArrow(_vectors(None), _VECTOR).select("label", F.explode("features").alias("feature"))
     n0, n1 = (min(sample, sizes[k]) for k in (0, 1))
     seen = each.groupBy("feature").agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))
@@ -155,13 +161,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     unlabelled rows are only scored.  Null and empty texts get the bias alone.
     Without labels of both kinds, all get the one that there is, or 0.
     """
+    bounded_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != text_col]
     own = docs.select(F.col(f"`{id_col}`").alias("_k_id"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_k_row"), F.col(f"`{text_col}`").alias("_k_text"))
     if with_text:
         own = own.withColumn("_k_kept_text", F.col("_k_text"))
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_k_id")).agg(F.max(label_col).cast("int").alias("label")).where("_k_id is not null")
-    labelled = own.select("_k_id", "_k_text").where(~held_out("_k_id")).join(marks, "_k_id")
-    model = fit(labelled, sample, pull)
+    model = fit(own, marks, sample, pull)
     schema = own.drop("_k_text").schema.add("score", "double")
     scored = own.mapInArrow(_score(model), schema)
     return scored.withColumn("held_out", held_out("_k_id")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import checkpoint, partitions
+from .session import bounded_batches, checkpoint, partitions
 
 SIZE = 2048
 END = 1
 #: Words whose ids a Python worker keeps.
-CACHE = 1_000_000
+CACHE = 600_000
 #: Punctuation that may follow a word of letters, and white space of Python's that is not the tokenizer's.
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _CONTROL = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -212,6 +212,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     table gives no rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("_k_id"), F.col(f"`{text_col}`").alias("_k_text"))
     salts = partitions(spark)
     pieces = checkpoint(own.mapInArrow(_pieces(tokenizer, size, end), "_k_id long, start long, length int, ids_crc32 long, doc_tokens long").withColumn("salt", F.pmod(F.xxhash64("_k_id", "start"), F.lit(salts)).cast("int")))

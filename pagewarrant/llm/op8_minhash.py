@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from .components import components
-from .session import checkpoint, partitions
+from .session import bounded_batches, checkpoint, few
 
 N = 5
 THRESHOLD = 0.8
@@ -192,7 +192,7 @@ def minhash_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links.  A row with a null id takes no part and has a null class.  Repeated
     rows count as documents that are linked.
     """
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("_k_id"), F.col(f"`{text_col}`").alias("_k_text"))
     bands, rows = band_shape(threshold, recall)
     signed = own.where("_k_id is not null").mapInArrow(_sign(n, bands, rows), "key binary, id long, bands array<long>")
@@ -220,7 +220,7 @@ def minhash_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tasks = blocks(whole.unionByName(bucket))
 
     wanted = linked.select(F.col("node").alias("key")).join(texts, "key").select("key", "copies", "least", "bands")
-    first = own.where("_k_id is not null").join(wanted.select(F.col("least").alias("_k_id"), "key"), "_k_id")
+    first = own.where("_k_id is not null").join(few(wanted.select(F.col("least").alias("_k_id"), "key")), "_k_id")
     sets = first.mapInArrow(_sets(n), "key binary, grams binary").dropDuplicates(["key"])
     work = tasks.join(sets, "key").join(wanted.select("key", "copies", "bands"), "key")
     work = work.withColumn("bands", F.when(F.col("band").isNotNull(), F.col("bands")))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing as H
+from .session import bounded_batches
 
 SIZE = 13
 GRAM = 5
@@ -216,6 +217,7 @@ def decontaminate(
     without words take no part; equal windows of several items count for each;
     repeated rows each get their result; an empty benchmark leaves all clean.
     """
+    bounded_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != text_col]
     own = docs.select(F.col(f"`{id_col}`").alias("_k_id"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_k_row"), F.col(f"`{text_col}`").alias("_k_text"))
     if with_text:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing as H
-from .session import partitions
+from .session import bounded_batches, partitions
 
 _COPY = np.dtype([("a", "<u8"), ("b", "<u8"), ("least", "<i8"), ("n", "<i8")])
 _RUN = np.dtype([("name", "<u8"), ("least", "<i8"), ("most", "<i8"), ("length", "<u4")])
@@ -445,6 +445,7 @@ def remove_repeats(docs: DataFrame, spec, classes: Callable, id_col: str, text_c
     Null text is an empty document.  A row with a null id is kept whole and
     compared with nothing.  Rows with one id count as one document.
     """
+    bounded_batches(docs.sparkSession)
     n = partitions(docs.sparkSession)
     dealt = deal(docs, id_col, text_col)
     told = dealt.groupBy("_k_batch").applyInArrow(_announce(spec, n), _MESSAGE_DDL)

@@ -5,6 +5,12 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys that are broadcast at most; more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
+#: Rows of an Arrow batch: texts are long, and a task holds a few batches at once.
+BATCH_ROWS = 1000
 
 
 def partitions(spark: SparkSession, times: int = 1) -> int:
@@ -21,3 +27,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pagewarrant-"))
     return df.checkpoint()
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of long texts small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def few(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """A table of keys, marked for broadcast if it has at most ``most`` rows; counted first."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
