@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracles import ORACLE_SQL as ORACLE_SQL
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -109,6 +111,3 @@ QUERIES = {
     "op9_winnowing": op9_winnowing,
     "op10_suffix_array": op10_suffix_array,
 }
-
-#: DuckDB SQL for queries that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {}
