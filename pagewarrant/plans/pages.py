@@ -46,6 +46,13 @@ def fetchable_pages(spark, sf_dir):
     return P.fetchable(P.resolve_urls(P.links(nodes).select("page_id", "href"), pages, nodes), pages)
 
 
+def contact_evidence(spark, sf_dir):
+    """E-mail addresses and phone digits that documents state and do not deny."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    mails = P.emails(docs, "doc_id", "text").select("doc_id", F.lit("email").alias("kind"), F.col("email").alias("value"))
+    return mails.unionByName(P.phones(docs, "doc_id", "text").select("doc_id", F.lit("phone").alias("kind"), F.col("digits").alias("value")))
+
+
 def page_identity(spark, sf_dir):
     return P.identity_vote(P.identity_candidates(_nodes(spark, sf_dir)))
 
@@ -70,13 +77,16 @@ def grounded_labels(spark, sf_dir):
     return G.ground_text(_claims(P.links(nodes)), P.segments(nodes)).select("doc_id", "page_id", "path", "grounded", "reason")
 
 
-QUERIES = {f.__name__: f for f in (page_links, page_headings, page_shape, thin_pages, page_segments, fetchable_pages, page_identity, grounded_actions, grounded_labels)}
+QUERIES = {f.__name__: f for f in (page_links, page_headings, page_shape, thin_pages, page_segments, fetchable_pages, page_identity, contact_evidence, grounded_actions, grounded_labels)}
 
 _BARE = r"regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs'), '<!--.*?-->', '', 'gs')"
 _LINKS = rf"""l AS (SELECT page_id, unnest(range(1, len(h) + 1))::INT AS ord, unnest(h) AS href, unnest(t) AS label
  FROM (SELECT page_id, regexp_extract_all({_BARE}, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all({_BARE}, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pages))"""
 _C = """c AS (SELECT page_id AS doc_id, unnest([page_id, page_id + 1]) AS page_id, ord, href, lower(trim(label)) AS label FROM l)"""
+_TEXT = r"""trim(regexp_replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))"""
 ORACLE_SQL = {
+    "page_headings": rf"""WITH h AS (SELECT page_id, unnest(regexp_extract_all({_BARE}, '<h([1-6])>(.*?)</h[1-6]>', 1)) AS l, unnest(regexp_extract_all({_BARE}, '<h([1-6])>(.*?)</h[1-6]>', 2)) AS t FROM pages)
+SELECT page_id, l::INT AS level, {_TEXT.format('t')} AS text FROM h""",
     "page_links": f"WITH {_LINKS} SELECT page_id, ord, replace(href, '&amp;', '&') AS href FROM l",
     "page_shape": rf"""SELECT page_id, len(regexp_extract_all({_BARE}, '<[a-zA-Z]')) + len(regexp_extract_all(html, '<(?:script|style)\b')) AS n_elements,
  len(regexp_extract_all(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs'), '<!--')) AS n_comments,
