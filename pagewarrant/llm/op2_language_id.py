@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from .op4_toxicity import held_out
-from .session import bounded_batches
+from .session import bounded_batches, sampled
 
 #: Labelled texts per language that the fit sees at most, and words of one text.
 SAMPLE, SAMPLE_WORDS = 400, 2000
@@ -173,11 +173,12 @@ def _sample_words(batches):
 
 def fit(labelled: DataFrame, vocabulary: str, sample: int = SAMPLE) -> Model:
     """A model from rows ``_k_id, _k_text, lang``."""
-    langs = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(sizes)
     picked = None
-    ids = labelled.select("_k_id", "lang").distinct()
+    ids = labelled.select("_k_id", "lang")
     for lang in langs:  # a bounded sample of each
-        own = ids.where(F.col("lang") == lang).orderBy(F.xxhash64("_k_id"), "_k_id").limit(sample)
+        own = sampled(ids.where(F.col("lang") == lang), sample, n_rows=sizes[lang]).distinct()
         picked = own if picked is None else picked.unionByName(own)
     if picked is not None:
         picked = labelled.join(F.broadcast(picked), ["_k_id", "lang"]).select("lang", "_k_text")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from .features import counted, fit_sparse, word_features
-from .session import bounded_batches, checkpoint
+from .session import bounded_batches, checkpoint, sampled
 
 DIMS = 1 << 18
 #: Weight of squared score changes against the mean log loss.
@@ -97,7 +97,7 @@ def fit(own: DataFrame, marks: DataFrame, sample: int = SAMPLE, pull: float = PU
     sizes = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return Model([], [], 0.0 if sizes.get(1) and not sizes.get(0) else -30.0)
-    classes = [ids.where(F.col("label") == k).orderBy(F.xxhash64("_k_id"), "_k_id").limit(sample) for k in (0, 1)]
+    classes = [sampled(ids.where(F.col("label") == k), sample, n_rows=sizes[k]) for k in (0, 1)]
     rows = own.select("_k_id", "_k_text").join(F.broadcast(classes[0].unionByName(classes[1])), "_k_id").select("_k_text", "label")
     each = rows.mapInArrow(_vectors(None), _VECTOR).select("label", F.explode("features").alias("feature"))
     n0, n1 = (min(sample, sizes[k]) for k in (0, 1))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import checkpoint
+from .session import checkpoint, sampled
 
 #: Vectors that the centroids are fitted on at most, and vectors of the sample behind each centroid.
 SAMPLE, PER_CENTROID = 16_384, 24
@@ -207,7 +207,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     if width is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     all_, asked = all_.where(F.size("v") == width["n"]), clean(queries).where(F.size("v") == width["n"]).dropDuplicates(["id"])
-    picked = all_.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    picked = sampled(all_, sample, "id").collect()
     graph = CentroidGraph(bisect(np.array([r["v"] for r in picked]), PER_CENTROID))
     lists = checkpoint(all_.mapInArrow(_post(graph), "list int, first boolean, id long, v array<double>"))
     counts = lists.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.col("first").cast("int")).alias("firsts"))

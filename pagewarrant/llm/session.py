@@ -39,3 +39,18 @@ def bounded_batches(spark: SparkSession) -> None:
 def few(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
     """A table of keys, marked for broadcast if it has at most ``most`` rows; counted first."""
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
+def sampled(rows: DataFrame, n: int, id_col: str = "_k_id", n_rows: int | None = None) -> DataFrame:
+    """The ``n`` rows with the least hash of their id: a repeatable sample.
+
+    Rows are counted (unless their number is given) and cut by hash to about
+    twice the sample before they are ordered, so a task sends few rows however
+    many there are.
+    """
+    key, top = F.pmod(F.xxhash64(id_col), F.lit(1 << 40)), 1 << 40
+    n_rows = rows.count() if n_rows is None else n_rows
+    least = 2 * n + 1000
+    if n_rows > least:
+        rows = rows.where(key < int(top * (least / n_rows)))
+    return rows.orderBy(key, id_col).limit(n)
