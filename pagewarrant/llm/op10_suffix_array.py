@@ -190,7 +190,7 @@ def equal_windows(size: int):
         at = 0
         while at < len(few):
             end, most = at + 1, max(192, int(total[few[at]] * 1.4))
-            end = max(end, min(int(np.searchsorted(total[few], most, "right")), at + max(1, 750_000 // most)))
+            end = max(end, min(int(np.searchsorted(total[few], most, "right")), at + max(1, 400_000 // most)))
             groups = few[at:end]
             runs, row = _spread(first[groups], n_runs[groups])
             n = int(total[groups].max())

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from .features import counted, fit_sparse, word_features
-from .session import bounded_batches, checkpoint, sampled
+from .session import bounded_batches, checkpoint, releasing_batches, sampled
 
 DIMS = 1 << 18
 #: Weight of squared score changes against the mean log loss.
@@ -169,5 +169,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_k_id")).agg(F.max(label_col).cast("int").alias("label")).where("_k_id is not null")
     model = fit(own, marks, sample, pull)
     schema = own.drop("_k_text").schema.add("score", "double")
-    scored = own.mapInArrow(_score(model), schema)
+    scored = own.mapInArrow(releasing_batches(_score(model)), schema)
     return scored.withColumn("held_out", held_out("_k_id")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import bounded_batches, checkpoint, partitions
+from .session import bounded_batches, checkpoint, partitions, releasing_batches
 
 SIZE = 2048
 END = 1
 #: Words whose ids a Python worker keeps.
-CACHE = 600_000
+CACHE = 500_000
 #: Punctuation that may follow a word of letters, and white space of Python's that is not the tokenizer's.
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _CONTROL = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -54,6 +54,10 @@ class WordIds:
         self.word_end = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.word_end[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
+    def forget(self) -> None:
+        """Drop the words seen; a task's texts fill the cache anyway, and the worker goes on to other stages."""
+        self.known = {"": b""}
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -136,6 +140,7 @@ def _pieces(path: str, size: int, end: int):
                     n = len(body) // 4
                     rows += [(i, s, min(size, n - s), zlib.crc32(memoryview(body)[4 * s : 4 * (s + size)]), n) for s in range(0, n, size)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        encode.forget()
 
     return pieces
 
@@ -215,7 +220,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     bounded_batches(spark)
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("_k_id"), F.col(f"`{text_col}`").alias("_k_text"))
     salts = partitions(spark)
-    pieces = checkpoint(own.mapInArrow(_pieces(tokenizer, size, end), "_k_id long, start long, length int, ids_crc32 long, doc_tokens long").withColumn("salt", F.pmod(F.xxhash64("_k_id", "start"), F.lit(salts)).cast("int")))
+    pieces = checkpoint(own.mapInArrow(releasing_batches(_pieces(tokenizer, size, end)), "_k_id long, start long, length int, ids_crc32 long, doc_tokens long").withColumn("salt", F.pmod(F.xxhash64("_k_id", "start"), F.lit(salts)).cast("int")))
     counts = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
     places = spark.createDataFrame(_places(shortest_pack_first(histogram, size)), "at_length int, first_rank long, end_rank long, base long, offset long")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from .components import components
-from .session import bounded_batches, checkpoint, few
+from .session import bounded_batches, checkpoint, few, releasing, releasing_batches
 
 N = 5
 THRESHOLD = 0.8
@@ -195,7 +195,7 @@ def minhash_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bounded_batches(docs.sparkSession)
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("_k_id"), F.col(f"`{text_col}`").alias("_k_text"))
     bands, rows = band_shape(threshold, recall)
-    signed = own.where("_k_id is not null").mapInArrow(_sign(n, bands, rows), "key binary, id long, bands array<long>")
+    signed = own.where("_k_id is not null").mapInArrow(releasing_batches(_sign(n, bands, rows)), "key binary, id long, bands array<long>")
     signed = checkpoint(signed)
     texts = signed.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.first("bands").alias("bands"))
 
@@ -221,10 +221,10 @@ def minhash_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     wanted = linked.select(F.col("node").alias("key")).join(texts, "key").select("key", "copies", "least", "bands")
     first = own.where("_k_id is not null").join(few(wanted.select(F.col("least").alias("_k_id"), "key")), "_k_id")
-    sets = first.mapInArrow(_sets(n), "key binary, grams binary").dropDuplicates(["key"])
+    sets = first.mapInArrow(releasing_batches(_sets(n)), "key binary, grams binary").dropDuplicates(["key"])
     work = tasks.join(sets, "key").join(wanted.select("key", "copies", "bands"), "key")
     work = work.withColumn("bands", F.when(F.col("band").isNotNull(), F.col("bands")))
-    links = work.groupBy("unit", "x", "y").applyInArrow(_compare(threshold), "key binary, links long, label binary")
+    links = work.groupBy("unit", "x", "y").applyInArrow(releasing(_compare(threshold)), "key binary, links long, label binary")
     links = checkpoint(links)
     classes = components(links.select(F.col("key").alias("a"), F.col("label").alias("b")))
 

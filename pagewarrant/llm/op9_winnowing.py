@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing as H
-from .session import bounded_batches
+from .session import bounded_batches, releasing_batches
 
 SIZE = 13
 GRAM = 5
@@ -234,7 +234,7 @@ def decontaminate(
         known = {n: np.sort(np.array(list(x), np.int64).view(np.uint64)) for n, x in names.items()}
         shared = docs.sparkSession.sparkContext.broadcast((known, {k: tuple(dict.fromkeys(v)) for k, v in lookup.items()}))
         schema = T.StructType([f for f in own.schema if f.name != "_k_text"] + _RESULT.fields)
-        out = own.mapInArrow(_scan(size, shared), schema)
+        out = own.mapInArrow(releasing_batches(_scan(size, shared)), schema)
     else:
         found = _by_shuffle(own, windows, size)
         key = F.unhex(F.md5(F.coalesce(F.col("_k_text"), F.lit("")).cast("binary")))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing as H
-from .session import bounded_batches, partitions
+from .session import bounded_batches, partitions, releasing, releasing_two
 
 _COPY = np.dtype([("a", "<u8"), ("b", "<u8"), ("least", "<i8"), ("n", "<i8")])
 _RUN = np.dtype([("name", "<u8"), ("least", "<i8"), ("most", "<i8"), ("length", "<u4")])
@@ -448,13 +448,13 @@ def remove_repeats(docs: DataFrame, spec, classes: Callable, id_col: str, text_c
     bounded_batches(docs.sparkSession)
     n = partitions(docs.sparkSession)
     dealt = deal(docs, id_col, text_col)
-    told = dealt.groupBy("_k_batch").applyInArrow(_announce(spec, n), _MESSAGE_DDL)
-    answers = told.groupBy("_k_bucket").applyInArrow(_answer(hot_batches), _MESSAGE_DDL)
-    runs = dealt.groupBy("_k_batch").cogroup(answers.groupBy("_k_batch")).applyInArrow(_tell_runs(spec, n), _MESSAGE_DDL)
-    verdicts = runs.groupBy("_k_bucket").applyInArrow(_resolve(spec, classes), _MESSAGE_DDL)
+    told = dealt.groupBy("_k_batch").applyInArrow(releasing(_announce(spec, n)), _MESSAGE_DDL)
+    answers = told.groupBy("_k_bucket").applyInArrow(releasing(_answer(hot_batches)), _MESSAGE_DDL)
+    runs = dealt.groupBy("_k_batch").cogroup(answers.groupBy("_k_batch")).applyInArrow(releasing_two(_tell_runs(spec, n)), _MESSAGE_DDL)
+    verdicts = runs.groupBy("_k_bucket").applyInArrow(releasing(_resolve(spec, classes)), _MESSAGE_DDL)
     kinds = {f.name: f.dataType for f in dealt.schema}
     schema = T.StructType([T.StructField("_k_id", T.LongType()), T.StructField("_k_row", kinds["_k_row"])])
     if with_text:
         schema = schema.add("kept_text", "string")
     schema = schema.add("n_units", "long").add("removed", _SPANS).add("kept", "binary")
-    return dealt.groupBy("_k_batch").cogroup(answers.union(verdicts).groupBy("_k_batch")).applyInArrow(_finish(spec, n, with_text), schema)
+    return dealt.groupBy("_k_batch").cogroup(answers.union(verdicts).groupBy("_k_batch")).applyInArrow(releasing_two(_finish(spec, n, with_text)), schema)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +56,48 @@ def sampled(rows: DataFrame, n: int, id_col: str = "_k_id", n_rows: int | None =
     if n_rows > least:
         rows = rows.where(key < int(top * (least / n_rows)))
     return rows.orderBy(key, id_col).limit(n)
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system, for the workers that go on to other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def releasing(f):
+    """A function of one Arrow table that releases memory when it is done."""
+
+    def one(table: pa.Table) -> pa.Table:
+        try:
+            return f(table)
+        finally:
+            release()
+
+    return one
+
+
+def releasing_two(f):
+    """The same for a function of two tables."""
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return f(left, right)
+        finally:
+            release()
+
+    return two
+
+
+def releasing_batches(f):
+    """The same for a function of an iterator of batches."""
+
+    def batches(it):
+        try:
+            yield from f(it)
+        finally:
+            release()
+
+    return batches
