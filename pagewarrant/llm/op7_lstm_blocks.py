@@ -17,13 +17,14 @@ import math
 import re
 import zlib
 from functools import lru_cache
-from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.dom import PageParser
 from .session import bounded_batches, sampled
 
 PATH_DIMS, WORD_DIMS, HIDDEN = 96, 32, 12
@@ -65,10 +66,26 @@ class Block:
         self.path, self.parts, self.linked, self.text = path, [], 0, ""
 
 
-class _Reader(HTMLParser):
+class Path(NamedTuple):
+    """An open element and all that it lies in, whatever the depth: set path slots as bits, and what is named."""
+
+    tag: str = ""
+    slots: int = 0
+    boilerplate_tag: bool = False
+    boilerplate_word: bool = False
+    article: bool = False
+
+    def inner(self, tag: str, words: list[str]) -> Path:
+        slots = self.slots | 1 << _slot(tag, PATH_DIMS)
+        for w in words:
+            slots |= 1 << _slot("." + w, PATH_DIMS)
+        return Path(tag, slots, self.boilerplate_tag or tag in BOILERPLATE_TAGS, self.boilerplate_word or not BOILERPLATE_WORDS.isdisjoint(words), self.article or tag in ("article", "main"))
+
+
+class _Reader(PageParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.open: list[Path] = []
         self.blocks: list[Block] = []
         self.now: Block | None = None
         self.hidden = self.links = 0
@@ -83,7 +100,7 @@ class _Reader(HTMLParser):
             self.now = None
 
     def _pop(self, k: int):
-        for tag, _ in self.open[k:]:
+        for tag, *_ in self.open[k:]:
             self.hidden -= tag in HIDDEN_TAGS
             self.links -= tag == "a"
             if tag in BLOCK:
@@ -98,19 +115,19 @@ class _Reader(HTMLParser):
         if tag in VOID:
             return
         if tag == "body":  # an unclosed head ends here
-            for k, (t, _) in enumerate(self.open):
-                if t == "head":
+            for k, path in enumerate(self.open):
+                if path.tag == "head":
                     self._pop(k)
                     break
         for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
+            name = self.open[k].tag
             if name in CLOSES.get(tag, ()) or (name == "p" and tag in BLOCK):
                 self._pop(k)
                 break
             if name in FENCE:
                 break
         names = " ".join(v for a, v in attrs if a in ("class", "id", "role") and v)
-        self.open.append((tag, tuple(w.lower() for w in _WORD.findall(names)[:12])))
+        self.open.append((self.open[-1] if self.open else Path()).inner(tag, _WORD.findall(names.lower())))
         self.hidden += tag in HIDDEN_TAGS
         self.links += tag == "a"
 
@@ -121,7 +138,7 @@ class _Reader(HTMLParser):
 
     def handle_endtag(self, tag):
         for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
+            if self.open[k].tag == tag:
                 self._pop(k)
                 return
         if tag in BLOCK:
@@ -131,7 +148,7 @@ class _Reader(HTMLParser):
         if self.hidden:
             return
         if self.now is None:
-            self.now = Block(tuple(self.open[-24:]))
+            self.now = Block(self.open[-1] if self.open else Path())
         self.now.parts.append(data)
         if self.links:
             self.now.linked += len(data.strip())
@@ -140,11 +157,8 @@ class _Reader(HTMLParser):
 def read_blocks(html: str | None) -> list[Block]:
     """The visible text blocks of a page in order; inline elements don't end a block, white space is one space."""
     reader = _Reader()
-    try:
-        reader.feed(html or "")
-        reader.close()
-    except AssertionError:  # the parser gives up on some malformed declarations
-        pass
+    reader.feed(html or "")
+    reader.close()
     reader._pop(0)
     reader._end_block()
     return reader.blocks
@@ -152,12 +166,8 @@ def read_blocks(html: str | None) -> list[Block]:
 
 def silver_label(block: Block, in_article: bool) -> int:
     """The rule that training labels follow: article elements (where a page has any) without boilerplate elements."""
-    inside = not in_article
-    for tag, words in block.path:
-        inside |= tag in ("article", "main")
-        if tag in BOILERPLATE_TAGS or BOILERPLATE_WORDS.intersection(words):
-            return 0
-    return int(inside)
+    path = block.path
+    return int(not path.boilerplate_tag and not path.boilerplate_word and (path.article or not in_article))
 
 
 @lru_cache(maxsize=50_000)
@@ -166,29 +176,22 @@ def _slot(text: str, dims: int) -> int:
 
 
 @lru_cache(maxsize=5_000)
-def _path_vector(path) -> tuple[np.ndarray, tuple[bool, bool, bool]]:
-    row = np.zeros(PATH_DIMS)
-    for tag, words in path:
-        row[_slot(tag, PATH_DIMS)] = 1
-        for w in words:
-            row[_slot("." + w, PATH_DIMS)] = 1
-    if path:
-        row[_slot("/" + path[-1][0], PATH_DIMS)] = 1
-    return row, (any(t in BOILERPLATE_TAGS for t, _ in path), any(BOILERPLATE_WORDS.intersection(w) for _, w in path), any(t in ("article", "main") for t, _ in path))
-
-
-#: Words of a block that are hashed, from its start; the path and the measures are of the whole block.
-WORDS = 16
+def _path_vector(slots: int, tag: str) -> np.ndarray:
+    row = np.unpackbits(np.frombuffer(slots.to_bytes(PATH_DIMS // 8, "little"), np.uint8), bitorder="little").astype(float)
+    if tag:
+        row[_slot("/" + tag, PATH_DIMS)] = 1
+    return row
 
 
 def block_vectors(blocks: list[Block]) -> np.ndarray:
-    """A row per block: hashed path, hashed first words, measures, whether boilerplate or an article is named."""
+    """A row per block: hashed path, shares of all its hashed words, measures, whether boilerplate or an article is named."""
     out = np.zeros((len(blocks), PATH_DIMS + WORD_DIMS + 8))
     for k, b in enumerate(blocks):
-        row, n = out[k], len(b.text)
-        row[:PATH_DIMS], named = _path_vector(b.path)
-        for w in b.text[: 12 * WORDS].split()[:WORDS]:
-            row[PATH_DIMS + _slot(w, WORD_DIMS)] += 1 / WORDS
+        row, n, words = out[k], len(b.text), b.text.split()
+        tag, slots, *named = b.path
+        row[:PATH_DIMS] = _path_vector(slots, tag)
+        # very long words are not cached
+        row[PATH_DIMS : PATH_DIMS + WORD_DIMS] = np.bincount([(_slot if len(w) <= 64 else _slot.__wrapped__)(w, WORD_DIMS) for w in words], minlength=WORD_DIMS) / len(words)
         row[-8:] = (min(1, math.log1p(n) / 8), min(1.0, b.linked / n), b.text[-1] in ".!?…", min(1, n / 600), k / max(1, len(blocks) - 1), *named)
     return out
 
@@ -299,7 +302,7 @@ def train(pages: list[str], seed: int = 0) -> BiLSTM:
     for html in [*pages, *(_varied(p, rng) for p in pages)]:
         blocks = read_blocks(html)[:TRAIN_BLOCKS]
         if blocks:
-            some = any(t in ("article", "main") for b in blocks for t, _ in b.path)
+            some = any(b.path.article for b in blocks)
             sequences.append(block_vectors(blocks))
             labels.append([silver_label(b, some) for b in blocks])
     model = BiLSTM(PATH_DIMS + WORD_DIMS + 8, seed=seed)

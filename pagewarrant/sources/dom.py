@@ -30,7 +30,17 @@ _SCHEMA = pa.schema(
 MAX_CHARS = 120_000
 
 
-class _Tree(HTMLParser):
+class PageParser(HTMLParser):
+    """Reads an unknown ``<![`` declaration as a comment and goes on, where its base class would give up the rest of the page."""
+
+    def parse_marked_section(self, i, report=1):
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
+
+class _Tree(PageParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
@@ -76,11 +86,8 @@ class _Tree(HTMLParser):
 def parse(html: str | None) -> list[list]:
     """Node rows of one page, without its id."""
     tree = _Tree()
-    try:
-        tree.feed(html or "")
-        tree.close()
-    except AssertionError:  # the parser gives up on some malformed declarations
-        pass
+    tree.feed(html or "")
+    tree.close()
     tree._close(0)
     return tree.rows
 

@@ -349,6 +349,17 @@ def test_blocks_of_malformed_pages():
     assert blocks.read_blocks(None) == [] and blocks.read_blocks("") == []
 
 
+def test_blocks_are_read_whole():
+    deep = f'<div id="comments">{"<div>" * 60}<b class="{"x " * 30}promo">late</b>'
+    (block,) = blocks.read_blocks("<article>" + deep)
+    assert block.path[2:] == (False, True, True) and blocks.silver_label(block, True) == 0
+    assert [b.text for b in blocks.read_blocks("<p>a<![foo bar>b<p>c<![ 3>d")] == ["ab", "cd"]
+    long = "w " * 500
+    a, b = blocks.block_vectors(blocks.read_blocks(f"<p>{long}advert<p>{long}notice"))
+    words = slice(blocks.PATH_DIMS, blocks.PATH_DIMS + blocks.WORD_DIMS)
+    assert (a[words] != b[words]).any() and abs(a[words].sum() - 1) < 1e-9
+
+
 def test_main_text(spark):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(400)]
