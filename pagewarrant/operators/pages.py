@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import occurrences as O
 from ..functions import text as X
 
 # Elements and attributes of HTML by role.
@@ -27,9 +28,8 @@ META_IMAGE = ["og:image", "og:image:secure_url", "og:image:url", "twitter:image"
 SUPPRESSING_STYLE = r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden|content-visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)"
 LOGO_MARKERS = ["brand-logo", "custom-logo-link", "header-logo", "logo", "logo-link", "navbar-brand", "site-brand", "site-identity", "site-logo"]
 GENERIC_PARTS = ["about", "about us", "blog", "contact", "contact us", "faq", "frequently asked questions", "gallery", "home", "menu", "news", "our services", "our team", "services", "team"]
-EMAIL = r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]{1,64}@(?:[A-Z0-9-]{1,63}\.)+[A-Z]{2,63}(?![A-Z0-9-])"
-PHONE = r"(?i)(?<!\d)(?:\+?1[\s.()-]*)?(?:\(?\d{3}\)?[\s.()-]*)\d{3}[\s.-]*\d{4}(?:\s*(?:x|ext\.?)[\s]*\d+)?(?!\d)"
 THIN = 8000
+EMAIL, PHONE = O.EMAIL, O.PHONE
 
 
 def attr(name: str) -> Column:
@@ -184,9 +184,9 @@ def attribute_text(nodes: DataFrame) -> DataFrame:
 
 
 def emails(texts: DataFrame, id_col: str, text: str = "segment") -> DataFrame:
-    """Distinct lower-case e-mail addresses that a text does not deny."""
-    found = texts.select(id_col, text, F.explode(F.regexp_extract_all(text, F.lit(EMAIL), 0)).alias("raw"))
-    return found.where(~negated_before(F.col(text), F.col("raw"))).select(id_col, F.lower("raw").alias("email")).distinct()
+    """Distinct lower-case e-mail addresses that a text states somewhere without denying or qualifying them there."""
+    found = texts.where(F.col(text).contains("@")).select(id_col, F.explode(O.stated_emails(text)).alias("raw"))
+    return found.select(id_col, F.lower("raw").alias("email")).distinct()
 
 
 def phone_variants(raw: Column) -> Column:
@@ -198,30 +198,11 @@ def phone_variants(raw: Column) -> Column:
 
 
 def phones(texts: DataFrame, id_col: str, text: str = "segment") -> DataFrame:
-    """Distinct digit strings of numbers that a text does not deny or call a fax."""
-    found = texts.select(id_col, text, F.explode(F.regexp_extract_all(text, F.lit(PHONE), 0)).alias("raw"))
-    before = X.before(F.col(text), F.col("raw"))
-    role = F.lower(F.regexp_extract(before, r"(?i)\b(fax|facsimile|phone|telephone|mobile|cell|call)\b(?!.*\b(?:fax|facsimile|phone|telephone|mobile|cell|call)\b)[^.!?;]*$", 1))
-    kept = found.where(~negated_before(F.col(text), F.col("raw")) & ~role.isin("fax", "facsimile"))
+    """Distinct digit strings of numbers that a text states somewhere without denying or qualifying them, or calling them a fax, there."""
+    kept = texts.where(F.col(text).rlike(r"\p{Nd}{4}")).select(id_col, F.explode(O.stated_phones(text)).alias("raw"))
     return kept.select(id_col, F.explode(phone_variants(F.col("raw"))).alias("digits")).distinct()
 
 
-# Words that deny, and idioms that do not.
-NEGATIONS = ["no", "not", "never", "without", "neither", "nor", "cannot", "non"]
-IDIOM = r"(?i)\b(?:please\s+)?(?:do\s+not|don['’]t|never)\s+hesitate\s+to\s+(?:call|contact|email)\b"
-EXEMPT_AFTER_NOT = ["just", "except", "only", "solely", "exclusive", "exclusively", "restricted", "limited"]
-
-
-def negated_before(text: Column, phrase: Column) -> Column:
-    """Whether the clause before a phrase's first occurrence denies it ("not only" does not)."""
-    before = X.before(F.regexp_replace(text, IDIOM, " "), phrase)
-    clause = F.element_at(F.split(F.element_at(F.split(before, "[.!?;]"), -1), r"(?i)\b(?:but|however|yet|except)\b"), -1)
-    words = F.transform(F.regexp_extract_all(F.lower(F.replace(clause, F.lit("’"), F.lit("'"))), F.lit("[a-z0-9]+(?:'[a-z]+)?"), 0), lambda w: w)
-    after = F.concat(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), F.array(F.lit("")))
-    denied = F.zip_with(words, after, lambda w, n: (w.isin(NEGATIONS) | w.endswith("n't")) & ~((w == "not") & n.isin(EXEMPT_AFTER_NOT)))
-    return F.exists(denied, lambda x: F.coalesce(x, F.lit(False)))
-
-
 def identity_candidates(nodes: DataFrame) -> DataFrame:
     """Names by channel: site-name metadata, title parts, main headings, logo alt texts; generic parts left out."""
     meta = nodes.where((F.col("tag") == "meta") & (F.lower(F.coalesce(attr("property"), attr("name"))).isin("og:site_name", "application-name"))).select("page_id", F.lit("meta").alias("channel"), attr("content").alias("name"))
