@@ -7,8 +7,9 @@ are searched through an in-memory neighbour graph by best-first search.  A query
 reads the lists whose centroid distance is within a ratio of its nearest
 (``REACH``), at least ``LEAST_LISTS`` and until they hold enough vectors.
 
-All vectors are indexed.  A list with more than ``BLOCK`` entries is read in
-blocks, each with its own best entries, so no list outgrows a task.
+All vectors are indexed, equal rows once.  A list with more than ``BLOCK``
+entries or queries is read in blocks of both, each with its own best ids, so no
+list outgrows a task.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from .session import checkpoint, sampled
 SAMPLE, PER_CENTROID = 16_384, 24
 DEGREE, BEAM, ENTRIES = 16, 64, 8
 CLOSURE, COPIES, HIDDEN = 1.25, 4, 0.45
-REACH, LEAST_LISTS, MOST_LISTS = 1.17, 24, 192
+REACH, LEAST_LISTS = 1.17, 24
+#: Lists that a query searches the graph for; where those are not all in reach, all centroids are put in order.
+FIRST_LISTS = 192
 BLOCK = 8192
 
 
@@ -141,10 +144,10 @@ def _route(graph: CentroidGraph, sizes: np.ndarray, want: int):
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
                 v = _matrix(part.column("v"))
-                ids, dist = graph.search(v, MOST_LISTS)
+                ids, dist = graph.search(v, FIRST_LISTS)
                 held = np.cumsum(np.where(ids >= 0, sizes[np.maximum(ids, 0)], 0), 1)
-                short = held[:, -1] < want
-                if short.any():  # too few vectors in the lists found: all lists, in order
+                short = (held[:, -1] < want) | (dist[:, -1] <= REACH * dist[:, 0])
+                if short.any():  # too few vectors in the lists found, or further ones in reach: all lists, in order
                     d = _distances(v[short], graph.centroids)
                     width = max(ids.shape[1], d.shape[1])
                     order = np.argsort(d, 1, kind="stable")
@@ -168,18 +171,18 @@ def _best(k: int):
             return schema.empty_table()
         ids = entries["id"].to_numpy()
         order = np.argsort(ids, kind="stable")
-        v, ids = _matrix(entries["v"].combine_chunks())[order], ids[order]
+        v = _matrix(entries["v"].combine_chunks())[order]
+        ids, starts = np.unique(ids[order], return_index=True)
         out: list[list] = [[], [], []]
         for q, i in zip(_matrix(queries["q"].combine_chunks()), queries["query_id"].to_pylist()):
-            d = np.sqrt(((v - q) ** 2).sum(1))
+            d = np.minimum.reduceat(np.sqrt(((v - q) ** 2).sum(1)), starts)  # an id is as near as its nearest vector
             d[ids == i] = np.inf
-            near = np.argsort(d, kind="stable")[: k + 8] if len(d) <= 4 * k else None
+            near = np.argsort(d, kind="stable")[:k] if len(d) <= 4 * k else None
             if near is None:
                 edge = np.partition(d, k)[k]
                 near = np.flatnonzero(d <= edge)
                 near = near[np.argsort(d[near], kind="stable")]
-            near = near[np.isfinite(d[near])]
-            near = near[np.sort(np.unique(ids[near], return_index=True)[1])][:k]  # repeated rows count once
+            near = near[np.isfinite(d[near])][:k]
             out[0] += [i] * len(near)
             out[1] += ids[near].tolist()
             out[2] += d[near].tolist()
@@ -206,22 +209,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     width = all_.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if width is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    all_, asked = all_.where(F.size("v") == width["n"]), clean(queries).where(F.size("v") == width["n"]).dropDuplicates(["id"])
+    all_, asked = all_.where(F.size("v") == width["n"]).distinct(), clean(queries).where(F.size("v") == width["n"]).dropDuplicates(["id"])
     picked = sampled(all_, sample, "id").collect()
     graph = CentroidGraph(bisect(np.array([r["v"] for r in picked]), PER_CENTROID))
     lists = checkpoint(all_.mapInArrow(_post(graph), "list int, first boolean, id long, v array<double>"))
-    counts = lists.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.col("first").cast("int")).alias("firsts"))
+    counts = lists.groupBy("list").agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("first"), F.col("id"))).alias("firsts"))
     sizes = np.zeros(len(graph.centroids), np.int64)
-    blocks = []
-    for r in counts.collect():  # a row per centroid, at most SAMPLE / PER_CENTROID * 2
+    held = {r["list"]: r for r in counts.collect()}  # a row per centroid, at most SAMPLE / PER_CENTROID * 2
+    for r in held.values():
         sizes[r["list"]] = r["firsts"]
-        blocks.append((r["list"], -(-r["n"] // BLOCK)))
-    spark = vectors.sparkSession
-    n_blocks = F.broadcast(spark.createDataFrame(blocks, "list int, n_blocks int"))
-    entries = lists.join(n_blocks, "list").select("list", F.pmod(F.xxhash64("id"), "n_blocks").cast("int").alias("block"), "id", "v")
-    asked = asked.mapInArrow(_route(graph, sizes, k + 1), "list int, query_id long, q array<double>").join(n_blocks, "list")
-    asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), "query_id", "q")
-    found = asked.groupBy("list", "block").cogroup(entries.groupBy("list", "block")).applyInArrow(_best(k), "query_id long, vec_id long, score double")
+    asked = checkpoint(asked.mapInArrow(_route(graph, sizes, k + 1), "list int, query_id long, q array<double>"))
+    blocks = [(r["list"], -(-held[r["list"]]["n"] // BLOCK), -(-r["count"] // BLOCK)) for r in asked.groupBy("list").count().collect() if r["list"] in held]
+    n_blocks = F.broadcast(vectors.sparkSession.createDataFrame(blocks, "list int, n_blocks int, n_asked int"))
+    salt = lambda n, *of: F.pmod(F.xxhash64(*of), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    entries = lists.join(n_blocks, "list").select("list", salt("n_blocks", "id", "v").alias("block"), every("n_asked").alias("part"), "id", "v")
+    asked = asked.join(n_blocks, "list").select("list", every("n_blocks").alias("block"), salt("n_asked", "query_id").alias("part"), "query_id", "q")
+    found = asked.groupBy("list", "block", "part").cogroup(entries.groupBy("list", "block", "part")).applyInArrow(_best(k), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +174,25 @@ def test_decontamination_without_benchmark(spark):
     assert (r["n_words"], r["n_hit"], r["contaminated"]) == (3, 0, False)
 
 
+def test_neighbours_with_a_hot_id(spark, monkeypatch):
+    from pagewarrant.llm import op6_posting_lists as lists
+
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(300, 6))
+    near = [(1000, (points[0] + rng.normal(size=6) * 1e-3).tolist()) for _ in range(150)]  # other vectors of one id
+    rows = [(i, v.tolist()) for i, v in enumerate(points)] + near + [(1001, (points[0] + 1e-4).tolist())] * 200
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(lists, "BLOCK", 40)
+    got = [r["vec_id"] for r in nearest(df, df.where("vec_id < 60"), 5).where("query_id = 0").orderBy("rank").collect()]
+    order = sorted(range(1, 300), key=lambda i: ((points[i] - points[0]) ** 2).sum())
+    assert got == [1001, 1000, *order[:3]]
+    # a query at the middle of a sphere reads all its lists
+    sphere = rng.normal(size=(400, 6))
+    graph = lists.CentroidGraph(sphere / np.sqrt((sphere**2).sum(1))[:, None])
+    asked = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([[1e-9] * 6])], ["id", "v"])
+    assert sum(b.num_rows for b in lists._route(graph, np.full(400, 50), 11)([asked])) == 400
+
+
 # -- packing
 
 
