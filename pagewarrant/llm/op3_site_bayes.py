@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import hashing as H
 from .features import fit_sparse
 from .op4_toxicity import held_out
-from .session import bounded_batches, checkpoint, sampled
+from .session import bounded_batches, checkpoint, one_text, sampled
 
 #: Labelled rows that the fit sees at most, those with the least hash of their id.
 SAMPLE = 8000
@@ -77,9 +77,9 @@ def _measured(batches):
 
 
 def fit(own: DataFrame, marks: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from texts and labels; the sample is chosen among ids, which are broadcast to the texts."""
+    """A model from texts and labels; the sample is chosen among ids, which are broadcast to the texts; a repeated id counts once."""
     ids = sampled(checkpoint(own.select("_k_id").where(~held_out("_k_id")).distinct().join(marks, "_k_id")), sample)
-    rows = own.select("_k_id", "_k_text").join(F.broadcast(ids), "_k_id").select("_k_text", "label").mapInArrow(_measured, "label int, x array<double>").collect()
+    rows = one_text(own, ids).mapInArrow(_measured, "label int, x array<double>").collect()
     y = np.array([r["label"] for r in rows])
     if not len(y) or len(set(y.tolist())) < 2:
         return Model(0.0, 1.0, np.zeros(3 * MEASURES), 0.0 if not len(y) else (6.0 if y[0] else -6.0))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from .features import counted, fit_sparse, word_features
-from .session import bounded_batches, checkpoint, releasing_batches, sampled
+from .session import bounded_batches, checkpoint, one_text, releasing_batches, sampled
 
 DIMS = 1 << 18
 #: Weight of squared score changes against the mean log loss.
@@ -91,14 +91,15 @@ def fit(own: DataFrame, marks: DataFrame, sample: int = SAMPLE, pull: float = PU
     """A model from texts (``_k_id, _k_text``) and labels (``_k_id, label``); without both labels it says 0 for all.
 
     The sample is chosen among ids; texts are joined to the chosen ids, which
-    are broadcast, so no text is shuffled that the fit does not see.
+    are broadcast, so no text is shuffled that the fit does not see.  A repeated
+    id counts once, with the least of its texts.
     """
     ids = checkpoint(own.select("_k_id").where(~held_out("_k_id")).distinct().join(marks, "_k_id"))
     sizes = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return Model([], [], 0.0 if sizes.get(1) and not sizes.get(0) else -30.0)
     classes = [sampled(ids.where(F.col("label") == k), sample, n_rows=sizes[k]) for k in (0, 1)]
-    rows = own.select("_k_id", "_k_text").join(F.broadcast(classes[0].unionByName(classes[1])), "_k_id").select("_k_text", "label")
+    rows = checkpoint(one_text(own, classes[0].unionByName(classes[1])))
     each = rows.mapInArrow(_vectors(None), _VECTOR).select("label", F.explode("features").alias("feature"))
     n0, n1 = (min(sample, sizes[k]) for k in (0, 1))
     seen = each.groupBy("feature").agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))

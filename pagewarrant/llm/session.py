@@ -58,6 +58,28 @@ def sampled(rows: DataFrame, n: int, id_col: str = "_k_id", n_rows: int | None =
     return rows.orderBy(key, id_col).limit(n)
 
 
+def _least_texts(batches):
+    least: dict = {}
+    schema = None
+    for batch in batches:
+        schema = batch.schema
+        for i, text, label in zip(*(batch.column(n).to_pylist() for n in ("_k_id", "_k_text", "label"))):
+            if i not in least or least[i][0] is None or (text is not None and text < least[i][0]):
+                least[i] = (text, label)
+    if schema is not None:
+        columns = {"_k_id": list(least), "_k_text": [t for t, _ in least.values()], "label": [x for _, x in least.values()]}
+        yield pa.RecordBatch.from_arrays([pa.array(columns[n], schema.field(n).type) for n in schema.names], schema=schema)
+
+
+def one_text(own: DataFrame, ids: DataFrame) -> DataFrame:
+    """``_k_text, label`` of each chosen id (``_k_id, label``), once however many rows it has: the least of its texts.
+
+    A task sends one row of an id at most, so repeated ids are no load.
+    """
+    rows = own.select("_k_id", "_k_text").join(F.broadcast(ids), "_k_id").select("_k_id", "_k_text", "label")
+    return rows.mapInArrow(_least_texts, rows.schema).groupBy("_k_id").agg(F.min("_k_text").alias("_k_text"), F.max("label").alias("label")).select("_k_text", "label")
+
+
 def release() -> None:
     """Give memory that a task has freed back to the system, for the workers that go on to other stages."""
     pa.default_memory_pool().release_unused()

@@ -359,6 +359,18 @@ def test_quality_shrinks_sparse_sites(spark):
     assert abs(out[1001]["host_posterior"] - out[1001]["path_posterior"]) < 0.2
 
 
+def test_repeated_ids_are_learnt_once(spark):
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choice(["awful", "nice"][i % 2 :: 2] + [f"w{k}" for k in range(30)]) for _ in range(20))) for i in range(200)]
+    marks = spark.createDataFrame([(i, 1 - i % 2) for i in range(200)], "_k_id long, label int")
+    loud = next(i for i in range(200) if zlib.crc32(str(i).encode()) % 5)  # not held out
+    once, often = (spark.createDataFrame(d, "_k_id long, _k_text string") for d in (docs, docs + [docs[loud]] * 700))
+    a, b = tox.fit(once, marks), tox.fit(often, marks)
+    assert len(a.features) and set(a.features) == set(b.features) and np.allclose(a.weights, b.weights, atol=1e-6) and abs(a.bias - b.bias) < 1e-6
+    a, b = site.fit(once, marks), site.fit(often, marks)
+    assert np.allclose(a.mean, b.mean) and np.allclose(a.weights, b.weights, atol=1e-6)
+
+
 # -- main text
 
 
