@@ -3,8 +3,9 @@
 Each language is a unigram distribution over the pieces of a fixed public
 vocabulary (word starts marked).  A word's probability is the sum over all its
 segmentations into pieces, by the forward algorithm; a text's is the product
-over its words.  The distributions come from expectation-maximisation over word
-counts of a bounded sample of labelled texts.
+over its words.  The distributions come from expectation-maximisation over the
+word counts of all labelled texts; Spark counts the words and, each round, sums
+the expected counts of pieces, so only those reach the driver.
 
 All languages and many words go through the same numpy recursion; a worker keeps
 the scores of words it has seen.
@@ -13,6 +14,7 @@ the scores of words it has seen.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -22,13 +24,8 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from .op4_toxicity import held_out
-from .session import bounded_batches, sampled
+from .session import bounded_batches, checkpoint
 
-#: Labelled texts per language that the fit sees at most, and words of one text.
-SAMPLE, SAMPLE_WORDS = 400, 2000
-#: Letters of a part: longer words are scored in parts.
-PART = 24
-LONGEST = 8
 ROUNDS = 3
 SMOOTH = 0.05
 CACHE = 600_000
@@ -39,70 +36,111 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 @lru_cache(maxsize=2)
 def pieces(path: str) -> tuple[str, ...]:
-    """Lower-case letter pieces of a vocabulary, at most LONGEST characters, in order; single marks and letters included."""
+    """Lower-case letter pieces of a vocabulary in order; single marks and letters included."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     out = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return tuple(sorted(p for p in out if 0 < len(p) <= LONGEST and (p == MARK or p.lstrip(MARK).isalpha() and MARK not in p[1:])))
+    return tuple(sorted(p for p in out if p and (p == MARK or p.lstrip(MARK).isalpha() and MARK not in p[1:])))
 
 
-def parts_of(word: str) -> list[str]:
-    word = MARK + word
-    return [word[k : k + PART] for k in range(0, len(word), PART)]
+#: Letters of a batch of words, padded.
+GRID = 65_536
+
+
+def batches_of(words: list[str]):
+    """Places of words in batches of like length, within a bounded grid."""
+    order = sorted(range(len(words)), key=lambda k: len(words[k]))
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end - at + 1) * len(words[order[end]]) <= GRID:
+            end += 1
+        yield order[at:end]
+        at = end
 
 
 class Lattice:
-    """The pieces at every span of a batch of word parts."""
-
-    def __init__(self, parts: list[str], hashes: np.ndarray, numbers: np.ndarray):
-        self.n, self.width = len(parts), max(map(len, parts), default=0)
-        self.lengths = np.array([len(p) for p in parts])
-        codes = np.zeros((self.n, self.width + 1), np.uint64)
-        flat = np.frombuffer("".join(p.ljust(self.width + 1, "\0") for p in parts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes[:] = flat.reshape(self.n, self.width + 1)
-        total = np.zeros((self.n, self.width + 1), np.uint64)
+    """The pieces at every span of a batch of marked words.
+
+    Alphas and betas are rescaled as they shrink, with the logarithm of the
+    scale kept for each word and language, so words may be of any length.
+    """
+
+    def __init__(self, words: list[str], hashes: np.ndarray, numbers: np.ndarray, longest: int = 16):
+        self.n, self.width = len(words), max(map(len, words), default=0)
+        self.lengths = np.array([len(w) for w in words])
+        self.hashes, self.numbers, self.longest = hashes, numbers, longest
+        flat = np.frombuffer("".join(w.ljust(self.width + 1, "\0") for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = flat.reshape(self.n, self.width + 1).astype(np.uint64)
+        self.total = np.zeros((self.width + 1, self.n), np.uint64)
         for j in range(self.width):
-            total[:, j + 1] = total[:, j] * _BASE + H.mix(codes[:, j] + np.uint64(1))
-        self.at: dict[tuple[int, int], np.ndarray] = {}
-        power = 1
-        for length in range(1, min(LONGEST, self.width) + 1):
-            power = power * int(_BASE) % (1 << 64)
-            for i in range(self.width - length + 1):
-                h = total[:, i + length] - total[:, i] * np.uint64(power)
-                k = np.searchsorted(hashes, h)
-                k[k == len(hashes)] = 0
-                # unknown single characters are the last number; other unknown spans are impossible
-                self.at[i, i + length] = np.where(hashes[k] == h, numbers[k], len(hashes) if length == 1 else -1)
-
-    def forward(self, probability: np.ndarray) -> np.ndarray:
-        """alpha[part, place, language]; probability has a row of zeros at -1."""
-        alpha = np.zeros((self.n, self.width + 1, probability.shape[1]))
-        alpha[:, 0] = 1
+            self.total[j + 1] = self.total[j] * _BASE + H.mix(codes[:, j] + np.uint64(1))
+        self.powers = np.array([pow(int(_BASE), k, 1 << 64) for k in range(longest + 1)], np.uint64)
+
+    def _numbers(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of spans (length - 1, word): unknown single characters are the last number, other unknown spans -1."""
+        k = np.searchsorted(self.hashes, h)
+        k[k == len(self.hashes)] = 0
+        out = np.where(self.hashes[k] == h, self.numbers[k], -1)
+        out[0][out[0] < 0] = len(self.hashes)
+        return out
+
+    def ending(self, j: int) -> np.ndarray:
+        most = min(self.longest, j)
+        return self._numbers(self.total[j] - self.total[j - most : j][::-1] * self.powers[1 : most + 1, None])
+
+    def starting(self, i: int) -> np.ndarray:
+        most = min(self.longest, self.width - i)
+        return self._numbers(self.total[i + 1 : i + most + 1] - self.total[i] * self.powers[1 : most + 1, None])
+
+    def _rescaled(self, window: np.ndarray, scale: np.ndarray, now: np.ndarray) -> None:
+        top = window.max(0)
+        top[top == 0] = 1
+        window /= top
+        scale += np.log(top)
+        now += np.log(top)
+
+    def forward(self, probability: np.ndarray):
+        """alpha[place, word, language] and its log scales; probability has a row of zeros at -1."""
+        shape = (self.width + 1, self.n, probability.shape[1])
+        alpha, scale, now = np.zeros(shape), np.zeros(shape), np.zeros(shape[1:])
+        alpha[0] = 1
         for j in range(1, self.width + 1):
-            for i in range(max(0, j - LONGEST), j):
-                alpha[:, j] += alpha[:, i] * probability[self.at[i, j]]
-        return alpha
+            ids = self.ending(j)
+            alpha[j] = np.einsum("knl,knl->nl", alpha[j - len(ids) : j][::-1], probability[ids])
+            scale[j] = now
+            if j % 8 == 0:
+                low = max(0, j - self.longest)
+                self._rescaled(alpha[low : j + 1], scale[low : j + 1], now)
+        return alpha, scale
 
     def score(self, probability: np.ndarray) -> np.ndarray:
-        """Log probability of each part in each language."""
-        return np.log(self.forward(probability)[np.arange(self.n), self.lengths])
+        """Log probability of each word in each language."""
+        alpha, scale = self.forward(probability)
+        at = self.lengths, np.arange(self.n)
+        return np.log(alpha[at]) + scale[at]
 
     def expected(self, probability: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Expected piece counts, for counts[part, language]."""
-        alpha = self.forward(probability)
-        beta = np.zeros_like(alpha)
-        beta[np.arange(self.n), self.lengths] = 1
-        for i in range(self.width - 1, -1, -1):
-            for j in range(i + 1, min(self.width, i + LONGEST) + 1):
-                beta[:, i] += beta[:, j] * probability[self.at[i, j]]
-        weight = counts / np.maximum(alpha[np.arange(self.n), self.lengths], 1e-300)
+        """Expected piece counts, for counts[word, language]."""
+        alpha, scale = self.forward(probability)
+        at = self.lengths, np.arange(self.n)
+        whole = np.log(alpha[at]) + scale[at]
+        beta, back, now = np.zeros_like(alpha), np.zeros_like(scale), np.zeros_like(whole)
+        beta[at] = 1
         out = np.zeros((len(probability) - 1, probability.shape[1]))
-        for (i, j), ids in self.at.items():
-            use = (ids >= 0) & (j <= self.lengths)
-            got = alpha[use, i] * probability[ids[use]] * beta[use, j] * weight[use]
+        for i in range(self.width - 1, -1, -1):
+            ids = self.starting(i)
+            after = slice(i + 1, i + 1 + len(ids))
+            step = probability[ids] * beta[after]
+            beta[i] += step.sum(0)
+            back[i] = now
+            got = alpha[i] * step * np.exp(np.minimum(scale[i] + back[after] - whole, 600)) * counts
             for lang in range(out.shape[1]):
-                out[:, lang] += np.bincount(ids[use], got[:, lang], len(out))
+                some = got[:, :, lang] > 0
+                out[:, lang] += np.bincount(ids[some], got[:, :, lang][some], len(out))
+            if i % 8 == 0:
+                self._rescaled(beta[i : i + self.longest], back[i : i + self.longest], now)
         return out
 
 
@@ -122,23 +160,18 @@ class Model:
     def __init__(self, langs: list[str], vocabulary: tuple[str, ...], probability: np.ndarray):
         self.langs, self.probability = langs, probability  # a row per piece, one for unknown characters, one of zeros
         self.hashes, self.numbers = _keys(vocabulary)
+        self.longest = max(map(len, vocabulary), default=1)
         self.known: dict[str, int] = {}
         self.table = np.zeros((0, len(langs)))
 
     def __getstate__(self):
-        return {"langs": self.langs, "probability": self.probability, "hashes": self.hashes, "numbers": self.numbers, "known": {}, "table": np.zeros((0, len(self.langs)))}
+        return {"langs": self.langs, "probability": self.probability, "hashes": self.hashes, "numbers": self.numbers, "longest": self.longest, "known": {}, "table": np.zeros((0, len(self.langs)))}
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        parts, owner = [], []
-        for k, w in enumerate(words):
-            for p in parts_of(w):
-                parts.append(p)
-                owner.append(k)
         out = np.zeros((len(words), len(self.langs)))
-        order = sorted(range(len(parts)), key=lambda k: len(parts[k]))
-        for a in range(0, len(order), 4096):
-            own = order[a : a + 4096]
-            np.add.at(out, [owner[k] for k in own], Lattice([parts[k] for k in own], self.hashes, self.numbers).score(self.probability))
+        marked = [MARK + w for w in words]
+        for own in batches_of(marked):
+            out[own] = Lattice([marked[k] for k in own], self.hashes, self.numbers, self.longest).score(self.probability)
         return out
 
     def text_scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,50 +194,53 @@ class Model:
         return out, count
 
 
-def _sample_words(batches):
+def _count_words(batches):
     schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
     for batch in batches:
-        seen: dict[tuple, int] = {}
+        seen: Counter = Counter()
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for w in _WORDS.findall((text or "").lower())[:SAMPLE_WORDS]:
-                seen[lang, w] = seen.get((lang, w), 0) + 1
+            seen.update((lang, w) for w in _WORDS.findall((text or "").lower()))
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], schema=schema)
 
 
-def fit(labelled: DataFrame, vocabulary: str, sample: int = SAMPLE) -> Model:
+def _expect(model: Model):
+    """Expected piece counts of a partition's words: a row for each piece that any has."""
+
+    def expect(batches):
+        column = {x: k for k, x in enumerate(model.langs)}
+        got = np.zeros((len(model.probability) - 1, len(model.langs)))
+        for batch in batches:
+            place: dict[str, int] = {}
+            at = [place.setdefault(w, len(place)) for w in batch.column("word").to_pylist()]
+            counts = np.zeros((len(place), len(model.langs)))
+            np.add.at(counts, (at, [column[x] for x in batch.column("lang").to_pylist()]), batch.column("n").to_numpy())
+            marked = [MARK + w for w in place]
+            for own in batches_of(marked):
+                got += Lattice([marked[k] for k in own], model.hashes, model.numbers, model.longest).expected(model.probability, counts[own])
+        some = np.flatnonzero(got.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, got.shape[1]).astype(np.int32)), pa.array(np.tile(np.arange(got.shape[1], dtype=np.int32), len(some))), pa.array(got[some].ravel())], ["piece", "lang", "n"])
+
+    return expect
+
+
+def fit(labelled: DataFrame, vocabulary: str) -> Model:
     """A model from rows ``_k_id, _k_text, lang``."""
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(sizes)
-    picked = None
-    ids = labelled.select("_k_id", "lang")
-    for lang in langs:  # a bounded sample of each
-        own = sampled(ids.where(F.col("lang") == lang), sample, n_rows=sizes[lang]).distinct()
-        picked = own if picked is None else picked.unionByName(own)
-    if picked is not None:
-        picked = labelled.join(F.broadcast(picked), ["_k_id", "lang"]).select("lang", "_k_text")
+    langs = [r["lang"] for r in labelled.select("lang").distinct().orderBy("lang").collect()]
     vocab = pieces(vocabulary)
     probability = np.zeros((len(vocab) + 2, len(langs)))
-    if picked is None:
-        return Model(langs, vocab, probability)
-    rows = picked.mapInArrow(_sample_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()
-    words = sorted({r["word"] for r in rows})
-    place, column = {w: k for k, w in enumerate(words)}, {x: k for k, x in enumerate(langs)}
-    counts = np.zeros((len(words), len(langs)))
-    for r in rows:
-        counts[place[r["word"]], column[r["lang"]]] = r["n"]
-    parts = [(p, k) for k, w in enumerate(words) for p in parts_of(w)]
-    parts.sort(key=lambda x: len(x[0]))
-    hashes, numbers = _keys(vocab)
+    model = Model(langs, vocab, probability)
+    if not langs:
+        return model
+    words = labelled.select("lang", "_k_text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    words = checkpoint(words)
     probability[:-1] = 1 / (len(vocab) + 1)
     probability[-2] = 1e-6
     for _ in range(ROUNDS):
-        got = np.zeros((len(vocab) + 1, len(langs)))
-        for a in range(0, len(parts), 8192):
-            own = parts[a : a + 8192]
-            got += Lattice([p for p, _ in own], hashes, numbers).expected(probability, counts[[k for _, k in own]])
-        got += SMOOTH
+        got = np.full((len(vocab) + 1, len(langs)), SMOOTH)
+        for r in words.mapInArrow(_expect(model), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).collect():  # a row per piece and language
+            got[r["piece"], r["lang"]] += r["n"]
         probability[:-1] = got / got.sum(0)
-    return Model(langs, vocab, probability)
+    return model
 
 
 def _predict(model: Model):
@@ -229,7 +265,7 @@ def _predict(model: Model):
     return predict
 
 
-def identify(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
+def identify(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``_k_id, held_out, lang_pred, score`` for every row of ``docs``.
 
     Learns from rows that are not held out and whose language is not null;
@@ -241,7 +277,7 @@ def identify(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     bounded_batches(docs.sparkSession)
     own = docs.select(F.col(f"`{id_col}`").alias("_k_id"), F.col(f"`{text_col}`").alias("_k_text"), F.col(f"`{lang_col}`").alias("lang"))
     out = held_out("_k_id", 4, 2)
-    model = fit(own.where(~out & F.col("lang").isNotNull() & F.col("_k_text").isNotNull()), vocabulary, sample)
+    model = fit(own.where(~out & F.col("lang").isNotNull() & F.col("_k_text").isNotNull()), vocabulary)
     own = own.select("_k_id", "_k_text")
     scored = own.mapInArrow(_predict(model), own.drop("_k_text").schema.add("lang_pred", "string").add("score", "double"))
     return scored.withColumn("held_out", held_out("_k_id", 4, 2)).select("_k_id", "held_out", "lang_pred", "score")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -344,6 +345,23 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [np.log(brute(w)) for w in words])
 
 
+def test_words_are_read_whole():
+    vocab = tuple(sorted({"▁", "▁a", "a", "b", "ab", "abababababab"}))
+    hashes, numbers = lang._keys(vocab)
+    p = np.append(np.full(len(vocab) + 1, 1e-3), 0)[:, None]
+    word = "▁" + "ab" * 900
+    lattice = lang.Lattice([word, "▁ab"], hashes, numbers, 12)
+    # all segmentations, in whole numbers
+    total = [1] + [0] * len(word)
+    for j in range(1, len(word) + 1):
+        total[j] = sum(total[j - n] * 1000 ** (n - 1) for n in range(1, 13) if j >= n and word[j - n : j] in vocab)
+    assert abs(lattice.score(p)[0, 0] - (math.log(total[-1]) - len(word) * math.log(1000))) < 1e-6
+    counts = lattice.expected(p, np.ones((2, 1)))
+    lengths = np.array([len(v) for v in vocab] + [1])
+    assert abs((counts[:, 0] * lengths).sum() - len(word) - 3) < 1e-3
+    assert any(len(x) > 8 for x in lang.pieces(P.path("piece_bpe_32k.model")))
+
+
 def test_quality_shrinks_sparse_sites(spark):
     rng = random.Random(1)
     docs, labels = [], []
