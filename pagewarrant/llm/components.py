@@ -8,6 +8,23 @@ from pyspark.sql import functions as F
 from .session import checkpoint
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """The least node around each ``a``, itself included.
+
+    It is stored, so that a join with it reads two plain tables: the edges of a
+    hub are then split over tasks as any skewed join's are.
+    """
+    return checkpoint(edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+
+
+def _linked(edges: DataFrame, least: DataFrame) -> DataFrame:
+    return edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+
+
+def _downward(edges: DataFrame) -> DataFrame:
+    return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for edges ``a, b`` of any ordered type: the component is its least node.
 
@@ -16,16 +33,13 @@ def components(edges: DataFrame) -> DataFrame:
     log(diameter) rounds, each a shuffle of the edges with map-side combining,
     and no row ever holds a neighbourhood.
     """
-    edges = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    edges = checkpoint(_downward(edges))
     before = None
     while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        edges = checkpoint(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        larger = checkpoint(_downward(_linked(both.where("b > a"), _least(both))))
+        least = _least(larger)
+        edges = checkpoint(_downward(_linked(larger, least).unionByName(least.select("a", F.col("m").alias("b")))))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -82,7 +82,7 @@ def _sign(n: int, bands: int, rows: int):
                 with np.errstate(over="ignore"):
                     for r in range(rows):
                         codes = H.mix(codes * H.U(0x9E3779B97F4A7C15) + least[:, r::rows])
-                keys = [hashlib.md5(b" ".join(raw[at[i] : at[i + 1]].split())).digest() for i, _ in got]
+                keys = [_key(raw[at[i] : at[i + 1]]) for i, _ in got]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(keys, pa.binary()),
@@ -95,16 +95,22 @@ def _sign(n: int, bands: int, rows: int):
     return sign
 
 
+def _key(text: bytes) -> bytes:
+    """What texts with the same words share."""
+    return hashlib.md5(b" ".join(text.split())).digest()
+
+
 def _sets(n: int):
-    """The n-gram set of each text, as sorted 64-bit hashes, for keys that are wanted."""
+    """Each text's key and its n-gram set, as sorted 64-bit hashes."""
     schema = pa.schema([("key", pa.binary()), ("grams", pa.binary())])
 
     def sets(batches):
         for batch in batches:
             buf, off = H.column_bytes(batch.column("_k_text"))
-            keys = batch.column("key").to_pylist()
             for x, y in H.chunks(off, 1_000_000):
-                got = [(keys[x + i], np.unique(g).tobytes()) for i, g in _grams(buf[off[x] : off[y]], off[x : y + 1] - off[x], n)]
+                part, at = buf[off[x] : off[y]], off[x : y + 1] - off[x]
+                raw = part.tobytes()
+                got = [(_key(raw[at[i] : at[i + 1]]), np.unique(g).tobytes()) for i, g in _grams(part, at, n)]
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*got)], schema=schema)
 
@@ -179,18 +185,27 @@ def _compare(threshold: float):
     return compare
 
 
+def words_key(text: F.Column) -> F.Column:
+    """``_k_text_key`` of a text as an expression: null for texts without words."""
+    words = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[ \\t\\n\\x0B\\f\\r]+", " "))
+    return F.when(words != "", F.unhex(F.md5(words.cast("binary"))))
+
+
 def minhash_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Near-duplicate classes: ``_k_id, _k_text_key, class_id, n_links`` for each row of ``docs``.
+    """Near-duplicate classes: ``_k_id, _k_text_key, _k_class_key, class_id, n_links`` for each row of ``docs``.
 
     Two documents are linked if the Jaccard similarity of their sets of ``n``
     consecutive white-space words is at least ``threshold`` (a text of fewer
     words is one gram).  ``n_links`` counts the other documents linked to a
-    document, ``class_id`` is the least id in its connected component.
+    document, ``class_id`` is the least id in its connected component
+    (``_k_class_key`` tells components apart where ids repeat).
     Copies are counted, not compared.
 
     Null and empty texts have no grams: their class is their own id, without
     links.  A row with a null id takes no part and has a null class.  Repeated
-    rows count as documents that are linked.
+    rows count as documents that are linked, and rows of one id with different
+    texts as different documents.  An empty table gives no rows; other columns
+    are not read.
     """
     bounded_batches(docs.sparkSession)
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("_k_id"), F.col(f"`{text_col}`").alias("_k_text"))
@@ -205,7 +220,7 @@ def minhash_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = shared.groupBy("members", "who").agg(F.min(F.struct("band", "code", "head")).alias("b")).select("b.*", "members")
     inside = checkpoint(places.join(shared, ["band", "code"]).select("key", "band", "code", "members", "head"))
     linked = components(inside.select(F.col("key").alias("a"), F.col("head").alias("b")))
-    of_component = linked.join(linked.groupBy("component").agg(F.count("*").alias("members")), "component")
+    of_component = linked.join(checkpoint(linked.groupBy("component").agg(F.count("*").alias("members"))), "component")
 
     # block pairs of components, or of buckets where a component is too large
     def blocks(df: DataFrame) -> DataFrame:
@@ -220,7 +235,8 @@ def minhash_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tasks = blocks(whole.unionByName(bucket))
 
     wanted = linked.select(F.col("node").alias("key")).join(texts, "key").select("key", "copies", "least", "bands")
-    first = own.where("_k_id is not null").join(few(wanted.select(F.col("least").alias("_k_id"), "key")), "_k_id")
+    # rows with such an id may hold other texts: their keys are told from the text and join nothing
+    first = own.where("_k_id is not null").join(few(wanted.select(F.col("least").alias("_k_id")).distinct()), "_k_id", "left_semi")
     sets = first.mapInArrow(releasing_batches(_sets(n)), "key binary, grams binary").dropDuplicates(["key"])
     work = tasks.join(sets, "key").join(wanted.select("key", "copies", "bands"), "key")
     work = work.withColumn("bands", F.when(F.col("band").isNotNull(), F.col("bands")))
@@ -230,9 +246,9 @@ def minhash_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     counts = links.groupBy("key").agg(F.sum("links").alias("links"))
     named = texts.select("key", "copies", "least").join(counts, "key", "left").join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("class_id"))
-    result = named.join(smallest, "component").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    found = signed.select("id", "key").join(result, "key").select(F.col("id").alias("_k_id"), F.col("key").alias("_k_text_key"), "class_id", "n_links")
+    smallest = checkpoint(named.groupBy("component").agg(F.min("least").alias("class_id")))
+    result = named.join(smallest, "component").select("key", F.col("component").alias("_k_class_key"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    found = signed.select("id", "key").join(result, "key").select(F.col("id").alias("_k_id"), F.col("key").alias("_k_text_key"), "_k_class_key", "class_id", "n_links")
     # rows without grams or id
     bare = own.where(F.col("_k_id").isNull() | ~F.coalesce(F.col("_k_text"), F.lit("")).rlike("[^ \\t\\n\\x0B\\f\\r]"))
-    return found.unionByName(bare.select("_k_id", F.lit(None).cast("binary").alias("_k_text_key"), F.col("_k_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    return found.unionByName(bare.select("_k_id", F.lit(None).cast("binary").alias("_k_text_key"), F.lit(None).cast("binary").alias("_k_class_key"), F.col("_k_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))

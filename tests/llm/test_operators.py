@@ -97,6 +97,21 @@ def test_minhash_join_in_blocks_and_by_bucket(spark, monkeypatch):
         assert got == want
 
 
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"t{rng.randrange(10_000)}" for _ in range(40)) for _ in range(3)]
+    docs = [(1, t) for t in texts] + [(2 + k, t + " tail") for k, t in enumerate(texts)] + [(9, texts[0])] * 2
+    got = sorted((tuple(r) for r in minhash_join(spark.createDataFrame(docs, "doc_id long, text string")).select("_k_id", "class_id", "n_links").collect()), key=str)
+    assert got == _classes(docs)
+
+
+def test_a_hub_of_copies(spark):
+    """One text that hundreds of near copies are linked with, each only with it: components around a hub."""
+    edges = [(0, k) for k in range(1, 3000)] + [(k, k + 10_000) for k in range(1, 50)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got.values()) == {0} and len(got) == 3000 + 49
+
+
 def test_band_shape():
     bands, rows = band_shape(0.8, 0.9999, 128)
     assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.9999

@@ -45,5 +45,17 @@ def test_stages(spark, tmp_path):
     assert sorted(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "ids_crc32").collect()) == sorted(now.select("doc_id", "start", "ids_crc32").collect())
 
 
+def test_near_copies_row_by_row(spark, tmp_path):
+    """Repeated ids with differing texts, null ids, rows without words, an empty table."""
+    rng = random.Random(2)
+    a, b, c = (" ".join(f"w{rng.randrange(10_000)}" for _ in range(30)) for _ in range(3))
+    docs = [(1, a, "x"), (1, b, "y"), (1, None, "z"), (2, b + " t", "x"), (3, c, "x"), (3, c, "x"), (3, c.replace(" ", "  "), "x"), (4, "", "x"), (None, a, "x"), (5, a, "x"), (5, "another text", "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, _k_key string")
+    got = sorted((tuple(r) for r in corpus_pipeline.drop_near_copies(spark, df.withColumnRenamed("_k_key", "source"), "").collect()), key=str)
+    want = [(1, a, "x"), (1, b, "y"), (1, None, "z"), (3, min(c, c.replace(" ", "  ")), "x"), (4, "", "x"), (None, a, "x"), (5, "another text", "x")]
+    assert got == sorted(want, key=str)
+    assert corpus_pipeline.drop_near_copies(spark, df.where("false"), "").count() == 0
+
+
 def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
