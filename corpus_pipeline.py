@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagewarrant.llm.op4_toxicity import toxicity
 from pagewarrant.llm.op5_packing import pack
-from pagewarrant.llm.op8_minhash import minhash_join
+from pagewarrant.llm.op8_minhash import minhash_join, words_key
 from pagewarrant.llm.op9_winnowing import decontaminate
 from pagewarrant.llm.op10_suffix_array import suffix_array_dedup
 from pagewarrant.llm.session import checkpoint, few
@@ -29,14 +29,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least id stays; rows with one id are one document."""
-    gone = checkpoint(minhash_join(docs).where("_k_id <> class_id").select(F.col("_k_id").alias("doc_id")).distinct())
-    kept = docs.join(few(gone), "doc_id", "left_anti")
-    again = checkpoint(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if again.isEmpty():
-        return kept.select(docs.columns)
-    once = kept.join(few(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(few(again), "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    """Of each class of near-duplicates one row stays: the least id's, of several texts of that id the one with the least key.
+
+    Rows of one id are judged each by its own text; of rows alike in id and words the least stays.  Rows without words stay.
+    """
+    found = checkpoint(minhash_join(docs).where("_k_text_key is not null").select(F.col("_k_id").alias("doc_id"), F.col("_k_text_key").alias("_k_key"), "_k_class_key", "class_id"))
+    keep = found.where("doc_id = class_id").groupBy("_k_class_key").agg(F.min("_k_key").alias("_k_key"), F.min("doc_id").alias("doc_id")).drop("_k_class_key")
+    again = few(checkpoint(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")))
+    gone = few(checkpoint(found.join(keep, "doc_id", "left_anti").select("doc_id").distinct()))
+    once = docs.join(again, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(docs.columns)
+    # ids of several rows, text by text
+    several = docs.join(again, "doc_id", "left_semi").withColumn("_k_key", words_key(F.col("text")))
+    worded = several.where("_k_key is not null").groupBy("doc_id", "_k_key").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_k_row"))
+    worded = worded.join(keep, ["doc_id", "_k_key"], "left_semi").select("_k_row.*")
+    return once.unionByName(worded.select(docs.columns)).unionByName(several.where("_k_key is null").select(docs.columns))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
