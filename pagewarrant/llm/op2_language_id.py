@@ -14,6 +14,7 @@ the scores of words it has seen.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from functools import lru_cache
 
@@ -30,7 +31,9 @@ ROUNDS = 3
 SMOOTH = 0.05
 CACHE = 600_000
 MARK = "▁"
-_WORDS = re.compile(r"[^\W\d_]+")
+#: Runs of letters: characters of words that are no digits, other numbers (such as ½ and ²) or underscores.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
+_WORDS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -272,7 +275,10 @@ def identify(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     predictions see the text alone.  ``score`` is the share of the predicted
     language in the texts' probabilities under all languages.  Texts that are
     null or have no letter are ``und`` with score 0, as are all without any
-    labelled row; ties go to the first language in order.
+    labelled row; ties go to the first language in order.  Texts are read whole
+    whatever their length; repeated rows are learnt from and scored each; a null
+    id is never held out; an empty table gives no rows; other columns are not
+    read, so that their names don't matter.
     """
     bounded_batches(docs.sparkSession)
     own = docs.select(F.col(f"`{id_col}`").alias("_k_id"), F.col(f"`{text_col}`").alias("_k_text"), F.col(f"`{lang_col}`").alias("lang"))

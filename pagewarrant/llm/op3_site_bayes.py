@@ -5,7 +5,8 @@ document evidence.  Grouped aggregations over all documents give each host and
 each path of a host the mean of that evidence; a path's posterior shrinks to its
 host's, a host's to the global one, with prior strengths estimated from the
 spread between groups (method of moments).  A document's score combines its own
-evidence with how its path's posterior differs from the global prior.
+evidence with how the posterior that its path would have without it differs from
+the global prior, so that no evidence counts twice.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from . import hashing as H
 from .features import fit_sparse
 from .op4_toxicity import held_out
-from .session import bounded_batches, checkpoint, one_text, sampled
+from .session import bounded_batches, checkpoint, few, one_text, sampled
 
 #: Labelled rows that the fit sees at most, those with the least hash of their id.
 SAMPLE = 8000
@@ -125,8 +126,14 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     ``host`` and ``path`` are columns of ``docs`` (default ``source`` and
     ``lang``); null ones are a group of their own.  Labels are 0 or 1 by id
     (the highest of several); held-out rows are never learnt from.  ``score`` is
-    the probability of quality 1; null and empty texts are scored by their
-    measures, all zero.
+    the probability of quality 1.
+
+    Null and empty texts are scored by their measures, all zero; very long ones
+    by their whole length.  Repeated rows count each in their groups and are
+    scored alike (they are learnt from once); a score of exactly 0.5 is
+    predicted 1.  Without labels of both kinds the evidence is that of the one
+    that there is, or 0.  An empty table gives no rows.  Columns other than id,
+    text, host and path are not read.
     """
     bounded_batches(docs.sparkSession)
     host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
@@ -135,15 +142,25 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     )
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_k_id")).agg(F.max(label_col).cast("int").alias("label")).where("_k_id is not null")
     model = fit(own, marks, sample)
-    scored = own.mapInArrow(_evidence(model), own.drop("_k_text").schema.add("evidence", "double")).withColumn("p", 1 / (1 + F.exp(-F.col("evidence"))))
-    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.avg("p").alias("mean"), F.sum(F.col("p") ** 2).alias("squares"))
-    paths = checkpoint(paths)
+    scored = own.mapInArrow(_evidence(model), own.drop("_k_text").schema.add("evidence", "double"))
+    scored = checkpoint(scored.withColumn("p", 1 / (1 + F.exp(-F.col("evidence")))))  # texts are measured once
+    paths = checkpoint(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.avg("p").alias("mean"), F.sum(F.col("p") ** 2).alias("squares")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n_host"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean_host"), F.sum("squares").alias("squares"))
     whole = hosts.agg((F.sum(F.col("n_host") * F.col("mean_host")) / F.sum("n_host")).alias("m")).first()["m"]
     prior = 0.5 if whole is None else float(whole)
     a_host = _strength(hosts.select(F.col("n_host").alias("n"), F.col("mean_host").alias("mean"), "squares"))
     a_path = _strength(paths)
-    posterior = paths.join(hosts, "host").withColumn("host_posterior", (F.col("n_host") * F.col("mean_host") + a_host * prior) / (F.col("n_host") + a_host))
-    posterior = posterior.select("path", "host_posterior", ((F.col("n") * F.col("mean") + a_path * F.col("host_posterior")) / (F.col("n") + a_path)).alias("path_posterior"))
-    out = scored.join(posterior, "path").withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_posterior")) - _logit(F.lit(prior))))))
+    posterior = few(checkpoint(paths.join(hosts.drop("squares"), "host").select("path", "n", "mean", "n_host", "mean_host")))
+
+    def shrunk(n, mean, n_host, mean_host):
+        """Posteriors of a host and of a path of it."""
+        of_host = (n_host * mean_host + a_host * prior) / (n_host + a_host)
+        return of_host, (n * mean + a_path * of_host) / (n + a_path)
+
+    n, mean, n_host, mean_host, p = (F.col(c) for c in ("n", "mean", "n_host", "mean_host", "p"))
+    of_host, of_path = shrunk(n, mean, n_host, mean_host)
+    others = F.greatest(n - 1, F.lit(1)), F.greatest(n_host - 1, F.lit(1))
+    _, without = shrunk(n - 1, (n * mean - p) / others[0], n_host - 1, (n_host * mean_host - p) / others[1])
+    out = scored.join(posterior, "path").withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") + _logit(without) - _logit(F.lit(prior))))))
+    out = out.withColumn("host_posterior", of_host).withColumn("path_posterior", of_path)
     return out.select("_k_id", held_out("_k_id").alias("held_out"), "evidence", "host_posterior", "path_posterior", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

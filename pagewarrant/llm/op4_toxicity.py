@@ -29,6 +29,8 @@ PULL = 10.0
 SAMPLE = 3000
 #: Features of the fit.
 FEATURES = 4096
+#: A term is swapped for those so many places further in the list; 0: for none.
+SWAPS = (0, 1, 5, 11)
 #: Terms for groups of people that are swapped for each other.
 IDENTITY_TERMS = (
     "asian atheist black blind buddhist catholic christian deaf disabled female gay hindu immigrant jewish latino lesbian male "
@@ -121,19 +123,31 @@ def fit(own: DataFrame, marks: DataFrame, sample: int = SAMPLE, pull: float = PU
 
 
 def _counterfactuals(rows, cols, values, kept, terms):
-    """Score differences when a term of a text is swapped for the next terms of the list, or for none."""
+    """Vectors of texts less those of the same texts with a term swapped for later terms of the list, or for none.
+
+    Every occurrence of the term is swapped, and the words and prefixes of the
+    new text are counted anew: prefixes that both terms have stay, and a term
+    that the text has already is counted with those that it had.
+    """
     at = np.where(terms >= 0, np.searchsorted(kept, np.maximum(terms, 0)), -1)
     by_word = {int(a[0]): k for k, a in enumerate(at)}
+    own = np.flatnonzero(np.isin(cols, at[at >= 0]))
+    count = {(r, c): int(round(n)) for r, c, n in zip(rows[own].tolist(), cols[own].tolist(), np.expm1(values[own]).tolist())}
     p_rows, p_cols, p_values, n = [], [], [], 0
-    for k in np.flatnonzero(np.isin(cols, list(by_word))).tolist():
-        term = by_word[int(cols[k])]
-        for step in (0, 1, 5, 11):
-            other = (term + step) % len(terms)
-            for a, sign in ((at[term], 1.0), (at[other], -1.0 if step else 0.0)):
-                for c in a[a >= 0].tolist() if sign else ():
-                    p_rows.append(n)
-                    p_cols.append(c)
-                    p_values.append(sign * values[k])
+    for (row, col), times in count.items():
+        if col not in by_word:
+            continue
+        for step in SWAPS:
+            change = dict.fromkeys(at[by_word[col]][at[by_word[col]] >= 0].tolist(), -times)
+            if step:
+                other = at[(by_word[col] + step) % len(terms)]
+                for c in other[other >= 0].tolist():
+                    change[c] = change.get(c, 0) + times
+            for c, more in change.items():
+                before = count.get((row, c), 0)
+                p_rows.append(n)
+                p_cols.append(c)
+                p_values.append(np.log1p(before) - np.log1p(before + more))
             n += 1
     return (np.array(p_rows), np.array(p_cols), np.array(p_values), n) if n else ()
 
@@ -159,8 +173,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Labels are 0 or 1 by id; other values and null ids are ignored, and of
     several for one id the highest counts.  Rows held out (``held_out``) and
-    unlabelled rows are only scored.  Null and empty texts get the bias alone.
-    Without labels of both kinds, all get the one that there is, or 0.
+    unlabelled rows are only scored.  Null and empty texts get the bias alone;
+    very long ones are read whole.  Repeated rows are scored each and learnt
+    from once; a score of exactly 0.5 is predicted 1.  Without labels of both
+    kinds, all get the one that there is, or 0.  An empty table gives no rows;
+    other columns of any name come back in ``_k_row``.
     """
     bounded_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != text_col]

@@ -26,17 +26,18 @@ SIZE = 2048
 END = 1
 #: Words whose ids a Python worker keeps.
 CACHE = 500_000
-#: Punctuation that may follow a word of letters, and white space of Python's that is not the tokenizer's.
+#: Punctuation that may follow a word of letters, and white space to Python that is none to the tokenizer.
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _CONTROL = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
+@lru_cache(maxsize=4)
+def _tokenizer(path: str, words: bool = False):
+    """The tokenizer; for single words, one that reads the special strings as ordinary text."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # special strings in a text are ordinary text
+    t.encode_special_tokens = words
     return t
 
 
@@ -44,11 +45,14 @@ class WordIds:
     """Ids of texts, word by word.
 
     The tokenizer drops white space and never joins words over it, so a text's
-    ids are those of its words; each distinct word is encoded once.
+    ids are those of its words; each distinct word is encoded once.  A text that
+    holds one of the special strings, which have ids of their own, goes to the
+    tokenizer as it is.
     """
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
+        self.tokenizer, self.whole = _tokenizer(path, True), _tokenizer(path)
+        self.as_is = (*_CONTROL, *(t.content for t in self.whole.get_added_tokens_decoder().values()))
         self.known: dict[str, bytes] = {"": b""}
         vocab = self.tokenizer.get_vocab()
         self.word_end = np.zeros(max(vocab.values(), default=0) + 1, bool)
@@ -97,7 +101,7 @@ class WordIds:
         words: list = []
         seen: dict[bool, set[str]] = {True: set(), False: set()}
         for t in texts:
-            if any(c in t for c in _CONTROL):  # white space to Python, not to the tokenizer
+            if any(c in t for c in self.as_is):
                 words.append(None)
                 continue
             try:
@@ -112,7 +116,7 @@ class WordIds:
         for simple, ws in seen.items():
             self._learn(ws.difference(self.known), simple)
         get = self.known.__getitem__
-        return [b"".join(map(get, ws)) if ws is not None else self._encode([t])[0] for ws, t in zip(words, texts)]
+        return [b"".join(map(get, ws)) if ws is not None else np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for ws, t in zip(words, texts)]
 
 
 _WORDS: dict[str, WordIds] = {}

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 from pagewarrant.llm import op2_language_id as lang
@@ -216,9 +217,13 @@ def test_packing_round_trip(spark):
     rng = random.Random(6)
     docs = [(i, " ".join(rng.choice(["Hello,", "wörld", "it's", "naïve.", "x" * 30, "日本", "<|endoftext|>", "12"]) for _ in range(rng.choice([0, 3, 50, 900, 4000])))) for i in range(60)]
     docs += [(100, None), (101, ""), (None, "null id"), (102, "same"), (102, "same"), (103, "a\x1cb c")]
+    docs += [(104, "A<|endoftext|>b <|startoftext|>"), (105, "<|ENDOFTEXT|> c"), (106, "<|endoftext|>"), (107, "<|startof text|>")]
     path = P.path("word_bpe_49k.json")
-    rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), path, size=256).collect()
-    ids = {t: [*packing.word_ids(path).tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for _, t in docs}
+    df = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, start string, length int")
+    rows = packing.pack(df.repartition(3), path, size=256).collect()
+    plain = tokenizers.Tokenizer.from_file(path)
+    ids = {t: [*plain.encode(t or "", add_special_tokens=False).ids, 1] for _, t in docs}
+    assert ids["<|endoftext|>"] == [49407, 1] and len(ids["<|ENDOFTEXT|> c"]) > 3
     want = collections.Counter()
     for d, t in docs:
         x = ids[t]
@@ -325,6 +330,10 @@ def test_toxicity_held_out_and_neutral_mentions(spark):
 def test_toxicity_without_labels(spark):
     d = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert tox.toxicity(d, spark.createDataFrame([], "doc_id long, toxic int")).collect()[0]["predicted"] == 0
+    marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert tox.toxicity(d.where("false"), marks).count() == 0
+    clash = spark.createDataFrame([(1, "x " * 30_000, 7, "y")] * 2 + [(2, "y", 8, None)], "doc_id long, text string, score int, held_out string")
+    assert sorted((r["_k_row"]["score"], r["_k_row"]["held_out"] or "") for r in tox.toxicity(clash, marks).collect()) == [(7, "y"), (7, "y"), (8, "")]
 
 
 def test_language(spark):
@@ -337,6 +346,55 @@ def test_language(spark):
     assert [out[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3 and 0 <= out[903]["score"] <= 1
 
 
+def test_language_against_all_segmentations(spark, monkeypatch):
+    """The whole operator against segmentations written out one by one."""
+    vocab = tuple(sorted({"▁", "▁a", "a", "b", "ab", "▁ab", "ba", "bab", "c", "▁abbababba"}))
+    monkeypatch.setattr(lang, "pieces", lambda path: vocab)
+    rng = random.Random(8)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 6)))
+    docs = [(i, " ".join(word("aab" if i % 2 else "abbc") for _ in range(5)) + (" abbababba" if i % 5 == 0 else ""), "xy"[i % 2]) for i in range(60)]
+    docs += [(100, "½ ² ① 12 _", "x"), (101, "zé", None), (102, "", "x"), (103, None, None), (None, "ab ab", "y"), (104, docs[0][1], "x"), (104, docs[0][1], "x"), (105, "ab " * 3000, None)]
+
+    def splits(text):
+        if not text:
+            yield ()
+        for n in range(1, len(text) + 1):
+            piece = text[:n] if text[:n] in vocab else None
+            if piece or n == 1:
+                for rest in splits(text[n:]):
+                    yield (piece, *rest)
+
+    find = lambda t: re.findall("[a-zé]+", t or "")
+    seen = {x: collections.Counter(w for i, t, y in docs if y == x and (i is None or zlib.crc32(str(i).encode()) % 4 != 2) for w in find(t)) for x in "xy"}
+    all_splits = {w: list(splits("▁" + w)) for _, t, _ in docs for w in find(t)}
+    p = {}
+    for x in "xy":
+        p[x] = dict.fromkeys((*vocab, None), 1 / (len(vocab) + 1)) | {None: 1e-6}
+        for _ in range(lang.ROUNDS):
+            got = dict.fromkeys(p[x], lang.SMOOTH)
+            for w, n in seen[x].items():
+                shares = [math.prod(p[x][c] for c in s) for s in all_splits[w]]
+                for s, share in zip(all_splits[w], shares):
+                    for c in s:
+                        got[c] += n * share / sum(shares)
+            p[x] = {c: v / sum(got.values()) for c, v in got.items()}
+    df = spark.createDataFrame([(*d, "clash") for d in docs], "doc_id long, text string, lang string, lang_pred string")
+    out = collections.defaultdict(list)
+    for r in lang.identify(df.repartition(3), "").collect():
+        out[r["_k_id"]].append(r)
+    for i, t, _ in docs:
+        logs = {x: sum(math.log(sum(math.prod(p[x][c] for c in s) for s in all_splits[w])) for w in find(t)) for x in "xy"}
+        for r in out[i]:
+            assert r["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2)
+            if not find(t):
+                assert (r["lang_pred"], r["score"]) == ("und", 0)
+            else:
+                best = max("xy", key=logs.get)
+                assert r["lang_pred"] == best and abs(r["score"] - 1 / sum(math.exp(max(-700, v - logs[best])) for v in logs.values())) < 1e-6
+    assert len(out[104]) == 2 and lang.identify(df.where("false"), "").count() == 0
+    assert {r["lang_pred"] for r in lang.identify(df.withColumn("lang", F.lit(None).cast("string")), "").collect()} == {"und"}
+
+
 def test_forward_sums_all_segmentations():
     vocabulary = ("a", "ab", "abc", "b", "bc", "c", lang.MARK, lang.MARK + "a")
     p = np.zeros((len(vocabulary) + 2, 1))
@@ -392,6 +450,94 @@ def test_quality_shrinks_sparse_sites(spark):
     assert abs(out[1001]["host_posterior"] - out[1001]["path_posterior"]) < 0.2
 
 
+def test_posteriors_against_plain_python(spark):
+    rng = random.Random(5)
+    docs = [(i, _prose(rng, [f"w{k}" for k in range(300)], rng.randint(1, 60)) + "!" * rng.randint(0, 9), f"s{i % 7}", None if i % 9 == 0 else f"l{i % 2}") for i in range(300)]
+    docs += [(900, None, None, None), (901, "", "s1", "l1"), (902, "word " * 50_000, "alone", "l1"), (None, "no id", "s1", "l1"), (5, docs[5][1], "s5", "l1"), (5, docs[5][1], "s5", "l1")]
+    df = spark.createDataFrame([(*d, "x", 0.5) for d in docs], "doc_id long, text string, source string, lang string, host string, score double")
+    marks = spark.createDataFrame([(i, i % 3 % 2) for i in range(300)], "doc_id long, quality int")
+    rows = site.quality(df.repartition(5), marks).collect()
+    assert len(rows) == len(docs)
+    evidence = {r["_k_id"]: r["evidence"] for r in rows}
+    p = lambda i: 1 / (1 + math.exp(-evidence[i]))
+    logit = lambda x: math.log(min(1 - 1e-4, max(1e-4, x)) / (1 - min(1 - 1e-4, max(1e-4, x))))
+    host = lambda d: d[2] or ""
+    path = lambda d: (d[2] or "") + "/" + (d[3] or "")
+    prior = sum(p(d[0]) for d in docs) / len(docs)
+
+    def strength(key):
+        groups = collections.defaultdict(list)
+        for d in docs:
+            groups[key(d)].append(p(d[0]))
+        n, k = len(docs), len(groups)
+        within = sum(sum(x * x for x in g) - len(g) * (sum(g) / len(g)) ** 2 for g in groups.values()) / (n - k)
+        size = (n - sum(len(g) ** 2 for g in groups.values()) / n) / (k - 1)
+        between = (sum(len(g) * (sum(g) / len(g)) ** 2 for g in groups.values()) - n * prior**2) / (k - 1) - within
+        return min(max(within / max(between / size, 1e-6), 1), 1000), groups
+
+    (a_host, hosts), (a_path, paths) = strength(host), strength(path)
+    by = {d[0]: d for d in docs}
+    for r in rows:
+        d = by[r["_k_id"]]
+
+        def posteriors(less):
+            h, g = list(hosts[host(d)]), list(paths[path(d)])
+            for x in less:
+                h.remove(x)
+                g.remove(x)
+            of_host = (sum(h) + a_host * prior) / (len(h) + a_host)
+            return of_host, (sum(g) + a_path * of_host) / (len(g) + a_path)
+
+        assert np.allclose((r["host_posterior"], r["path_posterior"]), posteriors([]))
+        want = r["evidence"] + logit(posteriors([p(d[0])])[1]) - logit(prior)
+        assert abs(r["score"] - 1 / (1 + math.exp(-want))) < 1e-9 and r["predicted"] == (r["score"] >= 0.5)
+    assert site.quality(df.where("false"), marks).count() == 0
+    alone = site.quality(df, marks.where("quality = 1")).collect()
+    assert {r["predicted"] for r in alone} == {1}
+
+
+def test_swapped_sentences_and_loss():
+    """Counterfactual vectors against sentences that are really swapped, and the fit against its own loss."""
+    rng = random.Random(6)
+    plain = ["men", "women", "woman", "old", "older", "muslim", "muslims", "gay", "word", "other", "idiot", "queer", "queens"]
+    texts = [" ".join(rng.choice(plain) for _ in range(12)) for _ in range(60)]
+
+    def vectors(sentences, kept):
+        buf = np.frombuffer("".join(sentences).encode(), np.uint8)
+        d, f, v = tox.counted(*tox.word_features(buf, np.cumsum([0] + [len(t) for t in sentences]), tox.DIMS), tox.DIMS)
+        return d, np.searchsorted(kept, f), v
+
+    every = [*texts, " ".join(tox.IDENTITY_TERMS)]
+    d, f, _ = tox.counted(*tox.word_features(np.frombuffer("".join(every).encode(), np.uint8), np.cumsum([0] + [len(t) for t in every]), tox.DIMS), tox.DIMS)
+    kept = np.unique(f)
+    rows, cols, values = vectors(texts, kept)
+    terms = tox._term_features()
+    pairs = tox._counterfactuals(rows, cols, values, kept, terms)
+    w = np.random.default_rng(1).normal(size=len(kept))
+    got = np.bincount(pairs[0], pairs[2] * w[pairs[1]], pairs[3])
+    score = lambda ts: np.bincount((x := vectors(ts, kept))[0], x[2] * w[x[1]], len(ts))
+    want = []
+    for t, s in zip(texts, score(texts)):
+        for k, term in enumerate(tox.IDENTITY_TERMS):
+            if term in t.split():
+                for step in tox.SWAPS:
+                    new = [] if not step else [tox.IDENTITY_TERMS[(k + step) % len(tox.IDENTITY_TERMS)]]
+                    want.append(s - score([" ".join(y for x in t.split() for y in (new if x == term else [x]))])[0])
+    assert np.allclose(sorted(got), sorted(want))
+    y = np.array([int("idiot" in t.split()) for t in texts])
+    w, bias = tox.fit_sparse(rows, cols, values, len(texts), len(kept), y, np.ones(len(y)), pairs, l1=1e-3, pull=10.0, steps=4000)
+
+    def loss(w, bias):
+        z = np.bincount(rows, values * w[cols], len(texts)) + bias
+        gap = np.bincount(pairs[0], pairs[2] * w[pairs[1]], pairs[3])
+        return np.mean(np.log1p(np.exp(z)) - y * z) + 10.0 * np.mean(gap**2) + 1e-3 * np.abs(w).sum()
+
+    best, noise = loss(w, bias), np.random.default_rng(2)
+    assert all(best <= loss(w + noise.normal(0, size, len(w)) * (noise.random(len(w)) < 0.2), bias + noise.normal(0, size)) + 1e-9 for size in (1e-3, 1e-2, 0.1) for _ in range(60))
+    gap = np.bincount(pairs[0], pairs[2] * w[pairs[1]], pairs[3])
+    assert np.mean(gap**2) < 1e-3
+
+
 def test_repeated_ids_are_learnt_once(spark):
     rng = random.Random(4)
     docs = [(i, " ".join(rng.choice(["awful", "nice"][i % 2 :: 2] + [f"w{k}" for k in range(30)]) for _ in range(20))) for i in range(200)]
