@@ -5,10 +5,12 @@ A page becomes its sequence of text blocks; each block has a hashed tag path
 bidirectional LSTM, written and trained here in numpy, reads the whole sequence
 and labels every block main text or not.
 
-It is trained on a bounded sample of pages of the corpus: blocks in article
-elements outside boilerplate elements are main text.  So that it also knows
-elements which the sample lacks, sampled pages are trained on a second time with
-boilerplate of usual kinds set among their blocks (``INSERTS``).
+It is trained on a bounded sample of pages of the corpus that have an article
+element (if none has, of all pages, with what is in no boilerplate element): blocks in it that no element for navigation, asides or forms holds are
+main text; class names play no part in that.  Each page is learnt a second time
+with boilerplate of many makes set among its blocks (``_varied``), under usual
+and under made-up class names and at any depth, and with class names put on its
+article, so that the labeller goes by whole paths, words and neighbours.
 """
 
 from __future__ import annotations
@@ -27,12 +29,12 @@ from pyspark.sql import functions as F
 from ..sources.dom import PageParser
 from .session import bounded_batches, sampled
 
-PATH_DIMS, WORD_DIMS, HIDDEN = 96, 32, 12
+PATH_DIMS, WORD_DIMS, MEASURES, HIDDEN = 160, 32, 5, 16
 #: Pages that the fit sees at most, those with the least hash of their id.
 SAMPLE = 300
-#: Blocks of a training sequence at most; labelling always reads whole pages.
-TRAIN_BLOCKS = 120
-STEPS = 120
+#: Blocks of a training sequence, and sequences that the fit sees at most; labelling always reads whole pages.
+TRAIN_BLOCKS, SEQUENCES = 120, 1500
+STEPS = 260
 
 # Fixed values of HTML: elements that end a block, hold no text, are never shown, or are closed by a sibling.
 BLOCK = set(
@@ -44,18 +46,15 @@ HIDDEN_TAGS = set("script style noscript template head title iframe svg math obj
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: What closing by a sibling may not reach across.
 FENCE = {"ul", "ol", "dl", "table", "select", "div", "article", "section", "aside", "main", "body", "td", "th", "blockquote", "nav", "footer", "header", "form"}
-#: Boilerplate elements, and words of classes, ids and roles that name boilerplate.
+#: Fixed values of HTML: elements that hold no main text even in an article.
 BOILERPLATE_TAGS = set("nav footer header aside form button select textarea menu dialog".split())
-BOILERPLATE_WORDS = set(
-    "ad ads advert advertisement advertising banner sponsor sponsored promo sidebar side widget menu navigation nav navbar breadcrumb breadcrumbs footer header masthead "
-    "comment comments reply replies disqus discussion cookie consent notice alert popup modal subscribe newsletter signup login share social related recommended search pagination pager copyright".split()
-)
-#: Boilerplate set into training pages: opening and closing tags around borrowed words.
-INSERTS = [
-    "<aside>{}</aside>", '<div class="sidebar"><p>{}</p></div>', '<section class="comments"><h3>{}</h3><p>{}</p></section>', '<div id="comments"><div class="comment"><p>{}</p></div></div>',
-    '<div class="cookie-notice"><p>{}</p></div>', '<form action="/s"><label>{}</label><input name="q"><button>{}</button></form>', '<header><p>{}</p></header>', '<div class="related"><ul><li><a href="/a">{}</a></li><li><a href="/b">{}</a></li></ul></div>',
-    '<div class="ad-banner">{}</div>', '<p class="notice">{}</p>', '<ul class="menu"><li><a href="/">{}</a></li></ul>', '<div class="newsletter">{}</div>', '<aside class="widget"><p>{}</p></aside>', '<div class="share-buttons"><a href="#">{}</a></div>',
-]
+#: Usual class names of boilerplate, put on what is set into training pages.
+USUAL_NAMES = (
+    "ad advert advertisement banner sponsored promo sidebar widget menu nav breadcrumb masthead comment comments reply replies discussion "
+    "cookie-notice consent notice alert popup subscribe newsletter signup login share social related recommended search pagination"
+).split()
+#: Attribute that labels elements of training pages.
+_LABEL = "data-pagewarrant-label"
 _WORD = re.compile(r"[A-Za-z]+")
 
 
@@ -67,19 +66,23 @@ class Block:
 
 
 class Path(NamedTuple):
-    """An open element and all that it lies in, whatever the depth: set path slots as bits, and what is named."""
+    """An open element and all that it lies in, whatever the depth: set path slots as bits; in training, the label."""
 
     tag: str = ""
     slots: int = 0
-    boilerplate_tag: bool = False
-    boilerplate_word: bool = False
-    article: bool = False
+    label: int = -1
 
-    def inner(self, tag: str, words: list[str]) -> Path:
+    def inner(self, tag: str, words: list[str], label: str | None) -> Path:
         slots = self.slots | 1 << _slot(tag, PATH_DIMS)
+        own = tag if tag in ("html", "body", "main", "article") else ""
         for w in words:
-            slots |= 1 << _slot("." + w, PATH_DIMS)
-        return Path(tag, slots, self.boilerplate_tag or tag in BOILERPLATE_TAGS, self.boilerplate_word or not BOILERPLATE_WORDS.isdisjoint(words), self.article or tag in ("article", "main"))
+            slots |= 1 << _slot(f"{own}.{w}", PATH_DIMS)
+        now = self.label
+        if now and (label == "0" or tag in BOILERPLATE_TAGS):
+            now = 0
+        elif now and (label == "1" or tag in ("article", "main")):
+            now = 1
+        return Path(tag, slots, now)
 
 
 class _Reader(PageParser):
@@ -127,7 +130,7 @@ class _Reader(PageParser):
             if name in FENCE:
                 break
         names = " ".join(v for a, v in attrs if a in ("class", "id", "role") and v)
-        self.open.append((self.open[-1] if self.open else Path()).inner(tag, _WORD.findall(names.lower())))
+        self.open.append((self.open[-1] if self.open else Path()).inner(tag, _WORD.findall(names.lower()), next((v for a, v in attrs if a == _LABEL), None)))
         self.hidden += tag in HIDDEN_TAGS
         self.links += tag == "a"
 
@@ -164,12 +167,6 @@ def read_blocks(html: str | None) -> list[Block]:
     return reader.blocks
 
 
-def silver_label(block: Block, in_article: bool) -> int:
-    """The rule that training labels follow: article elements (where a page has any) without boilerplate elements."""
-    path = block.path
-    return int(not path.boilerplate_tag and not path.boilerplate_word and (path.article or not in_article))
-
-
 @lru_cache(maxsize=50_000)
 def _slot(text: str, dims: int) -> int:
     return zlib.crc32(text.encode()) % dims
@@ -184,15 +181,14 @@ def _path_vector(slots: int, tag: str) -> np.ndarray:
 
 
 def block_vectors(blocks: list[Block]) -> np.ndarray:
-    """A row per block: hashed path, shares of all its hashed words, measures, whether boilerplate or an article is named."""
-    out = np.zeros((len(blocks), PATH_DIMS + WORD_DIMS + 8))
+    """A row per block: hashed path, shares of all its hashed words, measures."""
+    out = np.zeros((len(blocks), PATH_DIMS + WORD_DIMS + MEASURES))
     for k, b in enumerate(blocks):
         row, n, words = out[k], len(b.text), b.text.split()
-        tag, slots, *named = b.path
-        row[:PATH_DIMS] = _path_vector(slots, tag)
+        row[:PATH_DIMS] = _path_vector(b.path.slots, b.path.tag)
         # very long words are not cached
         row[PATH_DIMS : PATH_DIMS + WORD_DIMS] = np.bincount([(_slot if len(w) <= 64 else _slot.__wrapped__)(w, WORD_DIMS) for w in words], minlength=WORD_DIMS) / len(words)
-        row[-8:] = (min(1, math.log1p(n) / 8), min(1.0, b.linked / n), b.text[-1] in ".!?…", min(1, n / 600), k / max(1, len(blocks) - 1), *named)
+        row[-MEASURES:] = (min(1, math.log1p(n) / 8), min(1.0, b.linked / n), b.text[-1] in ".!?…", min(1, n / 600), k / max(1, len(blocks) - 1))
     return out
 
 
@@ -279,34 +275,88 @@ def padded(sequences):
     return x, mask
 
 
+def _boilerplate(rng, borrow) -> str:
+    """An element that is no main text, in borrowed words: of a usual name, or of a made-up one and a telling make."""
+    made_up = rng.random() < 0.4
+    name = "".join(chr(97 + int(k)) for k in rng.integers(0, 26, 7)) if made_up else USUAL_NAMES[int(rng.integers(len(USUAL_NAMES)))]
+    link = lambda n: f'<a href="/{rng.integers(99)}">{borrow(n)}</a>'
+    makes = [
+        lambda: f"<ul>{''.join(f'<li>{link(2)}</li>' for _ in range(int(rng.integers(2, 8))))}</ul>",
+        lambda: "".join(f'<div class="{name}-item"><a href="/u">{borrow(2)}</a> <time>{borrow(2)}</time><p>{borrow(40)}</p><a href="#r">{borrow(1)}</a></div>' for _ in range(int(rng.integers(1, 6)))),
+        lambda: "<ol>" + "".join(f"<li><b>{borrow(2)}</b><p>{borrow(30)}</p><button>{borrow(1)}</button></li>" for _ in range(int(rng.integers(1, 6)))) + "</ol>",
+        lambda: f"<p>{borrow(25)}</p><button>{borrow(2)}</button>",
+        lambda: f'<form action="/s"><label>{borrow(3)}</label><input name="q"><button>{borrow(1)}</button></form>',
+        lambda: f"<h3>{borrow(3)}</h3><p>{link(6)}</p><p>{link(6)}</p>",
+        lambda: f"<p>{borrow(40)}</p>",
+        lambda: borrow(12),
+    ]
+    body = makes[int(rng.integers(6 if made_up else len(makes)))]()
+    tag = "aside" if rng.random() < 0.15 else ("div", "section", "ul" if body.startswith("<li") else "div", "p" if "<" not in body else "div")[int(rng.integers(4))]
+    deep = int(rng.integers(0, 12)) if rng.random() < 0.3 else 0
+    kind = "id" if rng.random() < 0.2 else "class"
+    return f'<{tag} {kind}="{name}" {_LABEL}="0">{"<div>" * deep}{body}{"</div>" * deep}</{tag}>'
+
+
 def _varied(html: str, rng) -> str:
-    """The page with boilerplate of other kinds set between and inside its elements, in borrowed words."""
-    words = re.sub(r"<[^>]*>", " ", html).split() or ["x"]
+    """The page with boilerplate set between and inside its elements, and names on its article; labels stay with elements."""
+    words = re.sub(r"<[^>]*>", " ", html).replace("<", " ").split() or ["x"]
+
+    def borrow(n: int) -> str:
+        at = int(rng.integers(len(words)))
+        return " ".join(words[at : at + int(rng.integers(1, n + 1))])
+
     for _ in range(int(rng.integers(2, 6))):
-        filled = INSERTS[int(rng.integers(len(INSERTS)))]
-        while "{}" in filled:
-            at = int(rng.integers(len(words)))
-            filled = filled.replace("{}", " ".join(words[at : at + int(rng.integers(1, 40))]).replace("<", ""), 1)
         places = [m.end() for m in re.finditer(r"</(?:p|nav|div|article|h1|ul|section)>|<body>|<article>", html)] or [len(html)]
         at = places[int(rng.integers(len(places)))]
-        html = html[:at] + filled + html[at:]
-    if rng.random() < 0.25:
-        html = re.sub(r"(</?)article\b", r"\1main" if rng.random() < 0.5 else r"\1div", html)
+        html = html[:at] + _boilerplate(rng, borrow) + html[at:]
+    names = " ".join(USUAL_NAMES[int(k)] if rng.random() < 0.5 else f"n{k}" for k in rng.integers(len(USUAL_NAMES), size=2))
+    fate = rng.random()
+    if fate < 0.25:
+        tag = "main" if fate < 0.12 else "div"
+        html = re.sub(r"<article\b", f'<{tag} {_LABEL}="1"', html).replace("</article>", f"</{tag}>")
+    elif fate < 0.6:
+        html = re.sub(r"<article\b(?![^>]*\bclass)", f'<article class="{names}"', html)
     return html
 
 
-def train(pages: list[str], seed: int = 0) -> BiLSTM:
-    """A labeller from sampled pages and their varied copies."""
-    rng = np.random.default_rng(seed)
-    sequences, labels = [], []
-    for html in [*pages, *(_varied(p, rng) for p in pages)]:
-        blocks = read_blocks(html)[:TRAIN_BLOCKS]
-        if blocks:
-            some = any(b.path.article for b in blocks)
-            sequences.append(block_vectors(blocks))
-            labels.append([silver_label(b, some) for b in blocks])
-    model = BiLSTM(PATH_DIMS + WORD_DIMS + 8, seed=seed)
-    return model.fit(sequences, labels) if sequences else model
+_EXAMPLE = "part long, n int, x binary, y binary"
+
+
+def _examples(articles: bool):
+    """Sequences of block vectors and labels, of each page and its varied copy; longer pages give several.
+
+    Blocks in an article are main text; without ``articles``, those in no boilerplate element.
+    """
+
+    def examples(batches):
+        for batch in batches:
+            rows = []
+            for html in batch.column("_k_html").to_pylist():
+                seed = zlib.crc32(html.encode("utf-8", "surrogatepass"))
+                for copy, page in enumerate((html, _varied(html, np.random.default_rng(seed)))):
+                    blocks = read_blocks(page)
+                    main = np.array([b.path.label == 1 if articles else b.path.label != 0 for b in blocks], np.int8)
+                    if not main.any():
+                        continue
+                    x = block_vectors(blocks).astype(np.float32)
+                    for a in range(0, len(main), TRAIN_BLOCKS):
+                        y = main[a : a + TRAIN_BLOCKS]
+                        rows.append((zlib.crc32(f"{seed} {copy} {a}".encode()), len(y), x[a : a + TRAIN_BLOCKS].tobytes(), y.tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["part", "n", "x", "y"])
+
+    return examples
+
+
+def train(examples, seed: int = 0) -> BiLSTM:
+    """A labeller from rows ``n, x, y``; without any, all blocks are main text."""
+    width = PATH_DIMS + WORD_DIMS + MEASURES
+    model = BiLSTM(width, seed=seed)
+    if not examples:
+        model.p["ob"][:] = 30
+        return model
+    sequences = [np.frombuffer(r["x"], np.float32).reshape(r["n"], width) for r in examples]
+    return model.fit(sequences, [np.frombuffer(r["y"], np.int8) for r in examples])
 
 
 def _extract(model: BiLSTM):
@@ -337,15 +387,20 @@ def extract_main(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
     Null or empty html, and pages without main text, give an empty text.
     Character references are decoded; malformed markup is read as far as it
-    goes.  Repeated rows and null ids are pages like others.
+    goes, also after unknown declarations.  Pages are read whole whatever their
+    length or depth; blocks that score exactly one half are main text.  Repeated
+    rows and null ids are pages like others; an empty table gives no rows; other
+    columns of any name come back in ``_k_row``.
     """
     bounded_batches(pages.sparkSession)
     rest = [c for c in pages.columns if c != html_col]
     own = pages.select(F.col(f"`{id_col}`").alias("_k_id"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_k_row"), F.col(f"`{html_col}`").alias("_k_html"))
-    ids = sampled(own.where("_k_html is not null and _k_id is not null").select("_k_id"), sample).distinct()
-    picked = own.join(F.broadcast(ids), "_k_id").select("_k_id", F.substring("_k_html", 1, 60_000).alias("h")).limit(sample)
-    html = [r["h"] for r in picked.orderBy("_k_id", "h").collect()]  # at most ``sample`` pages
-    if not html:  # no page has an id
-        html = [r["h"] for r in own.where("_k_html is not null").select(F.substring("_k_html", 1, 60_000).alias("h")).limit(sample).collect()]
-    model = train(html)
-    return own.mapInArrow(_extract(model), own.drop("_k_html").schema.add("_k_main", "string"))
+    key = F.xxhash64("_k_html")  # equal pages are learnt from once, and ids play no part
+
+    def sample_of(told: DataFrame, articles: bool) -> list:
+        keys = sampled(told.select(key.alias("_k_key")).distinct(), sample, "_k_key")
+        picked = told.withColumn("_k_key", key).join(F.broadcast(keys), "_k_key").groupBy("_k_key").agg(F.min("_k_html").alias("_k_html"))
+        return picked.select("_k_html").mapInArrow(_examples(articles), _EXAMPLE).orderBy("part", "x").limit(SEQUENCES).collect()
+
+    examples = sample_of(own.where(F.lower("_k_html").rlike("<(article|main)\\b")), True) or sample_of(own.where("_k_html is not null"), False)
+    return own.mapInArrow(_extract(train(examples)), own.drop("_k_html").schema.add("_k_main", "string"))
