@@ -193,7 +193,7 @@ def block_vectors(blocks: list[Block]) -> np.ndarray:
 
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 class BiLSTM:
@@ -212,17 +212,19 @@ class BiLSTM:
         self.p["ob"] = np.zeros(1)
 
     def _pass(self, d: str, x: np.ndarray, mask: np.ndarray, keep: bool):
-        n, steps, _ = x.shape
+        n, steps, inputs = x.shape
+        own = self.p["w" + d][inputs:]
+        from_x = x @ self.p["w" + d][:inputs] + self.p["c" + d]  # all blocks at once; only the state goes step by step
         h, c = np.zeros((n, self.hidden)), np.zeros((n, self.hidden))
         states, tape = np.zeros((n, steps, self.hidden)), []
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            z = np.concatenate([x[:, t], h], 1)
-            i, f, o, g = np.split(z @ self.p["w" + d] + self.p["c" + d], 4, 1)
-            i, f, o, g, m = _sigmoid(i), _sigmoid(f), _sigmoid(o), np.tanh(g), mask[:, t, None]
+            z = from_x[:, t] + h @ own
+            gates, g, m = _sigmoid(z[:, : 3 * self.hidden]), np.tanh(z[:, 3 * self.hidden :]), mask[:, t, None]
+            i, f, o = np.split(gates, 3, 1)
             new = f * c + i * g
             tanh = np.tanh(new)
             if keep:
-                tape.append((t, z, i, f, o, g, c, tanh, m))
+                tape.append((t, h, i, f, o, g, c, tanh, m))
             c, h = np.where(m, new, c), np.where(m, o * tanh, h)
             states[:, t] = h
         return states, tape
@@ -239,23 +241,27 @@ class BiLSTM:
         d_both = error[:, :, None] * self.p["o"]
         for k, d in enumerate("fb"):
             d_states = d_both[:, :, k * self.hidden : (k + 1) * self.hidden]
-            gw, gb = np.zeros_like(self.p["w" + d]), np.zeros_like(self.p["c" + d])
+            own = self.p["w" + d][x.shape[2] :]
+            every, g_own = np.zeros((*x.shape[:2], 4 * self.hidden)), np.zeros_like(own)
             dh, dc = np.zeros((len(x), self.hidden)), np.zeros((len(x), self.hidden))
-            for t, z, i, f, o, g, c, tanh, m in reversed(got[d][1]):
+            for t, before, i, f, o, g, c, tanh, m in reversed(got[d][1]):
                 dh = dh + d_states[:, t]
                 do, dn = dh * tanh * m, dh * o * (1 - tanh**2) * m + dc * m
-                dz = np.concatenate([dn * g * i * (1 - i), dn * c * f * (1 - f), do * o * (1 - o), dn * i * (1 - g**2)], 1)
-                gw += z.T @ dz
-                gb += dz.sum(0)
-                dh, dc = np.where(m, (dz @ self.p["w" + d].T)[:, x.shape[2] :], dh), np.where(m, dn * f, dc)
-            grads["w" + d], grads["c" + d] = gw, gb
+                dz = every[:, t] = np.concatenate([dn * g * i * (1 - i), dn * c * f * (1 - f), do * o * (1 - o), dn * i * (1 - g**2)], 1)
+                g_own += before.T @ dz
+                dh, dc = np.where(m, dz @ own.T, dh), np.where(m, dn * f, dc)
+            flat = every.reshape(-1, 4 * self.hidden)
+            grads["w" + d], grads["c" + d] = np.concatenate([x.reshape(-1, x.shape[2]).T @ flat, g_own]), flat.sum(0)
         return grads
 
     def fit(self, sequences, labels, steps: int = STEPS, rate: float = 0.02, batch: int = 48, seed: int = 0):
         rng = np.random.default_rng(seed)
+        by_length = sorted(range(len(sequences)), key=lambda k: len(sequences[k]))
         m1, m2 = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         for step in range(1, steps + 1):
-            pick = rng.choice(len(sequences), min(batch, len(sequences)), replace=False)
+            # neighbours by length, so that little is padding
+            at = int(rng.integers(max(1, len(sequences) - batch + 1)))
+            pick = by_length[at : at + batch]
             x, mask = padded([sequences[i] for i in pick])
             y = np.zeros(mask.shape)
             for r, i in enumerate(pick):
