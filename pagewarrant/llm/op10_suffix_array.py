@@ -8,11 +8,11 @@ all groups is emitted in one ascending pass, each placed suffix placing the
 suffixes before it along their pointers.  No recursion and no renaming.
 
 Many short texts are sorted at once: every array has a row per text, and each
-step handles the current group of all texts.
+step handles the current group of all texts.  A text of more than ``LONG`` bytes
+is sorted alone, group by group in plain lists.
 
 Spark brings equal windows together (``repeats``): the distinct runs of windows
-with one name are one text for the sorter.  A name with more than ``MANY``
-distinct runs is compared by exact windows instead.
+with one name are one text for the sorter.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from . import hashing as H
-from .repeats import HOT_BATCHES, remove_repeats
+from .repeats import HOT_RUNS, remove_repeats
 
 SIZE = 50
-#: Distinct contents of a name up to which they are sorted as one text.
-MANY = 16
+#: Bytes from which a text is sorted alone.
+LONG = 3000
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,11 +168,72 @@ def _emit(rows, n, wide, row_at, group, previous) -> np.ndarray:
     return out.reshape(rows, wide)[:, 2:] - row_at[:, None] - 1
 
 
+def sort_alone(text: list[int]) -> list[int]:
+    """Suffix array of one list of positive integers, in time that grows with its length (but for sorting within groups)."""
+    n = len(text)
+    if not n:
+        return []
+    symbols = [-1, *text, 0]  # place 0 stands before the text, the last one is the terminator
+    places = sorted(range(n + 2), key=symbols.__getitem__)
+    rank, group, end = [0] * (n + 2), [0] * (n + 2), [0] * (n + 2)  # end: by first rank of a group, its last
+    first = 0
+    for r, s in enumerate(places):
+        if symbols[s] != symbols[places[first]]:
+            first = r
+        rank[s], group[s], end[first] = r, first, r
+    previous = [0] * (n + 2)
+    last = n + 1
+    while last > 1:
+        first = group[places[last]]
+        times: dict[int, int] = {}
+        for s in sorted(places[first : last + 1]):
+            at = s - 1
+            while group[at] >= first:  # higher groups, and members before it, by their own pointers
+                at = previous[at]
+            previous[s] = at
+            if at:
+                times[at] = times.get(at, 0) + 1
+        # those pointed at go to the end of their groups, by how many pointers they got
+        order = sorted(times, key=lambda s: (group[s], times[s]), reverse=True)
+        at = 0
+        while at < len(order):
+            old = group[order[at]]
+            to = end[old]
+            while at < len(order) and group[order[at]] == old:
+                count, top, start = times[order[at]], to, at
+                while at < len(order) and group[order[at]] == old and times[order[at]] == count:
+                    s = order[at]
+                    r, t = rank[s], places[to]
+                    places[r], places[to], rank[t], rank[s] = t, s, r, to
+                    to, at = to - 1, at + 1
+                for s in order[start:at]:
+                    group[s] = to + 1
+                end[to + 1] = top
+                if to < old:
+                    break
+            if to >= old:
+                end[old] = to
+        last = first - 1
+    # the ascending pass
+    out, filled, placed = [-1] * (n + 2), [0] * (n + 2), [False] * (n + 2)
+    out[1] = n + 1
+    for at in range(1, n + 2):
+        now = out[at] - 1
+        while now > 0 and not placed[now]:
+            g = group[now]
+            out[g + filled[g]] = now
+            filled[g] += 1
+            placed[now] = True
+            now = previous[now]
+    return [s - 1 for s in out[2:]]
+
+
 def suffix_array(text: bytes) -> np.ndarray:
     """Suffix array of one byte string."""
     if not text:
         return np.empty(0, np.int64)
-    return suffix_arrays(np.frombuffer(text, np.uint8).astype(np.int64)[None, :] + 1)[0]
+    symbols = np.frombuffer(text, np.uint8).astype(np.int64) + 1
+    return np.array(sort_alone(symbols.tolist())) if len(text) > LONG else suffix_arrays(symbols[None, :])[0]
 
 
 def equal_windows(size: int):
@@ -186,12 +247,12 @@ def equal_windows(size: int):
         out: list[np.ndarray] = [None] * len(contents)
         base = 0
         by_length = np.argsort(total, kind="stable")
-        few = by_length[n_runs[by_length] <= MANY]
         at = 0
-        while at < len(few):
-            end, most = at + 1, max(192, int(total[few[at]] * 1.4))
-            end = max(end, min(int(np.searchsorted(total[few], most, "right")), at + max(1, 400_000 // most)))
-            groups = few[at:end]
+        while at < len(by_length):
+            end, most = at + 1, max(192, int(total[by_length[at]] * 1.4))
+            if most <= LONG:
+                end = max(end, min(int(np.searchsorted(total[by_length], most, "right")), at + max(1, 400_000 // most)))
+            groups = by_length[at:end]
             runs, row = _spread(first[groups], n_runs[groups])
             n = int(total[groups].max())
             own = lengths[runs]
@@ -203,7 +264,7 @@ def equal_windows(size: int):
             windows = own - size + 1
             column, which = _spread(within, windows)
             place[row[which], column] = np.arange(len(which))
-            order = suffix_arrays(grid[:, :n]).ravel()
+            order = suffix_arrays(grid[:, :n]).ravel() if len(groups) > 1 or n <= LONG else np.array(sort_alone(grid[0, :n].tolist()))
             line = np.repeat(np.arange(len(groups)), n)
             keep = place[line, order] >= 0
             line, order = line[keep], order[keep]
@@ -222,18 +283,12 @@ def equal_windows(size: int):
             for i, part in zip(runs.tolist(), np.split(number, np.cumsum(windows)[:-1])):
                 out[i] = part
             at = end
-        for g in by_length[n_runs[by_length] > MANY].tolist():
-            seen: dict[bytes, int] = {}
-            for i in range(first[g], first[g] + n_runs[g]):
-                c = contents[i]
-                out[i] = base + np.array([seen.setdefault(c[k : k + size], len(seen)) for k in range(len(c) - size + 1)])
-            base += len(seen)
         return out
 
     return classes
 
 
-def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, with_text: bool = False, hot_batches: int = HOT_BATCHES) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, with_text: bool = False, hot_runs: int = HOT_RUNS) -> DataFrame:
     """Cut every byte that a ``size``-byte string covers which also starts in a document with a smaller id.
 
     Returns one row per row of ``docs`` with ``_k_id`` (its id), ``_k_row``
@@ -246,4 +301,4 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     one document and do not cut each other; an empty table gives no rows.
     """
     spec = H.ByteWindows(size, max(1, min(24, size - 1)))
-    return remove_repeats(docs, spec, equal_windows(size), id_col, text_col, with_text, hot_batches)
+    return remove_repeats(docs, spec, equal_windows(size), id_col, text_col, with_text, hot_runs)

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from . import hashing as H
-from .repeats import HOT_BATCHES, remove_repeats
+from .repeats import HOT_RUNS, remove_repeats
 
 SIZE = 13
 
@@ -66,7 +66,7 @@ def path_classes(size: int):
     return classes
 
 
-def de_bruijn_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, with_text: bool = False, hot_batches: int = HOT_BATCHES) -> DataFrame:
+def de_bruijn_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, with_text: bool = False, hot_runs: int = HOT_RUNS) -> DataFrame:
     """Cut every word that a ``size``-word window covers which also starts in a document with a smaller id.
 
     Words are maximal runs of bytes other than space and \\t \\n \\v \\f \\r.
@@ -80,4 +80,4 @@ def de_bruijn_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives no rows.
     """
     spec = H.WordWindows(size, max(1, min(5, size - 1)))
-    return remove_repeats(docs, spec, path_classes(size), id_col, text_col, with_text, hot_batches)
+    return remove_repeats(docs, spec, path_classes(size), id_col, text_col, with_text, hot_runs)

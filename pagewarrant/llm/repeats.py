@@ -18,9 +18,11 @@ by a window of fixed size that also starts in a document with a smaller id:
    the texts.
 
 Every exchange carries what a batch has combined, so a passage costs each batch
-one entry.  Names that more than ``HOT_BATCHES`` batches have (common lines with
-ever other text around them) are dealt by single windows instead of by name, so
-that no bucket gathers all contexts of a common line.
+one entry.  Names with more than ``HOT_RUNS`` runs, equal ones counted once a
+batch (common lines with ever other text around them), are dealt by single
+windows instead of by name, so that no bucket gathers all contexts of a common
+line.  That bound is a skew split: it depends neither on the number of batches
+nor on the size of the corpus, and results are the same either way.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ from pyspark.sql import types as T
 from . import hashing as H
 from .session import bounded_batches, partitions, releasing, releasing_two
 
+_NAME = np.dtype([("code", "<u4"), ("runs", "<u4")])
 _COPY = np.dtype([("a", "<u8"), ("b", "<u8"), ("least", "<i8"), ("n", "<i8")])
 _RUN = np.dtype([("name", "<u8"), ("least", "<i8"), ("most", "<i8"), ("length", "<u4")])
 _WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("least", "<i8"), ("most", "<i8")])
@@ -44,14 +47,15 @@ _VERDICT = np.dtype([("a", "<u8"), ("b", "<u8"), ("least", "<i8"), ("mask", "<u8
 _MESSAGE = pa.schema([("_k_bucket", pa.int32()), ("_k_batch", pa.int32()), ("kind", pa.int32()), ("body", pa.binary())])
 _MESSAGE_DDL = "_k_bucket int, _k_batch int, kind int, body binary"
 _SPANS = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
-#: Kinds of messages: names of one document, of several, of very many batches; whole texts; runs and single windows.
+#: Kinds of messages: names of one document, of several (with their number of distinct runs), of very many runs; whole texts; runs and single windows.
 _ONE, _SEVERAL, _HOT, _TEXTS, _RUNS, _WINDOWS = range(6)
-#: Batches that may have a name before its windows are dealt singly.
-HOT_BATCHES = 256
+#: Runs that a name may have before its windows are dealt singly.
+HOT_RUNS = 1024
 #: Windows of a run at most (bits of a mask); longer runs (periodic text) are cut.
 RUN = 64
 _NO_ID = np.iinfo(np.int64).min
 _FULL = (1 << 64) - 1
+_CONTENT = 0xC2B2AE3D27D4EB4F
 
 
 def _text_key(spec, raw: bytes) -> bytes:
@@ -91,12 +95,17 @@ class _Outbox:
 
 
 def deal(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Texts in batches by id, with their other columns in one struct so that no names clash."""
+    """Texts in batches, with their other columns in one struct so that no names clash.
+
+    Rows go by id and text, so the texts of a repeated id are spread (ids travel
+    with all that is compared); rows without an id, which are compared with
+    nothing, stay about where they are read.
+    """
     n = partitions(docs.sparkSession)
     rest = [c for c in docs.columns if c != text_col]
     key = F.col(f"`{id_col}`").cast("long")
     return docs.select(
-        F.coalesce(F.pmod(F.xxhash64(key), F.lit(n)), F.lit(0)).cast("int").alias("_k_batch"),
+        F.pmod(F.xxhash64(key, F.col(f"`{text_col}`"), F.when(key.isNull(), F.spark_partition_id())), F.lit(n)).cast("int").alias("_k_batch"),
         key.alias("_k_id"),
         F.col(f"`{text_col}`").alias("_k_text"),
         F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_k_row"),
@@ -107,27 +116,35 @@ def _announce(spec, n_buckets: int):
     def announce(table: pa.Table) -> pa.Table:
         batch, ids, out = table["_k_batch"][0].as_py(), _ids(table), _Outbox()
         buf, off = H.column_bytes(table["_k_text"])
-        keys, key_ids, names, name_ids = [], [], [], []
+        keys, key_ids, names, name_ids, contents = [], [], [], [], []
         for a, b in H.chunks(off):
             part, at = buf[off[a] : off[b]], off[a : b + 1] - off[a]
             values, units, _ = spec.units(part, at)
-            starts, _, found = H.window_runs(spec, values, units)
+            starts, ends, found = H.window_runs(spec, values, units)
             owner = ids[a + np.searchsorted(units, starts, "right") - 1]
-            names.append(found[owner != _NO_ID])
-            name_ids.append(owner[owner != _NO_ID])
+            known = owner != _NO_ID
+            names.append(found[known])
+            name_ids.append(owner[known])
+            if len(starts):
+                windows = H.gram_hashes(values, spec.size, _CONTENT)
+                contents.append(H.mix(windows[starts] * H.U(3) + windows[ends - 1] + (ends - starts).astype(np.uint64))[known])
             long = np.flatnonzero((np.diff(units) >= spec.size) & (ids[a:b] != _NO_ID))
             raw = part.tobytes()
             keys += [_text_key(spec, raw[at[i] : at[i + 1]]) for i in long.tolist()]
             key_ids.append(ids[a:b][long])
         if names and sum(map(len, names)):
-            found, owner = np.concatenate(names), np.concatenate(name_ids)
-            order = np.argsort(found, kind="stable")
-            found, owner = found[order], owner[order]
-            first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+            found, owner, content = np.concatenate(names), np.concatenate(name_ids), np.concatenate(contents)
+            order = np.lexsort((content, found))
+            found, owner, content = found[order], owner[order], content[order]
+            new = np.r_[True, found[1:] != found[:-1]]
+            first = np.flatnonzero(new)
+            runs = np.add.reduceat((new | np.r_[True, content[1:] != content[:-1]]).astype(np.int64), first)
             several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
             bucket, rest = _codes(found[first], n_buckets)
             out.send(bucket[~several], _ONE, rest[~several], batch=batch)
-            out.send(bucket[several], _SEVERAL, rest[several], batch=batch)
+            packed = np.zeros(int(several.sum()), _NAME)
+            packed["code"], packed["runs"] = rest[several], np.minimum(runs[several], 0xFFFFFFFF)
+            out.send(bucket[several], _SEVERAL, packed, batch=batch)
         if keys:
             texts, which = np.unique(np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2), axis=0, return_inverse=True)
             owner, which = np.concatenate(key_ids), which.ravel()
@@ -151,20 +168,21 @@ def _gather(table: pa.Table, kind: int, dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(arrays), np.repeat(batches[at], [len(x) for x in arrays])
 
 
-def _answer(hot_batches: int):
+def _answer(hot_runs: int):
     def answer(table: pa.Table) -> pa.Table:
         """What a bucket tells the batches: names that several documents have, texts that occur more than once."""
         bucket, out = table["_k_bucket"][0].as_py(), _Outbox()
-        (one, from_one), (several, from_several) = _gather(table, _ONE, np.uint32), _gather(table, _SEVERAL, np.uint32)
-        names, owner = np.concatenate([one, several]), np.concatenate([from_one, from_several])
+        (one, from_one), (several, from_several) = _gather(table, _ONE, np.uint32), _gather(table, _SEVERAL, _NAME)
+        names, owner = np.concatenate([one, several["code"]]), np.concatenate([from_one, from_several])
         if len(names):
             weight = np.r_[np.ones(len(one), np.int64), np.full(len(several), 2)]
+            runs = np.r_[np.ones(len(one), np.int64), several["runs"].astype(np.int64)]
             order = np.argsort(names, kind="stable")
-            names, owner, weight = names[order], owner[order], weight[order]
+            names, owner, weight, runs = names[order], owner[order], weight[order], runs[order]
             new = np.r_[True, names[1:] != names[:-1]]
             first, group = np.flatnonzero(new), np.cumsum(new) - 1
             shared = (np.add.reduceat(weight, first) > 1)[group]
-            hot = (np.diff(np.r_[first, len(names)]) > hot_batches)[group]
+            hot = shared & (np.add.reduceat(runs, first) > hot_runs)[group]
             out.send(owner[shared & ~hot], _ONE, names[shared & ~hot], bucket=bucket)
             out.send(owner[hot], _HOT, names[hot], bucket=bucket)
         texts, owner = _gather(table, _TEXTS, _COPY)
@@ -434,7 +452,7 @@ def _finish(spec, n_buckets: int, with_text: bool):
     return finish
 
 
-def remove_repeats(docs: DataFrame, spec, classes: Callable, id_col: str, text_col: str, with_text: bool = False, hot_batches: int = HOT_BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, spec, classes: Callable, id_col: str, text_col: str, with_text: bool = False, hot_runs: int = HOT_RUNS) -> DataFrame:
     """One row per row of ``docs``: ``_k_id``, ``_k_row`` (its other columns), ``n_units``, ``removed`` spans, ``kept`` bytes,
     and with ``with_text`` also ``kept_text``.
 
@@ -449,7 +467,7 @@ def remove_repeats(docs: DataFrame, spec, classes: Callable, id_col: str, text_c
     n = partitions(docs.sparkSession)
     dealt = deal(docs, id_col, text_col)
     told = dealt.groupBy("_k_batch").applyInArrow(releasing(_announce(spec, n)), _MESSAGE_DDL)
-    answers = told.groupBy("_k_bucket").applyInArrow(releasing(_answer(hot_batches)), _MESSAGE_DDL)
+    answers = told.groupBy("_k_bucket").applyInArrow(releasing(_answer(hot_runs)), _MESSAGE_DDL)
     runs = dealt.groupBy("_k_batch").cogroup(answers.groupBy("_k_batch")).applyInArrow(releasing_two(_tell_runs(spec, n)), _MESSAGE_DDL)
     verdicts = runs.groupBy("_k_bucket").applyInArrow(releasing(_resolve(spec, classes)), _MESSAGE_DDL)
     kinds = {f.name: f.dataType for f in dealt.schema}

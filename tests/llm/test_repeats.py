@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewarrant.llm.op1_de_bruijn import de_bruijn_dedup
-from pagewarrant.llm.op10_suffix_array import suffix_array, suffix_array_dedup, suffix_arrays
+from pagewarrant.llm.op10_suffix_array import sort_alone, suffix_array, suffix_array_dedup, suffix_arrays
 
 
 def brute(docs, size, units, join):
@@ -68,16 +68,16 @@ def corpus(seed, n=120):
 def test_bytes(spark, seed):
     docs = corpus(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    for size, hot in ((50, 256), (30, 1)):
-        assert rows(suffix_array_dedup(df, size=size, hot_batches=hot)) == brute(docs, size, lambda t: list((t or "").encode()), bytes)
+    for size, hot in ((50, 1024), (30, 1)):
+        assert rows(suffix_array_dedup(df, size=size, hot_runs=hot)) == brute(docs, size, lambda t: list((t or "").encode()), bytes)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_words(spark, seed):
     docs = corpus(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    for size, hot in ((13, 256), (7, 1)):
-        assert rows(de_bruijn_dedup(df, size=size, hot_batches=hot)) == brute(docs, size, lambda t: (t or "").encode().split(), b" ".join)
+    for size, hot in ((13, 1024), (7, 1)):
+        assert rows(de_bruijn_dedup(df, size=size, hot_runs=hot)) == brute(docs, size, lambda t: (t or "").encode().split(), b" ".join)
 
 
 def test_many_contexts_of_one_line(spark):
@@ -86,7 +86,19 @@ def test_many_contexts_of_one_line(spark):
     line = "this line is in all of the documents and it is longer than fifty bytes"
     docs = [(i, "".join(rng.choice("abcdefgh ") for _ in range(80)) + line + "".join(rng.choice("abcdefgh ") for _ in range(80))) for i in range(1500)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs, 50, lambda t: list(t.encode()), bytes)
+    for hot in (1024, 10_000):  # by single windows, and all contexts sorted as one text
+        assert rows(suffix_array_dedup(df, hot_runs=hot)) == want
+
+
+def test_one_id_and_no_id(spark):
+    """A third of the rows under one id or none: no comparison within, all spread."""
+    rng = random.Random(6)
+    shared = " ".join(f"s{rng.randrange(99)}" for _ in range(40))
+    docs = [(5, shared + f" {i}") for i in range(60)] + [(None, shared + f" {i}") for i in range(60)] + [(i, f"{i} " + shared) for i in range(3, 60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     assert rows(suffix_array_dedup(df)) == brute(docs, 50, lambda t: list(t.encode()), bytes)
+    assert rows(de_bruijn_dedup(df)) == brute(docs, 13, lambda t: t.encode().split(), b" ".join)
 
 
 def test_empty_table_and_clashing_columns(spark):
@@ -97,6 +109,16 @@ def test_empty_table_and_clashing_columns(spark):
     assert got[1]["_k_row"]["segment"] == "x" and got[2]["_k_row"]["kept"] == 2 and got[2]["kept"] == b""
 
 
+def test_one_long_text_is_sorted_alone():
+    rng = random.Random(9)
+    for n, letters in ((400, 1), (400, 2), (700, 3), (5000, 2), (5000, 200)):
+        t = [rng.randint(1, letters) for _ in range(n)]
+        assert sort_alone(t) == sorted(range(n), key=lambda i: t[i:])
+    t = b"abracadabra " * 400
+    assert sort_alone([c + 1 for c in t]) == sorted(range(len(t)), key=lambda i: t[i:])
+    assert sort_alone([]) == [] and sort_alone([7]) == [0]
+
+
 def test_suffix_arrays():
     rng = random.Random(5)
     for _ in range(150):
