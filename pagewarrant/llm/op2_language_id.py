@@ -3,9 +3,10 @@
 Each language is a unigram distribution over the pieces of a fixed public
 vocabulary (word starts marked).  A word's probability is the sum over all its
 segmentations into pieces, by the forward algorithm; a text's is the product
-over its words.  The distributions come from expectation-maximisation over the
-word counts of all labelled texts; Spark counts the words and, each round, sums
-the expected counts of pieces, so only those reach the driver.
+over its words.  The distributions come from expectation-maximisation: first
+rounds over the word counts of a bounded sample of labelled rows, the last over
+those of all labelled texts.  Spark counts the words and, each round, sums the
+expected counts of pieces, so only those reach the driver.
 
 All languages and many words go through the same numpy recursion; a worker keeps
 the scores of words it has seen.
@@ -14,7 +15,6 @@ the scores of words it has seen.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from functools import lru_cache
 
@@ -27,13 +27,13 @@ from . import hashing as H
 from .op4_toxicity import held_out
 from .session import bounded_batches, checkpoint
 
-ROUNDS = 3
+#: Rounds of expectation-maximisation; all but the last on about ``SAMPLE`` labelled rows, chosen by hash.
+ROUNDS, SAMPLE = 3, 4000
 SMOOTH = 0.05
 CACHE = 600_000
 MARK = "▁"
-#: Runs of letters: characters of words that are no digits, other numbers (such as ½ and ²) or underscores.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
-_WORDS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+#: Runs of letters and of numbers that are no digits, such as ½ and ².
+_WORDS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,6 +47,14 @@ def pieces(path: str) -> tuple[str, ...]:
     return tuple(sorted(p for p in out if p and (p == MARK or p.lstrip(MARK).isalpha() and MARK not in p[1:])))
 
 
+def words_of(text: str | None) -> list[str]:
+    """The maximal runs of letters of a text, in lower case."""
+    found = _WORDS.findall((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in ([x] if x.isalpha() else "".join(c if c.isalpha() else " " for c in x).split())]
+
+
 #: Letters of a batch of words, padded.
 GRID = 65_536
 
@@ -63,6 +71,19 @@ def batches_of(words: list[str]):
         at = end
 
 
+#: Bits of a hash that name a slot.
+SLOT_BITS = 20
+
+
+def slots_of(hashes: np.ndarray) -> np.ndarray:
+    """Places of ordered hashes by their first bits: -1 for a free slot, -2 where several hashes share one."""
+    first = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    out = np.full(1 << SLOT_BITS, -1, np.int32)
+    out[first] = np.arange(len(hashes))
+    out[np.flatnonzero(np.bincount(first, minlength=1) > 1)] = -2
+    return out
+
+
 class Lattice:
     """The pieces at every span of a batch of marked words.
 
@@ -70,7 +91,7 @@ class Lattice:
     scale kept for each word and language, so words may be of any length.
     """
 
-    def __init__(self, words: list[str], hashes: np.ndarray, numbers: np.ndarray, longest: int = 16):
+    def __init__(self, words: list[str], hashes: np.ndarray, numbers: np.ndarray, longest: int = 16, slots: np.ndarray | None = None):
         self.n, self.width = len(words), max(map(len, words), default=0)
         self.lengths = np.array([len(w) for w in words])
         self.hashes, self.numbers, self.longest = hashes, numbers, longest
@@ -79,23 +100,29 @@ class Lattice:
         self.total = np.zeros((self.width + 1, self.n), np.uint64)
         for j in range(self.width):
             self.total[j + 1] = self.total[j] * _BASE + H.mix(codes[:, j] + np.uint64(1))
+        self.slots, self.seen = slots_of(hashes) if slots is None else slots, {}
         self.powers = np.array([pow(int(_BASE), k, 1 << 64) for k in range(longest + 1)], np.uint64)
 
     def _numbers(self, h: np.ndarray) -> np.ndarray:
         """Numbers of spans (length - 1, word): unknown single characters are the last number, other unknown spans -1."""
-        k = np.searchsorted(self.hashes, h)
-        k[k == len(self.hashes)] = 0
-        out = np.where(self.hashes[k] == h, self.numbers[k], -1)
+        k = self.slots[h >> np.uint64(64 - SLOT_BITS)]
+        out = np.where(self.hashes[k] == h, self.numbers[k], -1)  # a free slot's -1 is the last piece, which h then isn't
+        several = np.nonzero(k == -2)
+        if len(several[0]):
+            k = np.searchsorted(self.hashes, h[several])
+            k[k == len(self.hashes)] = 0
+            out[several] = np.where(self.hashes[k] == h[several], self.numbers[k], -1)
         out[0][out[0] < 0] = len(self.hashes)
         return out
 
     def ending(self, j: int) -> np.ndarray:
-        most = min(self.longest, j)
-        return self._numbers(self.total[j] - self.total[j - most : j][::-1] * self.powers[1 : most + 1, None])
+        if j not in self.seen:
+            most = min(self.longest, j)
+            self.seen[j] = self._numbers(self.total[j] - self.total[j - most : j][::-1] * self.powers[1 : most + 1, None])
+        return self.seen[j]
 
     def starting(self, i: int) -> np.ndarray:
-        most = min(self.longest, self.width - i)
-        return self._numbers(self.total[i + 1 : i + most + 1] - self.total[i] * self.powers[1 : most + 1, None])
+        return np.stack([self.ending(i + n)[n - 1] for n in range(1, min(self.longest, self.width - i) + 1)])
 
     def _rescaled(self, window: np.ndarray, scale: np.ndarray, now: np.ndarray) -> None:
         top = window.max(0)
@@ -163,23 +190,28 @@ class Model:
     def __init__(self, langs: list[str], vocabulary: tuple[str, ...], probability: np.ndarray):
         self.langs, self.probability = langs, probability  # a row per piece, one for unknown characters, one of zeros
         self.hashes, self.numbers = _keys(vocabulary)
-        self.longest = max(map(len, vocabulary), default=1)
+        self.longest, self.slots = max(map(len, vocabulary), default=1), slots_of(self.hashes)
         self.known: dict[str, int] = {}
         self.table = np.zeros((0, len(langs)))
 
     def __getstate__(self):
-        return {"langs": self.langs, "probability": self.probability, "hashes": self.hashes, "numbers": self.numbers, "longest": self.longest, "known": {}, "table": np.zeros((0, len(self.langs)))}
+        return {"langs": self.langs, "probability": self.probability, "hashes": self.hashes, "numbers": self.numbers, "longest": self.longest, "slots": None, "known": {}, "table": np.zeros((0, len(self.langs)))}
+
+    def lattice(self, words: list[str]) -> Lattice:
+        if self.slots is None:  # it is made again in each worker rather than sent
+            self.slots = slots_of(self.hashes)
+        return Lattice(words, self.hashes, self.numbers, self.longest, self.slots)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.langs)))
         marked = [MARK + w for w in words]
         for own in batches_of(marked):
-            out[own] = Lattice([marked[k] for k in own], self.hashes, self.numbers, self.longest).score(self.probability)
+            out[own] = self.lattice([marked[k] for k in own]).score(self.probability)
         return out
 
     def text_scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Log probabilities of texts and their numbers of words."""
-        words = [_WORDS.findall((t or "").lower()) for t in texts]
+        words = [words_of(t) for t in texts]
         new = list({w for ws in words for w in ws}.difference(self.known))
         if len(self.known) + len(new) > CACHE:
             self.known, self.table = {}, np.zeros((0, len(self.langs)))
@@ -202,7 +234,7 @@ def _count_words(batches):
     for batch in batches:
         seen: Counter = Counter()
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            seen.update((lang, w) for w in _WORDS.findall((text or "").lower()))
+            seen.update((lang, w) for w in words_of(text))
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], schema=schema)
 
 
@@ -219,14 +251,14 @@ def _expect(model: Model):
             np.add.at(counts, (at, [column[x] for x in batch.column("lang").to_pylist()]), batch.column("n").to_numpy())
             marked = [MARK + w for w in place]
             for own in batches_of(marked):
-                got += Lattice([marked[k] for k in own], model.hashes, model.numbers, model.longest).expected(model.probability, counts[own])
+                got += model.lattice([marked[k] for k in own]).expected(model.probability, counts[own])
         some = np.flatnonzero(got.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, got.shape[1]).astype(np.int32)), pa.array(np.tile(np.arange(got.shape[1], dtype=np.int32), len(some))), pa.array(got[some].ravel())], ["piece", "lang", "n"])
 
     return expect
 
 
-def fit(labelled: DataFrame, vocabulary: str) -> Model:
+def fit(labelled: DataFrame, vocabulary: str, sample: int = SAMPLE) -> Model:
     """A model from rows ``_k_id, _k_text, lang``."""
     langs = [r["lang"] for r in labelled.select("lang").distinct().orderBy("lang").collect()]
     vocab = pieces(vocabulary)
@@ -234,15 +266,26 @@ def fit(labelled: DataFrame, vocabulary: str) -> Model:
     model = Model(langs, vocab, probability)
     if not langs:
         return model
-    words = labelled.select("lang", "_k_text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
-    words = checkpoint(words)
     probability[:-1] = 1 / (len(vocab) + 1)
     probability[-2] = 1e-6
-    for _ in range(ROUNDS):
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.select("lang", "_k_text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+
+    def again(words: DataFrame) -> None:
         got = np.full((len(vocab) + 1, len(langs)), SMOOTH)
         for r in words.mapInArrow(_expect(model), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).collect():  # a row per piece and language
             got[r["piece"], r["lang"]] += r["n"]
         probability[:-1] = got / got.sum(0)
+
+    # the first rounds find their way on a sample of rows, the last one counts all labelled texts
+    if ROUNDS > 1:
+        share = min(1.0, sample / max(1, labelled.count()))
+        some = labelled if share == 1 else labelled.where(F.pmod(F.xxhash64("_k_id", "_k_text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+        some = checkpoint(counted(some))
+        for _ in range(ROUNDS - 1):
+            again(some)
+    again(counted(labelled))
     return model
 
 

@@ -32,7 +32,7 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 MOST_HASHES = 128
 #: Texts of a block; a task compares two blocks.
-BLOCK = 512
+BLOCK = 256
 #: Texts of a candidate component that is compared as a whole.
 COMPONENT = 16_384
 
