@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Tokens of a catalog at most; they become literals of the plan.
+MOST_TOKENS = 10_000
+
+
 def trade_themes(sections: DataFrame, known: list[str]) -> DataFrame:
     """Themes that a trade's section allows, in order, known ones only: trade, ord, theme."""
     listed = F.regexp_extract("body", r"(?mi)^\W*allowed[_ ]themes\W*:?\s*(.+)$", 1)
@@ -50,8 +54,10 @@ def bracket_tokens(texts: DataFrame, col: str = "text") -> DataFrame:
 def forbidden_tokens(tokens: DataFrame, records: DataFrame, id_col: str, names: str = "services") -> DataFrame:
     """Placeholders that a record's own names do not hold: id, token."""
     own = records.select(id_col, F.explode(names).alias("name")).select(id_col, F.explode(F.regexp_extract_all("name", F.lit(r"\[[^\[\]]+\]"), 0)).alias("token")).distinct()
-    # the token list is a catalog of a prompt, a few dozen rows, joined to records
-    every = records.select(id_col).join(tokens.agg(F.collect_set("token").alias("all")), how="cross").select(id_col, F.explode("all").alias("token"))
+    names_of = [r["token"] for r in tokens.select("token").distinct().limit(MOST_TOKENS + 1).collect()]
+    if len(names_of) > MOST_TOKENS:
+        raise ValueError(f"more than {MOST_TOKENS} placeholder tokens: a catalog of a prompt has a few dozen")
+    every = records.select(id_col, F.explode(F.array(*map(F.lit, sorted(names_of))).cast("array<string>")).alias("token"))
     return every.join(own, [id_col, "token"], "left_anti")
 
 
