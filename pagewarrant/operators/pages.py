@@ -25,7 +25,6 @@ CONTEXT_TAGS = (
 ).split()
 IMAGE_CSS = "-webkit-mask -webkit-mask-image background background-image border-image border-image-source content cursor list-style list-style-image mask mask-image".split()
 META_IMAGE = ["og:image", "og:image:secure_url", "og:image:url", "twitter:image", "twitter:image:src"]
-SUPPRESSING_STYLE = r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden|content-visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)"
 LOGO_MARKERS = ["brand-logo", "custom-logo-link", "header-logo", "logo", "logo-link", "navbar-brand", "site-brand", "site-identity", "site-logo"]
 GENERIC_PARTS = ["about", "about us", "blog", "contact", "contact us", "faq", "frequently asked questions", "gallery", "home", "menu", "news", "our services", "our team", "services", "team"]
 THIN = 8000
@@ -44,19 +43,23 @@ def _flag(nodes: DataFrame, test: Column, name: str) -> DataFrame:
 
 
 def suppressed(nodes: DataFrame) -> DataFrame:
-    """Adds ``suppressed``: hidden by attribute, hidden input or style, or inside such an element."""
-    hidden = F.map_contains_key("attrs", "hidden") | ((F.col("tag") == "input") & (F.lower(attr("type")) == "hidden")) | F.coalesce(attr("style").rlike(SUPPRESSING_STYLE), F.lit(False))
-    return _flag(nodes, F.coalesce(hidden, F.lit(False)), "suppressed")
+    """Nodes with ``suppressed``: hidden by attribute, hidden input or style, or inside such an element (told while reading)."""
+    return nodes
+
+
+def _within(tags: list[str]) -> Column:
+    """Whether a node is, or lies in, an element of these names."""
+    return F.arrays_overlap("path", F.array(*map(F.lit, tags)))
 
 
 def semantic(nodes: DataFrame) -> DataFrame:
     """Adds ``ignored``: inside an element whose text says nothing (struck, scripted, never shown)."""
-    return _flag(nodes, F.col("tag").isin(IGNORED_TAGS), "ignored")
+    return nodes.withColumn("ignored", _within(IGNORED_TAGS))
 
 
 def clean_nodes(nodes: DataFrame) -> DataFrame:
     """Nodes outside scripts, vector graphics, noscript and frames."""
-    return _flag(nodes, F.col("tag").isin(NOISE_TAGS), "noise").where("not noise").drop("noise")
+    return nodes.where(~_within(NOISE_TAGS))
 
 
 def thin_content(nodes: DataFrame, least: int = THIN) -> DataFrame:

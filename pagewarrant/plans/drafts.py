@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import drafts as D
+from ..sources.tables import read_table
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 _REPORT = (
@@ -44,9 +45,19 @@ def claim_coverage(spark, sf_dir):
     return D.coverage(_documents(spark, sf_dir), "doc_id", "packet")
 
 
+def _turns(spark, sf_dir):
+    return read_table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("turn_id"), "text")
+
+
+def claim_findings(spark, sf_dir):
+    """Blockers and warnings of the stricter rule set over conversations."""
+    found = D.findings(D.coverage(_turns(spark, sf_dir), "turn_id", "verifier"))
+    return found.groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.sum("n_hits").alias("n_hits"))
+
+
 def claim_verdicts(spark, sf_dir):
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.concat_ws(":", "conv_id", "turn").alias("turn_id"), "text")
-    out = D.verdict(D.coverage(turns.groupBy("turn_id").agg(F.max("text").alias("text")), "turn_id", "verifier"), "turn_id")
+    """A verdict for each turn, over all its rows."""
+    out = D.verdict(D.coverage(_turns(spark, sf_dir), "turn_id", "verifier"), "turn_id")
     return out.withColumn("priorities", F.array_join("priorities", "; "))
 
 
@@ -62,7 +73,7 @@ def phone_numbers(spark, sf_dir):
     return hits.groupBy(X.phone_key(F.col("evidence")).alias("phone")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (readability, draft_scores, top_complex_words, long_sentences, style_hits, claim_coverage, claim_verdicts, raw_contacts, phone_numbers)}
+QUERIES = {f.__name__: f for f in (readability, draft_scores, top_complex_words, long_sentences, style_hits, claim_coverage, claim_findings, claim_verdicts, raw_contacts, phone_numbers)}
 
 _q = lambda s: "'" + s.replace("'", "''") + "'"
 _list = lambda xs: ", ".join(map(_q, xs))
@@ -134,22 +145,50 @@ def _loose(pattern: str, qualifier: str) -> str:
     return rf"coalesce(list_sum(list_transform(list_filter(string_split_regex(text, '[.!?\n]'), lambda s: NOT regexp_matches(s, {_q('(?i)' + qualifier)})), lambda s: {_count(pattern, 's')})), 0)"
 
 
-def _coverage_sql() -> str:
-    group = lambda g: " + ".join(_count(p) for gg, _, p in D.RULES["packet"] if gg == g)
-    rows = [
-        ("RA-NO-GUARANTEED-OUTCOMES", "CASE WHEN outcomes > 0 THEN 'fail' ELSE 'unresolved' END", "outcomes"),
-        ("RA-NO-AUTO-PUBLISHING", "CASE WHEN automation > 0 THEN 'fail' ELSE 'unresolved' END", "automation"),
-        ("RA-NO-REPLACING-AGENTS", "CASE WHEN replacing > 0 THEN 'fail' ELSE 'unresolved' END", "replacing"),
-        ("RA-NO-RAW-CONTACT-DATA", "CASE WHEN contacts > 0 THEN 'fail' ELSE 'pass' END", "contacts"),
-        ("RA-ANSWER-EVIDENCE-QUALIFIER", "CASE WHEN loose_answers > 0 THEN 'unresolved' WHEN answers THEN 'pass' ELSE 'not_applicable' END", "loose_answers"),
-        ("RA-OWNERSHIP-QUALIFIER", "CASE WHEN loose_owners > 0 THEN 'unresolved' ELSE 'not_applicable' END", "loose_owners"),
-        ("RA-HONEST-CTA", "'unresolved'", "0"),
-    ]
-    facts = f"""SELECT doc_id, {group('outcomes')} AS outcomes, {group('automation')} AS automation, {group('replacing')} AS replacing,
- len(regexp_extract_all(text, {_q(X.EMAIL)})) + len(regexp_extract_all(text, {_q(X.PHONE)})) AS contacts, regexp_matches(text, {_q('(?i)' + D.ANSWER['packet'])}) AS answers,
- {_loose(D.ANSWER['packet'], D.ANSWER_QUALIFIER)} AS loose_answers, {_loose(D.OWNERSHIP, D.OWNERSHIP_QUALIFIER)} AS loose_owners FROM documents"""
-    # a denied claim has no negation word in these tables' clauses; fixtures test denial
-    return f"WITH f AS ({facts}) " + " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule_id, {s} AS status, ({n})::BIGINT AS n_hits FROM f" for r, s, n in rows)
+def _stated(pattern: str) -> str:
+    """Matches of a rule whose clause before them does not deny them: matches of clause and rule together, less denied ones."""
+    found = f"regexp_extract_all(text, {_q('(?i)' + pattern)})"
+    clause = rf"regexp_extract(x, '(?s)([^.!?;\n]*)$', 1)"
+    last = rf"list_last(string_split_regex(lower({clause}), '\b(?:but|however)\b'))"
+    denied = rf"regexp_matches({last}, '\bno\b|\bnot\b|\bnever\b|\bwithout\b|\bdo(?:es)?\s+not\s+promise\b|\bdoesn''t\s+promise\b')"
+    # the text before each match: pieces between matches, with the matches before put back
+    before = rf"list_transform(range(1, len({found}) + 1), lambda i: array_to_string(list_transform(range(1, i + 1), lambda j: list_extract(string_split_regex(text, {_q('(?i)' + pattern)}), j) || CASE WHEN j < i THEN list_extract({found}, j) ELSE '' END), ''))"
+    return f"CASE WHEN regexp_matches(text, {_q('(?i)' + pattern)}) THEN len(list_filter({before}, lambda x: NOT {denied})) ELSE 0 END"
 
 
-ORACLE_SQL["claim_coverage"] = _coverage_sql()
+def _coverage_sql(rule_set: str, table: str, key: str) -> str:
+    packet = rule_set == "packet"
+    bad, unsure = ("fail", "unresolved") if packet else ("blocker", "warning")
+    group = lambda g: " + ".join(_stated(p) for gg, _, p in D.RULES[rule_set] if gg == g) or "0"
+    claim = lambda g: f"CASE WHEN {g} > 0 THEN '{bad}' ELSE '{unsure}' END"
+    rows = [
+        ("RA-NO-GUARANTEED-OUTCOMES", claim("outcomes"), "outcomes"),
+        ("RA-NO-AUTO-PUBLISHING", claim("automation"), "automation"),
+        ("RA-NO-REPLACING-AGENTS", claim("replacing"), "replacing"),
+        ("RA-NO-RAW-CONTACT-DATA", f"CASE WHEN contacts > 0 THEN '{bad}' ELSE 'pass' END", "contacts"),
+        ("RA-ANSWER-EVIDENCE-QUALIFIER", f"CASE WHEN loose_answers > 0 THEN '{unsure}' WHEN answers THEN 'pass' ELSE 'not_applicable' END", "loose_answers"),
+        ("RA-OWNERSHIP-QUALIFIER", f"CASE WHEN loose_owners > 0 THEN '{unsure}' ELSE 'not_applicable' END", "loose_owners"),
+        ("RA-HONEST-CTA", f"'{unsure}'", "0"),
+    ]
+    if not packet:
+        rows += [("RA-NO-PRIVACY-CHURN-CLAIMS", claim("privacy_churn"), "privacy_churn"), ("RA-OWNER-ROUTING-COVERAGE", f"CASE WHEN shape THEN '{unsure}' ELSE 'not_applicable' END", "0")]
+    # SQL's regular expressions have no look-ahead: the word after "resolution" is matched and taken away
+    answers = (lambda of: _count(D.ANSWER["packet"], of)) if packet else (lambda of: rf"(len(regexp_extract_all({of}, '(?i)\b(?:drafted answer|answer|answers)\b|\bresolutions?\b')) - len(regexp_extract_all({of}, '(?i)\bresolutions?\s+(?:audit|snapshot)\b')))")
+    loose = rf"coalesce(list_sum(list_transform(list_filter(string_split_regex(text, '[.!?\n]'), lambda s: NOT regexp_matches(s, {_q('(?i)' + D.ANSWER_QUALIFIER)})), lambda s: {answers('s')})), 0)"
+    facts = f"""SELECT {key} AS k, {', '.join(f'{group(g)} AS {g}' for g in ('outcomes', 'automation', 'replacing', 'privacy_churn'))},
+ len(regexp_extract_all(text, {_q(X.EMAIL)})) + len(regexp_extract_all(text, {_q(X.PHONE)})) AS contacts, {answers('text')} > 0 AS answers, regexp_matches(text, {_q('(?i)' + D.REPORT_SHAPE)}) AS shape,
+ {loose} AS loose_answers, {_loose(D.OWNERSHIP, D.OWNERSHIP_QUALIFIER)} AS loose_owners FROM {table}"""
+    return f"WITH f AS ({facts}), v AS (" + " UNION ALL ".join(f"SELECT k, '{r}' AS rule_id, {s} AS status, ({n})::BIGINT AS n_hits FROM f" for r, s, n in rows) + ") "
+
+
+_TURNS = _coverage_sql("verifier", "conversations", "conv_id || ':' || turn")
+ORACLE_SQL["claim_coverage"] = _coverage_sql("packet", "documents", "doc_id") + "SELECT k AS doc_id, rule_id, status, n_hits FROM v"
+ORACLE_SQL["claim_findings"] = _TURNS + "SELECT rule_id, status AS severity, count(*) AS n, sum(n_hits)::BIGINT AS n_hits FROM v WHERE status IN ('blocker', 'warning') GROUP BY 1, 2"
+ORACLE_SQL["claim_verdicts"] = (
+    _TURNS
+    + """, b AS (SELECT k, bool_or(status = 'blocker') AS blocked, bool_or(status = 'warning') AS warned, bool_or(rule_id = 'RA-OWNER-ROUTING-COVERAGE' AND status = 'warning') AS w1,
+ bool_or(rule_id = 'RA-ANSWER-EVIDENCE-QUALIFIER' AND status = 'warning') AS w2, bool_or(rule_id = 'RA-OWNERSHIP-QUALIFIER' AND status = 'warning') AS w3 FROM v GROUP BY 1)
+SELECT k AS turn_id, CASE WHEN blocked THEN 'Do not post yet' WHEN warned THEN 'Needs human review' ELSE 'No obvious blockers' END AS verdict, NOT blocked AND NOT warned AS passed,
+ concat_ws('; ', CASE WHEN blocked THEN 'Remove blocker language before posting.' END, CASE WHEN w1 THEN 'Add the probable owner lane if this draft explains the report or Snapshot.' END,
+  CASE WHEN w2 THEN 'Qualify answer/draft claims with evidence language or no-proven-answer wording.' END, CASE WHEN w3 THEN 'Replace certain ownership with probable, may, appears, route, or investigate language.' END) AS priorities FROM b"""
+)

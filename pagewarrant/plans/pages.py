@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..operators import ground as G
 from ..operators import pages as P
 from ..sources import dom
+from ..sources.tables import read_table
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return read_table(spark, sf_dir, "pages")
 
 
 def _nodes(spark, sf_dir):
@@ -48,7 +49,7 @@ def fetchable_pages(spark, sf_dir):
 
 def contact_evidence(spark, sf_dir):
     """E-mail addresses and phone digits that documents state and do not deny."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     mails = P.emails(docs, "doc_id", "text").select("doc_id", F.lit("email").alias("kind"), F.col("email").alias("value"))
     return mails.unionByName(P.phones(docs, "doc_id", "text").select("doc_id", F.lit("phone").alias("kind"), F.col("digits").alias("value")))
 

@@ -4,11 +4,14 @@ One Arrow pass turns each page into rows in document order.  A start tag opens
 an element unless it is void; an end tag closes the nearest open element of its
 name or is ignored; nothing is closed implicitly; script and style hold raw
 text; character references are decoded.  ``[node_id, subtree_end]`` is a node's
-interval in pre-order, so "inside" is a range test or a look into ``ancestors``.
+interval in pre-order, so "inside" is a range test or a look into ``ancestors``;
+``path`` has the names of the elements that hold it, its own last, and
+``suppressed`` whether one of them is hidden by attribute, type or style.
 """
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -18,14 +21,17 @@ from pyspark.sql import functions as F
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NODES = (
-    "page_id long, node_id int, parent_id int, depth int, ord int, tag string, attrs map<string,string>, classes array<string>, text string, kind string, ancestors array<int>, subtree_end int"
+    "page_id long, node_id int, parent_id int, depth int, ord int, tag string, attrs map<string,string>, classes array<string>, text string, kind string, ancestors array<int>, path array<string>, "
+    "suppressed boolean, subtree_end int"
 )
 _SCHEMA = pa.schema(
     [
         ("page_id", pa.int64()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()), ("ord", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
-        ("classes", pa.list_(pa.string())), ("text", pa.string()), ("kind", pa.string()), ("ancestors", pa.list_(pa.int32())), ("subtree_end", pa.int32()),
+        ("classes", pa.list_(pa.string())), ("text", pa.string()), ("kind", pa.string()), ("ancestors", pa.list_(pa.int32())), ("path", pa.list_(pa.string())), ("suppressed", pa.bool_()), ("subtree_end", pa.int32()),
     ]
 )
+# Fixed value: styles that suppress an element.
+SUPPRESSING_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden|content-visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)", re.IGNORECASE)
 #: Characters of a page that are read where a cut-off is asked for.
 MAX_CHARS = 120_000
 
@@ -49,7 +55,11 @@ class _Tree(PageParser):
 
     def _add(self, tag, attrs, text, kind):
         depth = len(self.open)
-        self.rows.append([len(self.rows), self.open[-1] if self.open else None, depth, self.children[-1], tag, attrs, (attrs.get("class") or "").split() if attrs is not None else [], text, kind, list(self.open), len(self.rows)])
+        path, suppressed = self.rows[self.open[-1]][10:12] if self.open else ([], False)
+        if tag is not None:
+            path = [*path, tag]
+            suppressed = suppressed or "hidden" in attrs or (tag == "input" and attrs.get("type", "").lower() == "hidden") or ("style" in attrs and SUPPRESSING_STYLE.search(attrs["style"]) is not None)
+        self.rows.append([len(self.rows), self.open[-1] if self.open else None, depth, self.children[-1], tag, attrs, (attrs.get("class") or "").split() if attrs is not None else [], text, kind, list(self.open), path, suppressed, len(self.rows)])
         self.children[-1] += 1
 
     def handle_starttag(self, tag, attrs):
