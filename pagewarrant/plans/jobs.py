@@ -54,4 +54,11 @@ SELECT CASE WHEN n = 1 THEN 'new' WHEN request_hash = own THEN 'replay' ELSE 'co
     "stalled_users": """WITH p AS (SELECT user_id, ts, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) AS pause FROM events),
 b AS (SELECT user_id, max(pause) AS pause, epoch_us(max(ts)) - epoch_us(min(ts)) AS len FROM p GROUP BY 1)
 SELECT user_id AS request_id, CASE WHEN pause > 86400000000 THEN 'no_progress' ELSE 'deadline' END AS reason FROM b WHERE pause > 86400000000 OR len > 2592000000000""",
+    "job_states": f"""WITH {_E.replace("ts, CASE", "ts, event_type AS payload, CASE WHEN event_id % 2 = 0 THEN 'TIMEOUT' ELSE 'BAD_REQUEST' END AS error_code, CASE")},
+n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, list_position(['accept', 'processing', 'complete', 'fail'], event), request_hash, payload, error_code) AS i FROM e),
+a AS (SELECT job_id, min(i) AS i FROM n WHERE event = 'accept' GROUP BY 1),
+x AS (SELECT n.job_id, min(n.i) AS i, arg_min(n.event, n.i) AS event, arg_min(n.error_code, n.i) AS error_code FROM n JOIN a USING (job_id) WHERE n.i > a.i AND n.event IN ('processing', 'fail') GROUP BY 1),
+y AS (SELECT n.job_id, arg_min(n.event, n.i) AS event, arg_min(n.error_code, n.i) AS error_code, arg_min(n.payload, n.i) AS payload FROM n JOIN x USING (job_id) WHERE x.event = 'processing' AND n.i > x.i AND n.event IN ('complete', 'fail') GROUP BY 1)
+SELECT a.job_id, CASE WHEN x.event = 'fail' OR y.event = 'fail' THEN 'failed' WHEN y.event = 'complete' THEN 'completed' WHEN x.event = 'processing' THEN 'processing' ELSE 'accepted' END AS status,
+  CASE WHEN y.event = 'complete' THEN sha256(y.payload) END AS sha256, CASE WHEN x.event = 'fail' THEN x.error_code WHEN y.event = 'fail' THEN y.error_code END AS error_code FROM a LEFT JOIN x USING (job_id) LEFT JOIN y USING (job_id)""",
 }

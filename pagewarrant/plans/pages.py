@@ -85,6 +85,7 @@ _LINKS = rf"""l AS (SELECT page_id, unnest(range(1, len(h) + 1))::INT AS ord, un
  FROM (SELECT page_id, regexp_extract_all({_BARE}, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all({_BARE}, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pages))"""
 _C = """c AS (SELECT page_id AS doc_id, unnest([page_id, page_id + 1]) AS page_id, ord, href, lower(trim(label)) AS label FROM l)"""
 _TEXT = r"""trim(regexp_replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))"""
+_DECODED = """replace(replace(replace(replace(replace({}, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '&amp', '&')"""
 ORACLE_SQL = {
     "page_headings": rf"""WITH h AS (SELECT page_id, unnest(regexp_extract_all({_BARE}, '<h([1-6])>(.*?)</h[1-6]>', 1)) AS l, unnest(regexp_extract_all({_BARE}, '<h([1-6])>(.*?)</h[1-6]>', 2)) AS t FROM pages)
 SELECT page_id, l::INT AS level, {_TEXT.format('t')} AS text FROM h""",
@@ -93,4 +94,8 @@ SELECT page_id, l::INT AS level, {_TEXT.format('t')} AS text FROM h""",
  len(regexp_extract_all(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs'), '<!--')) AS n_comments,
  len(regexp_extract_all({_BARE}, '<p>')) AS n_paragraphs, len(regexp_extract_all({_BARE}, '<li>')) AS n_items FROM pages""",
     "grounded_actions": f"WITH {_LINKS}, {_C} SELECT doc_id, page_id, 'nav/' || ord || '@' || page_id AS path, EXISTS (SELECT 1 FROM l WHERE l.page_id = c.page_id AND l.href = c.href AND lower(trim(l.label)) = c.label) AS grounded FROM c",
+    "thin_pages": rf"""WITH t AS (SELECT page_id, unnest(string_split_regex(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', '<x>', 'gs'), '<!--.*?-->', '<x>', 'gs'), '<[^>]*>')) AS t FROM pages),
+n AS (SELECT page_id, sum(length(regexp_replace({_DECODED.format('t')}, '^\s+|\s+$', '', 'g')))::BIGINT AS n FROM t GROUP BY 1) SELECT page_id, n AS n_visible, n < {P.THIN} AS thin FROM n""",
+    "fetchable_pages": rf"""WITH {_LINKS} SELECT DISTINCT page_id, regexp_extract(url, '^https?://[^/?#]*') || regexp_replace(replace(href, '&amp;', '&'), '#.*$', '') AS target FROM l JOIN pages USING (page_id)
+ WHERE regexp_extract(url, '^https?://[^/?#]*([^#]*)', 1) <> regexp_replace(replace(href, '&amp;', '&'), '#.*$', '')""",
 }
