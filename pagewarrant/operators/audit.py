@@ -66,6 +66,13 @@ def check_frame(bodies: DataFrame) -> DataFrame:
     return _violations(bodies.withColumn("bad", bad).where("bad is not null"), "frame", F.col("bad"), "doc_id")
 
 
+def check_document(documents: DataFrame) -> DataFrame:
+    """Whole documents that do not begin as HTML and end it, or are too large."""
+    html = F.trim("html")
+    bad = F.when(~html.rlike(r"(?i)^<!doctype html\b"), "begin").when(~html.rlike(r"(?i)</html>$"), "end").when(F.octet_length(html) > MAX_DOCUMENT, "size")
+    return _violations(documents.withColumn("bad", bad).where("bad is not null"), "document", F.col("bad"), "doc_id")
+
+
 def check_forbidden(nodes: DataFrame) -> DataFrame:
     """Forbidden elements, executable attributes and destinations."""
     tags = _violations(nodes.where(F.col("tag").isin(FORBIDDEN_TAGS)), "forbidden_tag", F.col("tag"))
@@ -153,19 +160,18 @@ def check_images(images: DataFrame, contract: DataFrame) -> DataFrame:
 
 
 def check_exact_claims(exposed: DataFrame, claims: DataFrame) -> DataFrame:
-    """Triggers that do not start their whole phrase: ``claims`` has doc_id, trigger, phrase."""
+    """Triggers that do not start their whole phrase, place by place: ``claims`` has doc_id, trigger, phrase."""
     both = exposed.join(claims, "doc_id").withColumns({"t": norm(F.col("text")), "g": norm(F.col("trigger")), "p": norm(F.col("phrase"))})
-    count = lambda pattern: F.regexp_count(F.col("t"), pattern)
-    starts = count(F.concat(F.lit(r"(?<!\w)\Q"), F.col("g"), F.lit(r"\E(?!\w)")))
-    whole = count(F.concat(F.lit(r"(?<!\w)\Q"), F.col("p"), F.lit(r"\E(?!\w)")))
-    return _violations(both.where(starts > whole), "exact_claim", F.col("trigger"), "doc_id")
+    alone = F.concat(F.lit(r"(?<!\w)(?!\Q"), F.col("p"), F.lit(r"\E(?!\w))\Q"), F.col("g"), F.lit(r"\E(?!\w)"))
+    return _violations(both.where(F.rlike(F.col("t"), alone)), "exact_claim", F.col("trigger"), "doc_id")
 
 
 def check_required_values(exposed: DataFrame, required: DataFrame) -> DataFrame:
-    """Required values (doc_id, value) that no surface holds, spaces and signs aside."""
-    shown = exposed.groupBy("doc_id").agg(compact(F.array_join(F.collect_list("text"), " ")).alias("all"))
-    both = required.join(shown, "doc_id", "left")
-    return _violations(both.where(~F.coalesce(F.col("all"), F.lit("")).contains(compact(F.col("value")))), "required_value", F.col("value"), "doc_id")
+    """Required values (doc_id, value) that no surface holds as whole words, spaces and signs aside."""
+    from .contracts import contains_tokens
+
+    held = required.join(exposed, "doc_id").where(contains_tokens(F.col("text"), F.col("value"))).select("doc_id", "value").distinct()
+    return _violations(required.join(held, ["doc_id", "value"], "left_anti"), "required_value", F.col("value"), "doc_id")
 
 
 def check_forbidden_phrases(exposed: DataFrame, phrases: list[str]) -> DataFrame:

@@ -188,11 +188,10 @@ SELECT DISTINCT doc_id, 'email_outside_source' AS rule_id, lower(v) AS evidence
     + """ AS c FROM documents), p AS (SELECT unnest(['of the', 'der und', 'de la']) AS p)
 SELECT DISTINCT doc_id, 'forbidden_phrase' AS rule_id, p AS evidence FROM d, p WHERE contains(n, p) OR contains(c, replace(p, ' ', '')) UNION ALL
 SELECT DISTINCT doc_id, 'placeholder', unnest(['{{name}}', '[CITY]']) FROM documents WHERE doc_id % 9 = 0 AND text IS NOT NULL""",
-    "required_copy": "WITH t AS (SELECT conv_id, role, text FROM conversations WHERE text IS NOT NULL), c AS (SELECT conv_id, "
-    + _COMPACT.format("string_agg(text, ' ')")
-    + f""" AS c FROM t GROUP BY 1), w AS (SELECT unnest({_WORDS}) AS w)
-SELECT conv_id AS doc_id, 'required_value' AS rule_id, w AS evidence FROM c, w WHERE NOT contains(c, w) UNION ALL
-SELECT DISTINCT conv_id, 'copy_outside_catalog', md5("""
+    "required_copy": rf"""WITH t AS (SELECT conv_id, role, text, ' ' || regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' ' AS w FROM conversations WHERE text IS NOT NULL), w AS (SELECT unnest({_WORDS}) AS w)
+SELECT DISTINCT conv_id AS doc_id, 'required_value' AS rule_id, w.w AS evidence FROM t a, w WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.conv_id = a.conv_id AND regexp_matches(b.w, ' ' || regexp_replace(w.w, '(.)', '\1 ?', 'g') || ' ')) UNION ALL
+"""
+    + """SELECT DISTINCT conv_id, 'copy_outside_catalog', md5("""
     + _NORM.format("text")
     + ") FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.conv_id = a.conv_id AND b.role = 'user' AND "
     + _NORM.format("b.text")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import catalogs as K
+from ..operators import contracts as C
 from ..operators import documents as S
 from ..operators import evidence as E
 from ..operators import records as R
@@ -215,11 +216,75 @@ def edited_records(spark, sf_dir):
     return R.merge_edits(base, edits, "c_custkey")
 
 
+def record_contracts(spark, sf_dir):
+    """Form action, trust sentence, logo, hooks, names and themes of customers as records."""
+    k, low = F.col("c_custkey"), F.lower("c_mktsegment")
+    photo = lambda context, url: F.struct(F.when(k % 3 == 0, url).alias("url"), F.lit(" ").alias("src"), F.concat(F.lit("/p/"), k).alias("path"), context.alias("context"))
+    photos = F.when(k % 5 != 0, F.array(photo(F.lit("hero"), F.lit("h")), photo(F.when(k % 2 == 0, "logo").otherwise("team"), F.lit("https://l.example/l.png"))))
+    draft = F.concat(F.when(k % 4 == 0, C.URL_TOKEN).otherwise("text"), F.lit("\n##  Before sending\n"), F.lit(C.URL_TOKEN))
+    hooks = C.outreach_hooks(k % 20, (k % 6).cast("double"), k % 9, k % 5 == 0, k % 3 == 0)
+    return _table(spark, sf_dir, "customer").select(
+        "c_custkey", C.form_action(F.when(k % 2 == 0, F.concat(F.lit(" https://f.example/"), k)).otherwise(" ")).alias("action"), C.trust_trailer(k % 2 == 0, k % 3 == 0, k % 5 == 0).alias("trust"),
+        C.record_logo(F.when(k % 7 == 0, "own.png").otherwise(" "), photos).alias("logo"), F.array_join(hooks, ",").alias("hooks"), C.draft_has_token(draft).alias("has_token"), C.safe_name(F.concat(F.lit("a/b/.."), "c_name", F.lit(" é.HTML"))).alias("file"),
+        C.site_slug(F.concat(F.when(k % 2 == 0, "https://www.").otherwise(""), low, F.lit(".example.org/x?y"))).alias("slug"), C.site_theme(F.when(k % 4 == 0, "church").otherwise(low)).alias("theme"), C.body_theme(F.when(k % 3 == 0, "dark")).alias("body"),
+    )
+
+
+def record_claims(spark, sf_dir):
+    """Exact claim phrases of customers with a license or a local number."""
+    k = F.col("c_custkey")
+    df = _table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 4 == 0, k.cast("string")).otherwise(" ").alias("license"), F.when(k % 6 == 0, F.concat(F.lit("IBEW Local "), k)).alias("local"))
+    return C.exact_claims(df, "c_custkey", "license", "local")
+
+
+def event_errors(spark, sf_dir):
+    """Event types as kinds of failures, classified."""
+    kind = F.when(F.col("event_type") == "error", "json").when(F.col("event_type") == "click", "unavailable").when(F.col("event_type") == "view", "body").otherwise(F.col("event_type"))
+    return C.classify_errors(_table(spark, sf_dir, "events").select(kind.alias("kind"))).groupBy("kind", "error_code", "retryable").agg(F.count("*").alias("n"))
+
+
+def _site_json(spark, sf_dir) -> DataFrame:
+    """Suppliers as site documents in JSON, with what each has to nations and parts of its number."""
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    nav = F.array(F.struct(name.alias("label"), F.concat(F.lit("/"), k).alias("url")), F.struct(F.lit(" ").alias("label"), F.lit("/x").alias("url")))
+    items = F.array(F.struct(F.concat(F.lit("i"), k).alias("title"), F.when(k % 2 == 0, "/i").alias("url"), F.lit("d").alias("description")))
+    sections = F.when(k % 3 != 0, F.array(F.struct(F.lit("h1").alias("headline"), items.alias("items")), F.struct(F.lit(None).cast("string").alias("headline"), items.alias("items"))))
+    images = F.array(F.struct(F.concat(F.lit("u"), k % 4).alias("url"), F.lit("alt").alias("alt")), F.struct(F.lit("u1").alias("url"), F.lit("").alias("alt")))
+    site = F.struct(F.when(k % 5 != 0, name).alias("name"), F.lit("tag").alias("tagline"))
+    doc = F.struct(site.alias("site"), F.struct(F.when(k % 2 == 0, "u1").alias("logo_url")).alias("brand"), F.when(k % 7 != 0, nav).alias("nav"), sections.alias("sections"), images.alias("images"), F.when(k % 11 == 0, 1).alias("odd"))
+    return _table(spark, sf_dir, "supplier").select(k.alias("doc_id"), F.when(k % 13 == 0, "no json").otherwise(F.to_json(doc)).alias("json"))
+
+
+def site_claims(spark, sf_dir):
+    """Claims of suppliers' site documents, one by one."""
+    docs = _site_json(spark, sf_dir).select("doc_id", F.try_parse_json("json").alias("doc"))
+    return C.flatten_claims(docs)
+
+
+def site_shapes(spark, sf_dir):
+    """The first error in shape of each supplier's site document, and the images that sound ones may show."""
+    docs = _site_json(spark, sf_dir)
+    bad = C.check_shape(docs, "json", ["nav", "sections", "site"], ["site", "brand", "nav", "sections", "images"])
+    shown = C.contract_images(C.flatten_claims(docs.select("doc_id", F.try_parse_json("json").alias("doc")))).select("doc_id", F.col("value").alias("path"), F.when(F.col("is_logo"), "logo").otherwise("image").alias("rule_id"))
+    return bad.unionByName(shown)
+
+
+def service_claims(spark, sf_dir):
+    """Part names as services and claims of a supplier's site, by two words of a name as service and place."""
+    p = _table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("doc_id"), "p_name", "p_partkey")
+    services = p.where("p_partkey % 3 = 0").select("doc_id", F.split("p_name", " ")[1].alias("value")).distinct()
+    claims = p.select("doc_id", F.concat_ws(" ", F.lit("best"), "p_name").alias("value"))
+    places = p.groupBy("doc_id").agg(F.min(F.split("p_name", " ")[0]).alias("location"))
+    allowed = C.contract_service_location(services, claims.where(F.length("value") % 2 == 0), places)
+    return C.check_service_location(claims.withColumnRenamed("value", "text"), services, places, allowed)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         card_fields, duplicate_cards, card_dates, stale_cards, card_stats, tag_gaps, manifest_errors, manifest_drift, channel_lists, evidence_bundles, enrichment_queue, remaining_pages, site_documents, contract_values, record_colors,
         token_catalogs, branch_texts, trade_catalogs, template_classes, record_checks, record_values, token_usage, edited_records,
+        record_contracts, record_claims, event_errors, site_claims, site_shapes, service_claims,
     )
 }
 
@@ -278,4 +343,26 @@ SELECT k AS c_custkey, CASE WHEN k % 17 <> 0 THEN '555 0100' END AS phone, CASE
   array_to_string(list_filter(['Upfront Flat-Rate', 'Surprise Fees', 'Free Estimates', 'Owner Answers', 'Licensed', 'Insured', 'Family Owned', 'Locally Owned', 'Not a Franchise', '24/7', '24 Hour Service', 'Around the Clock', 'Same Day', 'EPA Certified', 'EPA Section 608'], lambda c: NOT list_contains(bad, c)), '; ') AS verified FROM u""",
     "token_usage": "SELECT l_returnflag AS model, sum(CASE WHEN l_linenumber <> 3 THEN l_quantity::BIGINT ELSE 0 END)::BIGINT AS cache_read, sum(l_suppkey)::BIGINT AS cache_write, sum(greatest(l_partkey - CASE WHEN l_linenumber <> 3 THEN l_quantity::BIGINT ELSE 0 END - l_suppkey, 0))::BIGINT AS uncached FROM lineitem GROUP BY 1",
     "edited_records": "SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment WHEN c_custkey % 2 = 0 THEN NULL WHEN c_custkey % 9 = 0 THEN 'new' ELSE c_mktsegment END AS c_mktsegment FROM customer",
+    "record_contracts": r"""WITH c AS (SELECT *, c_custkey AS k, lower(c_mktsegment) AS seg FROM customer),
+h AS (SELECT *, list_slice(list_filter([CASE WHEN k % 20 >= 10 THEN 'longevity' END, CASE WHEN k % 6 >= 4 AND k % 9 >= 5 THEN 'review_score' END, CASE WHEN k % 5 = 0 THEN '24/7' END, CASE WHEN k % 3 = 0 THEN 'family_owned' END], lambda x: x IS NOT NULL), 1, 2) AS h FROM c),
+t AS (SELECT *, concat_ws(', ', CASE WHEN k % 2 = 0 THEN 'Licensed, insured' END, CASE WHEN k % 3 = 0 THEN 'family-owned' END, CASE WHEN k % 5 = 0 THEN 'locally owned' END) AS t FROM h)
+SELECT c_custkey, CASE WHEN k % 2 = 0 THEN 'https://f.example/' || k ELSE '#' END AS action, CASE WHEN t <> '' THEN t || '.' ELSE '' END AS trust,
+  CASE WHEN k % 7 = 0 THEN 'own.png' WHEN k % 5 <> 0 AND k % 2 = 0 THEN CASE WHEN k % 3 = 0 THEN 'https://l.example/l.png' ELSE '/p/' || k END END AS logo, CASE WHEN len(h) > 0 THEN array_to_string(h, ',') ELSE 'discoverability' END AS hooks, k % 4 = 0 AS has_token,
+  regexp_replace(c_name, '[^A-Za-z0-9._-]+', '-', 'g') || '-.html' AS file, seg || '-example-org' AS slug, CASE WHEN k % 4 = 0 THEN 'civic' ELSE 'minimal' END AS theme, CASE WHEN k % 3 = 0 THEN 'theme-dark' ELSE 'theme-light' END AS body FROM t""",
+    "record_claims": """WITH t AS (SELECT unnest(['Master Electrician', 'Master Licensed', 'Master-Licensed']) AS trigger)
+SELECT c_custkey AS doc_id, trigger, trigger || CASE WHEN trigger = 'Master Electrician' THEN ' licensed' ELSE '' END || ', #' || c_custkey AS phrase FROM customer, t WHERE c_custkey % 4 = 0
+UNION ALL SELECT c_custkey, 'IBEW', 'IBEW Local ' || c_custkey FROM customer WHERE c_custkey % 6 = 0""",
+    "event_errors": """WITH e AS (SELECT CASE event_type WHEN 'error' THEN 'json' WHEN 'click' THEN 'unavailable' WHEN 'view' THEN 'body' ELSE event_type END AS kind FROM events)
+SELECT kind, CASE kind WHEN 'json' THEN 'INPUT_INVALID' WHEN 'unavailable' THEN 'MODEL_RUNTIME_UNAVAILABLE' WHEN 'body' THEN 'MODEL_RESPONSE_INVALID' ELSE 'PROVIDER_INTERNAL_ERROR' END AS error_code, kind <> 'json' AS retryable, count(*) AS n FROM e GROUP BY 1""",
+    "site_claims": """WITH s AS (SELECT s_suppkey AS k, s_name AS n FROM supplier WHERE s_suppkey % 13 <> 0)
+SELECT k AS doc_id, '$.site.name' AS path, 'text' AS kind, n AS value, NULL::VARCHAR AS value2 FROM s WHERE k % 5 <> 0 UNION ALL SELECT k, '$.site.tagline', 'text', 'tag', NULL FROM s UNION ALL SELECT k, '$.brand.logo_url', 'logo', 'u1', NULL FROM s WHERE k % 2 = 0
+UNION ALL SELECT k, '$.nav[0].label', 'action', n, '/' || k FROM s WHERE k % 7 <> 0 UNION ALL SELECT k, '$.images[0].url', 'image', 'u' || (k % 4), 'alt' FROM s UNION ALL SELECT k, '$.images[1].url', 'image', 'u1', '' FROM s
+UNION ALL SELECT k, '$.sections[0].headline', 'heading', 'h1', NULL FROM s WHERE k % 3 <> 0 UNION ALL SELECT k, '$.sections[' || i || '].items[0].title', 'text', 'i' || k, CASE WHEN k % 2 = 0 THEN '/i' END FROM s, range(2) r(i) WHERE k % 3 <> 0
+UNION ALL SELECT k, '$.sections[' || i || '].items[0].description', 'text', 'd', NULL FROM s, range(2) r(i) WHERE k % 3 <> 0""",
+    "site_shapes": """SELECT s_suppkey AS doc_id, CASE WHEN s_suppkey % 13 = 0 THEN '' WHEN s_suppkey % 7 = 0 THEN 'nav' WHEN s_suppkey % 11 = 0 THEN 'odd' ELSE 'sections' END AS path,
+  CASE WHEN s_suppkey % 13 = 0 THEN 'no_object' WHEN s_suppkey % 7 = 0 THEN 'missing' WHEN s_suppkey % 11 = 0 THEN 'unknown' ELSE 'missing' END AS rule_id FROM supplier WHERE s_suppkey % 13 = 0 OR s_suppkey % 7 = 0 OR s_suppkey % 11 = 0 OR s_suppkey % 3 = 0
+UNION ALL SELECT s_suppkey, 'u1', CASE WHEN s_suppkey % 2 = 0 THEN 'logo' ELSE 'image' END FROM supplier WHERE s_suppkey % 13 <> 0 UNION ALL SELECT s_suppkey, 'u' || (s_suppkey % 4), 'image' FROM supplier WHERE s_suppkey % 13 <> 0 AND s_suppkey % 4 <> 1""",
+    "service_claims": """WITH p AS (SELECT p_partkey % 50 AS doc_id, p_name, p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part), l AS (SELECT doc_id, min(a) AS loc FROM p GROUP BY 1),
+s AS (SELECT DISTINCT doc_id, b AS service FROM p WHERE p_partkey % 3 = 0), said AS (SELECT DISTINCT p.doc_id, 'best ' || p_name AS v FROM p JOIN l USING (doc_id) JOIN s USING (doc_id) WHERE contains(' best ' || p_name || ' ', ' ' || loc || ' ') AND contains(' best ' || p_name || ' ', ' ' || service || ' '))
+SELECT doc_id, 'service_location' AS rule_id, v AS evidence FROM said WHERE length(v) % 2 = 1""",
 }
