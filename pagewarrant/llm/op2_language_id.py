@@ -15,6 +15,7 @@ the scores of words it has seen.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from functools import lru_cache
 
@@ -131,14 +132,14 @@ class Lattice:
         scale += np.log(top)
         now += np.log(top)
 
-    def forward(self, probability: np.ndarray):
-        """alpha[place, word, language] and its log scales; probability has a row of zeros at -1."""
-        shape = (self.width + 1, self.n, probability.shape[1])
+    def forward(self, of, width: int):
+        """alpha[place, word, column] and its log scales; ``of`` gives the probabilities of pieces, a column per language."""
+        shape = (self.width + 1, self.n, width)
         alpha, scale, now = np.zeros(shape), np.zeros(shape), np.zeros(shape[1:])
         alpha[0] = 1
         for j in range(1, self.width + 1):
             ids = self.ending(j)
-            alpha[j] = np.einsum("knl,knl->nl", alpha[j - len(ids) : j][::-1], probability[ids])
+            alpha[j] = np.einsum("knl,knl->nl", alpha[j - len(ids) : j][::-1], of(ids))
             scale[j] = now
             if j % 8 == 0:
                 low = max(0, j - self.longest)
@@ -146,32 +147,33 @@ class Lattice:
         return alpha, scale
 
     def score(self, probability: np.ndarray) -> np.ndarray:
-        """Log probability of each word in each language."""
-        alpha, scale = self.forward(probability)
+        """Log probability of each word in each language; ``probability`` has a row of zeros at -1."""
+        alpha, scale = self.forward(probability.__getitem__, probability.shape[1])
         at = self.lengths, np.arange(self.n)
         return np.log(alpha[at]) + scale[at]
 
-    def expected(self, probability: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Expected piece counts, for counts[word, language]."""
-        alpha, scale = self.forward(probability)
+    def expected(self, probability: np.ndarray, counts: np.ndarray, langs: np.ndarray) -> np.ndarray:
+        """Expected piece counts by language, for words of one language each and their counts."""
+        of = lambda ids: probability[ids, langs][:, :, None]
+        alpha, scale = self.forward(of, 1)
         at = self.lengths, np.arange(self.n)
         whole = np.log(alpha[at]) + scale[at]
         beta, back, now = np.zeros_like(alpha), np.zeros_like(scale), np.zeros_like(whole)
         beta[at] = 1
-        out = np.zeros((len(probability) - 1, probability.shape[1]))
+        n_langs = probability.shape[1]
+        out = np.zeros((len(probability) - 1) * n_langs)
         for i in range(self.width - 1, -1, -1):
             ids = self.starting(i)
             after = slice(i + 1, i + 1 + len(ids))
-            step = probability[ids] * beta[after]
+            step = of(ids) * beta[after]
             beta[i] += step.sum(0)
             back[i] = now
-            got = alpha[i] * step * np.exp(np.minimum(scale[i] + back[after] - whole, 600)) * counts
-            for lang in range(out.shape[1]):
-                some = got[:, :, lang] > 0
-                out[:, lang] += np.bincount(ids[some], got[:, :, lang][some], len(out))
+            got = (alpha[i] * step * np.exp(np.minimum(scale[i] + back[after] - whole, 600)))[:, :, 0] * counts
+            some = got > 0
+            out += np.bincount((ids * n_langs + langs)[some], got[some], len(out))
             if i % 8 == 0:
                 self._rescaled(beta[i : i + self.longest], back[i : i + self.longest], now)
-        return out
+        return out.reshape(-1, n_langs)
 
 
 def _keys(vocabulary: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -186,16 +188,40 @@ def _keys(vocabulary: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
     return out[order], order
 
 
+class _Scores:
+    """Scores of the words that a worker has seen, for one model; tasks of a worker share them."""
+
+    def __init__(self, width: int):
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((1024, width))
+
+    def add(self, words: list[str], scores: np.ndarray) -> None:
+        start, end = len(self.known), len(self.known) + len(words)
+        while end > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[start:end] = scores
+        self.known.update(zip(words, range(start, end)))
+
+
+_SEEN: dict[int, _Scores] = {}
+
+
 class Model:
     def __init__(self, langs: list[str], vocabulary: tuple[str, ...], probability: np.ndarray):
         self.langs, self.probability = langs, probability  # a row per piece, one for unknown characters, one of zeros
         self.hashes, self.numbers = _keys(vocabulary)
         self.longest, self.slots = max(map(len, vocabulary), default=1), slots_of(self.hashes)
-        self.known: dict[str, int] = {}
-        self.table = np.zeros((0, len(langs)))
 
     def __getstate__(self):
-        return {"langs": self.langs, "probability": self.probability, "hashes": self.hashes, "numbers": self.numbers, "longest": self.longest, "slots": None, "known": {}, "table": np.zeros((0, len(self.langs)))}
+        return {"langs": self.langs, "probability": self.probability, "hashes": self.hashes, "numbers": self.numbers, "longest": self.longest, "slots": None}
+
+    def seen(self) -> _Scores:
+        """The worker's scores for this model; those of another one go."""
+        key = zlib.crc32(self.probability.tobytes())
+        if key not in _SEEN:
+            _SEEN.clear()
+            _SEEN[key] = _Scores(len(self.langs))
+        return _SEEN[key]
 
     def lattice(self, words: list[str]) -> Lattice:
         if self.slots is None:  # it is made again in each worker rather than sent
@@ -212,20 +238,20 @@ class Model:
     def text_scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Log probabilities of texts and their numbers of words."""
         words = [words_of(t) for t in texts]
-        new = list({w for ws in words for w in ws}.difference(self.known))
-        if len(self.known) + len(new) > CACHE:
-            self.known, self.table = {}, np.zeros((0, len(self.langs)))
-            new = list({w for ws in words for w in ws})
+        seen = self.seen()
+        every = {w for ws in words for w in ws}
+        if len(seen.known) + len(every) > CACHE:
+            seen.__init__(len(self.langs))
+        new = list(every.difference(seen.known))
         if new:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.table = np.concatenate([self.table, self.word_scores(new)])
-        get = self.known.__getitem__
+            seen.add(new, self.word_scores(new))
+        get = seen.known.__getitem__
         count = np.array([len(ws) for ws in words])
         out = np.zeros((len(texts), len(self.langs)))
         some = np.flatnonzero(count)
         if len(some):
             at = np.fromiter((get(w) for ws in words for w in ws), np.int64, int(count.sum()))
-            out[some] = np.add.reduceat(self.table[at], np.r_[0, np.cumsum(count[some])[:-1]])
+            out[some] = np.add.reduceat(seen.table[at], np.r_[0, np.cumsum(count[some])[:-1]])
         return out, count
 
 
@@ -245,13 +271,10 @@ def _expect(model: Model):
         column = {x: k for k, x in enumerate(model.langs)}
         got = np.zeros((len(model.probability) - 1, len(model.langs)))
         for batch in batches:
-            place: dict[str, int] = {}
-            at = [place.setdefault(w, len(place)) for w in batch.column("word").to_pylist()]
-            counts = np.zeros((len(place), len(model.langs)))
-            np.add.at(counts, (at, [column[x] for x in batch.column("lang").to_pylist()]), batch.column("n").to_numpy())
-            marked = [MARK + w for w in place]
+            marked = [MARK + w for w in batch.column("word").to_pylist()]
+            langs, counts = np.array([column[x] for x in batch.column("lang").to_pylist()]), batch.column("n").to_numpy()
             for own in batches_of(marked):
-                got += model.lattice([marked[k] for k in own]).expected(model.probability, counts[own])
+                got += model.lattice([marked[k] for k in own]).expected(model.probability, counts[own], langs[own])
         some = np.flatnonzero(got.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, got.shape[1]).astype(np.int32)), pa.array(np.tile(np.arange(got.shape[1], dtype=np.int32), len(some))), pa.array(got[some].ravel())], ["piece", "lang", "n"])
 

@@ -429,7 +429,7 @@ def test_words_are_read_whole():
     for j in range(1, len(word) + 1):
         total[j] = sum(total[j - n] * 1000 ** (n - 1) for n in range(1, 13) if j >= n and word[j - n : j] in vocab)
     assert abs(lattice.score(p)[0, 0] - (math.log(total[-1]) - len(word) * math.log(1000))) < 1e-6
-    counts = lattice.expected(p, np.ones((2, 1)))
+    counts = lattice.expected(p, np.ones(2), np.zeros(2, int))
     lengths = np.array([len(v) for v in vocab] + [1])
     assert abs((counts[:, 0] * lengths).sum() - len(word) - 3) < 1e-3
     assert any(len(x) > 8 for x in lang.pieces(P.path("piece_bpe_32k.model")))
