@@ -137,8 +137,13 @@ def _counterfactuals(rows, cols, values, kept, terms):
     for (row, col), times in count.items():
         if col not in by_word:
             continue
+        # another word may share the term's hash, but hardly those of all its prefixes too
+        term = at[by_word[col]][at[by_word[col]] >= 0].tolist()
+        times = min(count.get((row, c), 0) for c in term)
+        if not times:
+            continue
         for step in SWAPS:
-            change = dict.fromkeys(at[by_word[col]][at[by_word[col]] >= 0].tolist(), -times)
+            change = dict.fromkeys(term, -times)
             if step:
                 other = at[(by_word[col] + step) % len(terms)]
                 for c in other[other >= 0].tolist():

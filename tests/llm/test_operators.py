@@ -524,6 +524,12 @@ def test_swapped_sentences_and_loss():
                     new = [] if not step else [tox.IDENTITY_TERMS[(k + step) % len(tox.IDENTITY_TERMS)]]
                     want.append(s - score([" ".join(y for x in t.split() for y in (new if x == term else [x]))])[0])
     assert np.allclose(sorted(got), sorted(want))
+    # a word that shares a term's hash, but not those of its prefixes
+    long = next(k for k, t in enumerate(tox.IDENTITY_TERMS) if len(t) > 6)
+    word, prefix = (int(np.searchsorted(kept, terms[long, k])) for k in (0, 1))
+    assert tox._counterfactuals(np.array([0]), np.array([word]), np.log1p([3.0]), kept, terms) == ()
+    some = tox._counterfactuals(np.array([0] * 4), np.searchsorted(kept, terms[long]), np.log1p([3.0, 1.0, 1.0, 1.0]), kept, terms)
+    assert np.isfinite(some[2]).all() and prefix != word
     y = np.array([int("idiot" in t.split()) for t in texts])
     w, bias = tox.fit_sparse(rows, cols, values, len(texts), len(kept), y, np.ones(len(y)), pairs, l1=1e-3, pull=10.0, steps=4000)
 
