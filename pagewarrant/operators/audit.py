@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.dom import VOID
 from . import pages as P
 
 MAX_BODY, MAX_DOCUMENT = 512 * 1024, 2 * 1024 * 1024
@@ -73,6 +74,47 @@ def check_document(documents: DataFrame) -> DataFrame:
     return _violations(documents.withColumn("bad", bad).where("bad is not null"), "document", F.col("bad"), "doc_id")
 
 
+def tag_marks(html: Column) -> Column:
+    """Tags of a text in order, as ``p``, ``/p`` or ``p/``; comments and the contents of scripts and styles are none."""
+    bare = F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "<$1></$1>")
+    tags = F.regexp_extract_all(bare, F.lit(r"""</?[A-Za-z](?:[^"'>]++|"[^"]*+"|'[^']*+')*+>"""), 0)
+    name = lambda t: F.lower(F.regexp_extract(t, r"^</?([A-Za-z][^\s/>]*)", 1))
+    return F.transform(tags, lambda t: F.concat(F.when(t.startswith("</"), "/").otherwise(""), name(t), F.when(t.endswith("/>") & ~t.startswith("</"), "/").otherwise("")))
+
+
+def check_balance(bodies: DataFrame) -> DataFrame:
+    """The first tag that closes nothing, another element or a void one, that closes itself, or that stays open; and bodies with other than one root.
+
+    ``bodies`` has doc_id, html.  Open elements are one text that a fold over the tags carries, an error begins with ``!``.
+    """
+    void = lambda name: name.isin(sorted(VOID))
+
+    def step(s, t):
+        ends, own = F.substring(t, 2, 1_000_000), F.regexp_replace(t, "/$", "")
+        last = F.substring_index(s, " ", -1)
+        closed = F.when(void(ends), F.concat(F.lit("!void "), ends)).when(s == "", F.concat(F.lit("!unexpected "), ends)).when(last != ends, F.concat(F.lit("!misnested "), ends, F.lit(" in "), last)).otherwise(F.substring(s, F.lit(1), F.length(s) - F.length(ends) - 1))
+        alone = F.when(void(own) | (own == "svg") | F.concat(s, F.lit(" ")).contains(" svg "), s).otherwise(F.concat(F.lit("!self_closed "), own))
+        return F.when(s.startswith("!"), s).when(t.startswith("/"), closed).when(t.endswith("/"), alone).when(void(t), s).otherwise(F.concat(s, F.lit(" "), t))
+
+    tags = bodies.select("doc_id", tag_marks(F.col("html")).alias("tags"))
+    of = lambda mark: F.size(F.filter("tags", lambda t: t == mark))
+    state = F.aggregate(F.filter("tags", lambda t: ~t.isin("body", "/body")), F.lit(""), step)
+    error = F.when(F.col("state").startswith("!"), F.substring("state", 2, 1_000_000)).when(F.col("state") != "", F.concat(F.lit("unclosed "), F.substring_index("state", " ", -1)))
+    roots = F.when((of("body") != 1) | (of("/body") != 1), F.concat_ws(" ", of("body").cast("string"), of("/body").cast("string")))
+    both = tags.withColumn("state", state)
+    return _violations(both.withColumn("e", error).where("e is not null"), "balance", F.col("e"), "doc_id").unionByName(_violations(both.withColumn("e", roots).where("e is not null"), "body_roots", F.col("e"), "doc_id"))
+
+
+def check_duplicate_attributes(bodies: DataFrame) -> DataFrame:
+    """Attributes that a tag names twice: ``bodies`` has doc_id, html."""
+    tags = F.regexp_extract_all(F.regexp_replace("html", r"(?s)<!--.*?-->", ""), F.lit(r"""<[A-Za-z](?:[^"'>]++|"[^"]*+"|'[^']*+')*+>"""), 0)
+    each = bodies.select("doc_id", F.explode(tags).alias("t")).where(F.col("t").contains("="))
+    bare = F.regexp_replace("t", r"""=\s*(?:"[^"]*+"|'[^']*+'|[^\s>"']++)""", " ")
+    names = F.transform(F.regexp_extract_all(F.regexp_replace(bare, r"^<[^\s/>]*", ""), F.lit(r"[^\s/>=]+"), 0), lambda n: F.lower(n))
+    twice = F.array_distinct(F.filter(names, lambda n: F.size(F.filter(names, lambda m: m == n)) > 1))
+    return _violations(each.select("doc_id", F.explode(twice).alias("n")).distinct(), "duplicate_attribute", F.col("n"), "doc_id")
+
+
 def check_forbidden(nodes: DataFrame) -> DataFrame:
     """Forbidden elements, executable attributes and destinations."""
     tags = _violations(nodes.where(F.col("tag").isin(FORBIDDEN_TAGS)), "forbidden_tag", F.col("tag"))

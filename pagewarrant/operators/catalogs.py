@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Tokens of a catalog at most; they become literals of the plan.
 MOST_TOKENS = 10_000
+# Properties that a theme sets.
+THEME_PROPERTIES = ["--font-display", "--font-body", "--font-serif", "--card-radius"]
 
 
 def trade_themes(sections: DataFrame, known: list[str]) -> DataFrame:
@@ -24,6 +26,25 @@ def trade_palettes(sections: DataFrame) -> DataFrame:
     return sections.select(F.lower(F.trim("heading")).alias("trade"), F.posexplode(F.arrays_zip(hexes.alias("accent"), darks.alias("dark"))).alias("ord", "p")).select("trade", "ord", "p.accent", "p.dark")
 
 
+def trade_queries(sections: DataFrame) -> DataFrame:
+    """Image search of each trade's section: trade, query."""
+    found = sections.select(F.trim(F.regexp_extract("heading", r"^\s*TRADE:\s*(.*)$", 1)).alias("trade"), F.trim(F.regexp_extract("body", r'(?m)^\s*hero_search_query:\s*"([^"\n]+)"', 1)).alias("query"))
+    return found.where("trade <> '' and query <> ''")
+
+
+def theme_defs(sections: DataFrame) -> DataFrame:
+    """Font link and properties of each theme's section, or the first thing that it lacks: theme, font_link, props, error."""
+    link = F.regexp_extract("body", '<link href="https://fonts[.]googleapis[.]com/[^"<>]+" rel="stylesheet">', 0)
+    value = {name: F.trim(F.regexp_extract("body", rf"(?m)^{name}:([^\n]*);[ \t]*$", 1)) for name in THEME_PROPERTIES}
+    error = F.when(link == "", "font_link")
+    for name, v in value.items():
+        error = error.when(v == "", name).when(v.rlike("[{}<>]"), F.lit("unsafe " + name))
+    props = F.map_from_arrays(F.array(*map(F.lit, value)), F.array(*value.values()))
+    own = sections.select(F.trim(F.regexp_extract("heading", r"^(.*?)\s+--", 1)).alias("theme"), link.alias("font_link"), props.alias("props"), error.alias("error")).where("theme <> ''")
+    sound = F.col("error").isNull()
+    return own.select("theme", F.when(sound, F.col("font_link")).alias("font_link"), F.when(sound, F.col("props")).alias("props"), "error")
+
+
 def class_vocab(templates: DataFrame, col: str = "text") -> DataFrame:
     """Classes of attributes and of selectors, sorted: class."""
     attrs = templates.select(F.explode(F.regexp_extract_all(col, F.lit(r"(?i)class\s*=\s*[\"']([^\"']*)[\"']"), 1)).alias("v")).select(F.explode(F.split(F.trim("v"), r"\s+")).alias("class"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -38,6 +38,13 @@ ERROR_CODES = {
     "value": ("INPUT_INVALID", False),
 }
 DEFAULT_ERROR = ("PROVIDER_INTERNAL_ERROR", True)
+DEFAULT_ACCENT, DEFAULT_SECONDARY = "#1D4ED8", "#1F3A5F"
+# Labels of actions that claim nothing, and the channel that some of them need.
+NEUTRAL_LABELS = [
+    "back", "call", "call us", "close", "close menu", "collapse", "contact", "contact us", "details", "email", "email us", "expand", "explore", "get in touch", "home", "learn more", "main content", "menu", "message", "more",
+    "navigation", "next", "open", "open menu", "previous", "read more", "see more", "send", "show", "show more", "skip to main content", "submit", "text", "text us", "view", "view details", "visit our website", "visit website", "website",
+]
+LABEL_CHANNELS = {"call": "tel", "call us": "tel", "email": "mailto", "email us": "mailto", "text": "sms", "text us": "sms"}
 
 
 def _filled(col: Column) -> Column:
@@ -111,6 +118,80 @@ def classify_errors(failures: DataFrame, kind: str = "kind") -> DataFrame:
     return failures.withColumns({"error_code": F.coalesce(F.element_at(known, F.col(kind)), F.lit(DEFAULT_ERROR[0])), "retryable": F.coalesce(F.element_at(again, F.col(kind)), F.lit(DEFAULT_ERROR[1]))})
 
 
+def neutral_labels(catalog: DataFrame, contract: DataFrame) -> DataFrame:
+    """Neutral labels of a document's copy (doc_id, value) whose channel it has, in any spelling: doc_id, label, ord.
+
+    ``contract`` has doc_id, kind, value; phones make ``tel``, e-mails ``mailto``, ``sms:`` actions ``sms``.
+    """
+    kind, value = F.col("kind"), F.lower(F.trim("value"))
+    channels = contract.select("doc_id", F.when(kind == "phone", "tel").when(kind == "email", "mailto").when((kind == "action") & value.startswith("sms:"), "sms").alias("channel")).where("channel is not null").distinct()
+    label = A.norm(F.col("value"))
+    need = F.try_element_at(F.create_map(*[F.lit(x) for kv in LABEL_CHANNELS.items() for x in kv]), label)
+    own = catalog.where(label.isin(NEUTRAL_LABELS)).select("doc_id", F.col("value").alias("label"), need.alias("channel")).distinct()
+    free = own.where("channel is null").unionByName(own.join(channels, ["doc_id", "channel"], "left_semi").select(own.columns))
+    return free.select("doc_id", "label", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lower("label"), "label")).alias("ord"))
+
+
+def _dark(color: Column) -> Column:
+    """Three quarters of each channel, halves to even."""
+    part = lambda at: F.lpad(F.hex(F.bround(F.conv(F.substring(color, at, 2), 16, 10).cast("double") * 0.75).cast("long")), 2, "0")
+    return F.concat(F.lit("#"), part(2), part(4), part(6))
+
+
+def document_colors(brand: Column, palette: Column, trade_secondary: Column) -> Column:
+    """Colours of a document: a struct of accent, accent_dark, secondary and error.
+
+    ``brand`` is a variant: a colour, a list of them or an object of named ones; an empty one leaves the
+    choice to ``palette`` (a struct of the three, or null for the defaults).  ``error`` names what is no six-digit colour, or
+    ``brand`` where it holds no primary colour or is of another type; the colours are null then.
+    """
+    get = lambda *paths: F.coalesce(*[F.nullif(F.try_variant_get(brand, p, "string"), F.lit("")) for p in paths])
+    kind, json = F.coalesce(F.schema_of_variant(brand), F.lit("VOID")), F.to_json(brand)
+    is_text, is_list, is_map = kind == "STRING", kind.startswith("ARRAY"), kind.startswith("OBJECT")
+    # An empty list, object or text, false and zero count as none.
+    given = (kind != "VOID") & ~F.coalesce(json.isin('""', "[]", "{}", "false", "0"), F.lit(True))
+    accent = F.when(is_text, get("$")).when(is_list, get("$[0]")).when(is_map, get("$.accent", "$.primary"))
+    dark = F.when(is_map, get("$.accent_dark", "$.dark"))
+    second = F.when(is_list, get("$[1]")).when(is_map, get("$.secondary"))
+    sound = lambda c: F.coalesce(c.rlike("^#[0-9A-Fa-f]{6}$"), F.lit(False))
+    spare = F.coalesce(F.nullif(trade_secondary, F.lit("")), F.lit(DEFAULT_SECONDARY))
+    of = lambda a, d, s: F.struct(a.alias("accent"), d.alias("accent_dark"), s.alias("secondary"))
+    branded = of(accent, F.coalesce(dark, F.when(sound(accent), _dark(accent))), F.coalesce(second, spare))
+    chosen = F.when(given, branded).when(palette.isNotNull(), of(palette["accent"], palette["accent_dark"], F.coalesce(F.nullif(palette["secondary"], F.lit("")), spare)))
+    chosen = chosen.otherwise(of(F.lit(DEFAULT_ACCENT), _dark(F.lit(DEFAULT_ACCENT)), F.lit(DEFAULT_SECONDARY)))
+    error = F.when(given & accent.isNull(), "brand")
+    for name in ("accent", "accent_dark", "secondary"):
+        error = error.when(~sound(chosen[name]), name)
+    return F.struct(*[F.when(error.isNull(), chosen[name]).alias(name) for name in ("accent", "accent_dark", "secondary")], error.alias("error"))
+
+
+def contract_locations(records: DataFrame, id_col: str) -> DataFrame:
+    """Places that a record's page may name: doc_id, kind (city, state, radius, address), value; blank ones are left out."""
+    value = {"city": F.col("city"), "state": F.col("state"), "radius": F.col("service_radius"), "address": F.trim("address")}
+    rows = F.array(*[F.struct(F.lit(kind).alias("kind"), v.alias("value")) for kind, v in value.items()])
+    return records.select(F.col(id_col).alias("doc_id"), F.inline(rows)).where(F.trim("value") != "")
+
+
+def record_images(records: DataFrame, id_col: str, logo: str = "logo", photos: str = "photos") -> DataFrame:
+    """Image URLs that a record's page may show, first seen first: doc_id, value, is_logo, ord."""
+    none = F.array().cast("array<struct<url:string,src:string,path:string>>")
+    each = F.flatten(F.transform(F.coalesce(photos, none), lambda p: F.array(p["url"], p["src"], p["path"])))
+    own = _filled(F.col(logo))
+    kept = F.array_distinct(F.filter(F.transform(F.concat(F.array(own), each), lambda u: F.trim(u)), lambda u: u.isNotNull() & (u != "")))
+    return records.select(F.col(id_col).alias("doc_id"), own.alias("_logo"), F.posexplode(kept).alias("ord", "value")).select("doc_id", "value", F.coalesce(F.col("value") == F.col("_logo"), F.lit(False)).alias("is_logo"), (F.col("ord") + 1).alias("ord"))
+
+
+def canonical_images(claims: DataFrame, sites: DataFrame) -> DataFrame:
+    """Claims with the URLs of images and logos resolved against their site's (doc_id, base_url); without one they stay.
+
+    Distinct pairs are resolved once, character references are decoded first.
+    """
+    image = F.col("kind").isin("image", "logo")
+    based = claims.join(sites.select("doc_id", "base_url"), "doc_id", "left").withColumn("_b", F.when(image & (F.trim("base_url") != ""), F.col("base_url")))
+    pairs = based.where("_b is not null").select("_b", "value").distinct().withColumn("_r", P.url_join("_b", P.unescape("value")))
+    return based.join(pairs, ["_b", "value"], "left").withColumn("value", F.coalesce("_r", "value")).select(claims.columns)
+
+
 def oversized(records: DataFrame, text: str, most: int = 200_000) -> DataFrame:
     """Records whose prompt block is too long."""
     return records.where(F.length(text) > most)

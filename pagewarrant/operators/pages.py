@@ -5,6 +5,7 @@ All joins and groups are by ``page_id``: one shuffle of the nodes serves them.
 
 from __future__ import annotations
 
+import html
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -114,6 +115,12 @@ def url_join(base: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([one(b, r) for b, r in zip(base, ref)], dtype=object)
 
 
+@F.pandas_udf(T.StringType())
+def unescape(text: pd.Series) -> pd.Series:
+    """Character references decoded."""
+    return pd.Series([None if t is None else html.unescape(t) for t in text], dtype=object)
+
+
 def resolve_urls(refs: DataFrame, pages: DataFrame, nodes: DataFrame, col: str = "href") -> DataFrame:
     """Adds ``resolved``: against the page's first http(s) base element, else its URL.  Distinct pairs are resolved once."""
     bases = semantic(nodes).where("not ignored").where((F.col("tag") == "base") & attr("href").isNotNull()).groupBy("page_id").agg(F.min_by(attr("href"), "node_id").alias("base_href"))

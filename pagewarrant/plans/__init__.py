@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import audits, drafts, jobs, pages, records, registry
+from . import audits, components, drafts, jobs, pages, records, registry
 
-_MODULES = (drafts, pages, audits, records, registry, jobs)
+_MODULES = (drafts, pages, audits, records, registry, components, jobs)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
