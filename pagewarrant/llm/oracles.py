@@ -50,4 +50,23 @@ e AS (SELECT l.a AS rep, sum(c.copies) AS links FROM l JOIN c ON c.rep = l.b GRO
 SELECT d.doc_id, coalesce(k.class_id, c.rep, d.doc_id) AS class_id, (coalesce(e.links, 0) + coalesce(c.copies - 1, 0))::BIGINT AS n_links
 FROM d LEFT JOIN c ON c.t = array_to_string(d.ws, ' ') AND len(d.ws) > 0 LEFT JOIN k ON k.node = c.rep LEFT JOIN e ON e.rep = c.rep"""
 
-ORACLE_SQL = {"op1_de_bruijn": _OP1, "op8_minhash": _OP8, "op9_winnowing": _OP9, "op10_suffix_array": _OP10}
+_OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+m AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT d.part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic, len(ws) < 200 AS a, 100 * len(list_distinct(ws)) < 50 * len(ws) AS b,
+  100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d, coalesce(m.least < d.doc_id, false) AS e FROM d JOIN m USING (t) LEFT JOIN l USING (doc_id)),
+x AS (SELECT *, a::INT + b::INT + c::INT + d::INT + e::INT AS k FROM f),
+o AS (SELECT p.c || q.c || r.c || s.c || u.c AS o FROM (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) p, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) q, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) r,
+  (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) s, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) u
+  WHERE p.c <> q.c AND r.c NOT IN (p.c, q.c) AND s.c NOT IN (p.c, q.c, r.c) AND u.c NOT IN (p.c, q.c, r.c, s.c)),
+y AS (SELECT part, good, toxic, k, (CASE WHEN a THEN 'A' ELSE '' END) || (CASE WHEN b THEN 'B' ELSE '' END) || (CASE WHEN c THEN 'C' ELSE '' END) || (CASE WHEN d THEN 'D' ELSE '' END) || (CASE WHEN e THEN 'E' ELSE '' END) AS fails,
+  count(*) AS n FROM x GROUP BY ALL),
+z AS (SELECT y.*, o.o, s.step, contains(fails, o.o[s.step]) AS own, s.step > 1 AND length(translate(fails, o.o[1:s.step - 1], '')) < length(fails) AS gone, fails = o.o[s.step] AS alone
+  FROM y, o, (SELECT unnest(range(1, 6))::INT AS step) s),
+g AS (SELECT part, o AS filter_order, step, sum(CASE WHEN NOT own AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN own AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN own AND gone THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN alone THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN own AND NOT gone AND good THEN n ELSE 0 END)::BIGINT AS good_lost,
+  sum(CASE WHEN own AND NOT gone AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost FROM z GROUP BY ALL)
+SELECT *, (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley FROM g"""
+
+ORACLE_SQL = {"op1_de_bruijn": _OP1, "op8_minhash": _OP8, "op9_winnowing": _OP9, "op10_suffix_array": _OP10, "op13_filter_audit": _OP13}

@@ -99,6 +99,12 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op13_filter_audit import filter_audit
+
+    return filter_audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_de_bruijn": op1_de_bruijn,
     "op2_language_id": op2_language_id,
@@ -110,4 +116,5 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_winnowing": op9_winnowing,
     "op10_suffix_array": op10_suffix_array,
+    "op13_filter_audit": op13_filter_audit,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -123,3 +124,19 @@ def releasing_batches(f):
             release()
 
     return batches
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a written table, in the folder that the cluster names for checkpoints; a local session without one gets its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = folder or tempfile.mkdtemp(prefix="pagewarrant-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage through a Parquet table in the shared folder: columns that are not needed later are not read again."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
