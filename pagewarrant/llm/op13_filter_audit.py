@@ -41,7 +41,7 @@ def document_flags(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Very long texts are read whole; empty tables give no rows; other columns are not read.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    capitals = F.length(F.regexp_replace(text, "[^A-Z]", ""))
+    capitals = F.regexp_count(text, F.lit("[A-Z]"))
     own = docs.select(
         F.col(f"`{id_col}`").alias("_k_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("_k_digest"), F.coalesce(F.col(f"`{part_col}`").cast("string"), F.lit("")).alias("part"),
         (100 * capitals.cast("long") > CAPITAL_PERCENT * F.length(text).cast("long")).alias("capitals"), text.rlike(SYMBOLS).alias("symbols"), text.alias("_k_text"),

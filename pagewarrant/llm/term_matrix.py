@@ -1,10 +1,10 @@
 """A sparse document-term matrix in CSR shards whose columns are words of one dictionary.
 
 Texts are cut into words once: a task turns its rows into shards of bounded size
-with word numbers of their own.  The distinct words of all shards get dense
-numbers (a count per partition, then its running sum), go back to the shards
-that hold them, and shards are renumbered.  A shard's words meet the dictionary
-once however often they occur in it, so a frequent word costs a row per shard.
+with word numbers of their own.  The words of all shards meet by word, get dense
+numbers (a rank within their bucket after the words of all buckets before), and
+the numbers go back to the shards, which are renumbered.  A word costs a shard one
+row however often it occurs there, so a frequent word costs a row per shard.
 """
 
 from __future__ import annotations
@@ -14,50 +14,63 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import bounded_batches, release, stored
+from .session import bounded_batches, partitions, release, releasing_two, stored
 
 #: Bytes of text of a shard; a longer text is a shard of its own.
-SHARD_BYTES = 4 << 20
-_AT = (1 << 33) - 1
-
-
-def _shard(partition: int, number: int, rows: pa.RecordBatch, counters: list[Counter]) -> pa.RecordBatch:
-    vocabulary: dict[bytes, int] = {}
-    indices = [vocabulary.setdefault(w, len(vocabulary)) for c in counters for w in c]
-    counts = [n for c in counters for n in c.values()]
-    indptr = np.cumsum([0, *map(len, counters)]).astype(np.int32)
-    one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
-    kept = pa.StructArray.from_arrays([rows.column(i) for i in range(rows.num_columns)], fields=list(rows.schema))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([partition << 32 | number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), kept), one(indptr, pa.int32()), one(indices, pa.int32()), one(counts, pa.int32()),
-            one(list(vocabulary), pa.binary()),
-        ],
-        ["shard", "rows", "indptr", "indices", "counts", "words"],
-    )
+SHARD_BYTES = 16 << 20
+_PARTS = ("indptr", "indices", "counts")
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, compressed."""
+    raw = values.astype("<u4").tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True) if raw else b""
+
+
+def unpack(data: bytes) -> np.ndarray:
+    """The numbers that ``pack`` has packed."""
+    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), "<u4").astype(np.int64) if data else np.zeros(0, np.int64)
+
+
+class _Shard:
+    def __init__(self):
+        self.rows, self.indptr, self.indices, self.counts, self.vocabulary, self.size = [], [0], [], [], {}, 0
+
+    def add(self, text: bytes) -> None:
+        words, known = Counter(text.split()), self.vocabulary  # bytes part at space, \t, \n, \v, \f and \r alone
+        self.indices.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint32, len(words)))
+        self.counts.append(np.fromiter(words.values(), np.uint32, len(words)))
+        self.indptr.append(self.indptr[-1] + len(words))
+        self.size += len(text)
+
+    def batch(self, number: int) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(self.rows).combine_chunks().to_batches()[0]
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        kept = pa.StructArray.from_arrays([rows.column(i) for i in range(rows.num_columns)], fields=list(rows.schema))
+        packed = [pa.array([pack(x)]) for x in (np.array(self.indptr), np.concatenate(self.indices), np.concatenate(self.counts))]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(kept), *packed, one(pa.array(list(self.vocabulary), pa.binary()))], ["shard", "rows", *_PARTS, "words"])
 
 
 def _local(shard_bytes: int):
     def local(batches):
-        partition, number = TaskContext.get().partitionId(), 0
+        number, shard = TaskContext.get().partitionId() << 32, _Shard()
         for batch in batches:
-            kept = batch.select([n for n in batch.schema.names if n != "_k_text"])
-            texts, start, size, counters = batch.column("_k_text"), 0, 0, []
+            kept, texts, start = batch.select([n for n in batch.schema.names if n != "_k_text"]), batch.column("_k_text"), 0
             for i in range(batch.num_rows):
                 text = texts[i].as_buffer()
                 text = b"" if text is None else text.to_pybytes()
-                if counters and size + len(text) > shard_bytes:
-                    yield _shard(partition, number, kept.slice(start, i - start), counters)
-                    start, size, counters, number = i, 0, [], number + 1
-                counters.append(Counter(text.split()))  # bytes part at space, \t, \n, \v, \f and \r alone
-                size += len(text)
-            if counters:
-                yield _shard(partition, number, kept.slice(start), counters)
-                number += 1
+                if shard.counts and shard.size + len(text) > shard_bytes:
+                    shard.rows.append(kept.slice(start, i - start))
+                    yield shard.batch(number)
+                    start, number, shard = i, number + 1, _Shard()
+                shard.add(text)
+            shard.rows.append(kept.slice(start))
+        if shard.counts:
+            yield shard.batch(number)
         release()
 
     return local
@@ -69,28 +82,27 @@ def local_shards(docs: DataFrame, text: str, shard_bytes: int = SHARD_BYTES) ->
     kept = [c for c in docs.columns if c != text]
     read = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("_k_text"))
     rows = T.ArrayType(T.StructType([docs.schema[c] for c in kept]))
-    schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("rows", rows), *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("indptr", "indices", "counts")], T.StructField("words", T.ArrayType(T.BinaryType()))])
+    schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("rows", rows), *[T.StructField(n, T.BinaryType()) for n in _PARTS], T.StructField("words", T.ArrayType(T.BinaryType()))])
     return stored(read.mapInArrow(_local(shard_bytes), schema), "term-shards")
 
 
-def dictionary(shards: DataFrame) -> DataFrame:
-    """``word, id``: all distinct words of shards, numbered from 0 without gaps."""
-    words = stored(shards.select(F.explode("words").alias("word")).distinct().withColumn("at", F.monotonically_increasing_id()), "term-dictionary")
-    part = F.shiftright("at", 33)
-    sizes = words.groupBy(part.alias("part")).count().orderBy("part").collect()  # a row for each shuffle partition
+def numbered_words(shards: DataFrame) -> DataFrame:
+    """``shard, local, word, id``: the words of each shard with their number there and in the dictionary, which counts all distinct words from 0 without gaps."""
+    own = shards.select("shard", F.posexplode("words").alias("local", "word"))
+    bucket = F.pmod(F.xxhash64("word"), F.lit(partitions(shards.sparkSession, 4))).cast("int")
+    ranked = own.withColumn("bucket", bucket).withColumn("rank", F.dense_rank().over(Window.partitionBy("bucket").orderBy("word")))
+    ranked = stored(ranked, "term-words")
     first, bases = 0, []
-    for r in sizes:
-        bases.append((r["part"], first))
-        first += r["count"]
-    base = F.broadcast(words.sparkSession.createDataFrame(bases, "part long, base long"))
-    return words.join(base, part == F.col("part")).select("word", (F.col("base") + F.col("at").bitwiseAND(F.lit(_AT))).alias("id"))
+    for r in ranked.groupBy("bucket").agg(F.max("rank").alias("n")).orderBy("bucket").collect():  # a row for each bucket
+        bases.append((r["bucket"], first))
+        first += r["n"]
+    base = F.broadcast(shards.sparkSession.createDataFrame(bases, "bucket int, base long"))
+    return ranked.join(base, "bucket").select("shard", "local", "word", (F.col("base") + F.col("rank") - 1).alias("id"))
 
 
-def encode(shards: DataFrame, words: DataFrame) -> DataFrame:
-    """``shard, rows, indptr, indices, counts, ids``: shards with the dictionary number of each of their words in ``ids``."""
-    own = shards.select("shard", F.posexplode("words").alias("local", "word"))
-    ids = own.join(words, "word").groupBy("shard").agg(F.transform(F.sort_array(F.collect_list(F.struct("local", "id"))), lambda x: x["id"]).alias("ids"))
-    return shards.drop("words").join(ids, "shard", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<long>")))
+def dictionary(words: DataFrame) -> DataFrame:
+    """``word, id`` of numbered words."""
+    return words.select("word", "id").distinct()
 
 
 def csr(indptr: np.ndarray, indices: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,18 +119,17 @@ def row_measures(indptr: np.ndarray, columns: np.ndarray, counts: np.ndarray) ->
     return total[indptr[1:]] - total[indptr[:-1]], np.diff(indptr).astype(np.int64)
 
 
-def _measure(batches):
-    for batch in batches:
-        for k in range(batch.num_rows):
-            part = batch.slice(k, 1)
-            flat = lambda n, part=part: part.column(n).flatten()
-            matrix = csr(*[flat(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("indptr", "indices", "counts", "ids")])
-            n_words, n_distinct = row_measures(*matrix)
-            rows = flat("rows")
-            for a in range(0, len(rows), 10_000):
-                piece = rows.slice(a, 10_000)
-                yield pa.RecordBatch.from_arrays([*piece.flatten(), pa.array(n_words[a : a + 10_000]), pa.array(n_distinct[a : a + 10_000])], [*[f.name for f in rows.type], "n_words", "n_distinct"])
-    release()
+def matrix(shard: pa.Table, words: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The matrix of one shard row and its numbered words."""
+    ids = np.zeros(len(words), np.int64)
+    ids[words["local"].to_numpy()] = words["id"].to_numpy()
+    return csr(*[unpack(shard[n][0].as_py()) for n in _PARTS], ids)
+
+
+def _measure(shard: pa.Table, words: pa.Table) -> pa.Table:
+    n_words, n_distinct = row_measures(*matrix(shard, words))
+    rows = shard["rows"].combine_chunks().flatten()
+    return pa.table([*rows.flatten(), pa.array(n_words), pa.array(n_distinct)], [*[f.name for f in rows.type], "n_words", "n_distinct"])
 
 
 def word_measures(docs: DataFrame, text: str) -> DataFrame:
@@ -127,5 +138,6 @@ def word_measures(docs: DataFrame, text: str) -> DataFrame:
     A null text is empty; a table without rows gives none.
     """
     shards = local_shards(docs, text)
+    words = numbered_words(shards).select("shard", "local", "id")
     schema = T.StructType([*shards.schema["rows"].dataType.elementType.fields, T.StructField("n_words", T.LongType()), T.StructField("n_distinct", T.LongType())])
-    return encode(shards, dictionary(shards)).select("rows", "indptr", "indices", "counts", "ids").mapInArrow(_measure, schema)
+    return shards.drop("words").groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(releasing_two(_measure), schema)

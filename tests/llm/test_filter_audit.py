@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pagewarrant.llm import term_matrix as M
@@ -69,16 +70,22 @@ def test_against_plain_python(spark):
 def test_matrix(spark):
     docs = _docs()
     shards = M.local_shards(_df(spark, docs).repartition(3), "text", shard_bytes=2000)
-    words = M.dictionary(shards)
-    number = {bytes(r["word"]): r["id"] for r in words.collect()}
+    words = M.numbered_words(shards)
+    number = {bytes(r["word"]): r["id"] for r in M.dictionary(words).collect()}
     assert sorted(number.values()) == list(range(len(number))) and set(number) == {w for _, t, _ in docs for w in (t or "").encode().split()}
     name = {i: w for w, i in number.items()}
     seen = []
-    for r in M.encode(shards, words).collect():
-        indptr, columns, counts = M.csr(*[np.array(r[c], np.int64) for c in ("indptr", "indices", "counts", "ids")])
-        for k, row in enumerate(r["rows"]):
-            own = columns[indptr[k] : indptr[k + 1]]
-            assert (np.diff(own) > 0).all()
-            seen.append((row["doc_id"], row["lang"], tuple(sorted((name[c], int(n)) for c, n in zip(own, counts[indptr[k] : indptr[k + 1]])))))
+    of = collections.defaultdict(list)
+    for r in words.collect():
+        of[r["shard"]].append((r["local"], r["id"]))
+    for r in shards.toArrow().to_batches():
+        for k in range(len(r)):
+            one = pa.Table.from_batches([r.slice(k, 1)])
+            local, ids = zip(*of[one["shard"][0].as_py()]) if of[one["shard"][0].as_py()] else ((), ())
+            indptr, columns, counts = M.matrix(one, pa.table({"local": pa.array(local, pa.int32()), "id": pa.array(ids, pa.int64())}))
+            for j, row in enumerate(one["rows"][0].as_py()):
+                own = columns[indptr[j] : indptr[j + 1]]
+                assert (np.diff(own) > 0).all()
+                seen.append((row["doc_id"], row["lang"], tuple(sorted((name[c], int(n)) for c, n in zip(own, counts[indptr[j] : indptr[j + 1]])))))
     assert sorted(seen, key=repr) == sorted(((i, lang, tuple(sorted(collections.Counter((t or "").encode().split()).items()))) for i, t, lang in docs), key=repr)
     assert shards.count() > 20
