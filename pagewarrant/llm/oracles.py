@@ -69,4 +69,19 @@ g AS (SELECT part, o AS filter_order, step, sum(CASE WHEN NOT own AND NOT gone T
   sum(CASE WHEN own AND NOT gone AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost FROM z GROUP BY ALL)
 SELECT *, (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley FROM g"""
 
-ORACLE_SQL = {"op1_de_bruijn": _OP1, "op8_minhash": _OP8, "op9_winnowing": _OP9, "op10_suffix_array": _OP10, "op13_filter_audit": _OP13}
+_OP11 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+m AS (SELECT h, max(page_id) AS top FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+SELECT p.page_id, strlen(p.h)::BIGINT AS payload_bytes, sha1(p.h) AS payload_digest, CASE WHEN coalesce(p.page_id < m.top, false) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN p.page_id < m.top THEN m.top END AS refers_to FROM p LEFT JOIN m USING (h)"""
+
+_OP12 = r"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER win)::INT AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW win AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER win <= 3"""
+
+ORACLE_SQL = {"op1_de_bruijn": _OP1, "op8_minhash": _OP8, "op9_winnowing": _OP9, "op10_suffix_array": _OP10, "op11_warc": _OP11, "op12_hard_negatives": _OP12, "op13_filter_audit": _OP13}

@@ -99,6 +99,23 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op11_warc import read_warc, write_warc
+    from .session import shared_folder
+
+    folder = shared_folder(spark, "warc")
+    write_warc(_read(spark, sf_dir, "pages"), folder)
+    records = read_warc(spark, folder).where("warc_type in ('response', 'revisit')")
+    return records.select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op12_hard_negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_read(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op13_filter_audit import filter_audit
 
@@ -116,5 +133,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_winnowing": op9_winnowing,
     "op10_suffix_array": op10_suffix_array,
+    "op11_warc": op11_warc,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_filter_audit": op13_filter_audit,
 }
