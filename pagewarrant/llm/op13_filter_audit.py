@@ -14,6 +14,7 @@ from math import factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import stored
 from .term_matrix import word_measures
 
 LEAST_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT, SYMBOLS = 200, 50, 3, "[#$%&*|]"
@@ -48,7 +49,7 @@ def document_flags(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     )
     measured = word_measures(own, "_k_text")
     short, repeating = F.col("n_words") < LEAST_WORDS, 100 * F.col("n_distinct") < DISTINCT_PERCENT * F.col("n_words")
-    counted = measured.withColumns({"short": short, "repeating": repeating}).groupBy(_KEYS).agg(F.count("*").alias("n"))
+    counted = stored(measured.withColumns({"short": short, "repeating": repeating}).groupBy(_KEYS).agg(F.count("*").alias("n")), "filter-flags")
     one = lambda c: F.coalesce(F.max(F.col(f"`{c}`") == 1), F.lit(False))
     known = labels.groupBy(F.col(f"`{id_col}`").alias("_k_id")).agg(one("quality").alias("good"), one("toxic").alias("toxic"))
     flagged = _first_copies(counted).join(known, "_k_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")})

@@ -9,10 +9,9 @@ row however often it occurs there, so a frequent word costs a row per shard.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +20,7 @@ from pyspark.sql import types as T
 from .session import bounded_batches, partitions, release, releasing_two, stored
 
 #: Bytes of text of a shard; a longer text is a shard of its own.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 32 << 20
 _PARTS = ("indptr", "indices", "counts")
 
 
@@ -36,41 +35,44 @@ def unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), "<u4").astype(np.int64) if data else np.zeros(0, np.int64)
 
 
-class _Shard:
-    def __init__(self):
-        self.rows, self.indptr, self.indices, self.counts, self.vocabulary, self.size = [], [0], [], [], {}, 0
-
-    def add(self, text: bytes) -> None:
-        words, known = Counter(text.split()), self.vocabulary  # bytes part at space, \t, \n, \v, \f and \r alone
-        self.indices.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint32, len(words)))
-        self.counts.append(np.fromiter(words.values(), np.uint32, len(words)))
-        self.indptr.append(self.indptr[-1] + len(words))
-        self.size += len(text)
-
-    def batch(self, number: int) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(self.rows).combine_chunks().to_batches()[0]
-        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        kept = pa.StructArray.from_arrays([rows.column(i) for i in range(rows.num_columns)], fields=list(rows.schema))
-        packed = [pa.array([pack(x)]) for x in (np.array(self.indptr), np.concatenate(self.indices), np.concatenate(self.counts))]
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(kept), *packed, one(pa.array(list(self.vocabulary), pa.binary()))], ["shard", "rows", *_PARTS, "words"])
+def _shard(number: int, rows: list[pa.RecordBatch], texts: list[pa.Array]) -> pa.RecordBatch:
+    split = pc.ascii_split_whitespace(pa.concat_arrays(texts))  # at space, \t, \n, \v, \f and \r
+    words, starts = split.values, split.offsets.to_numpy()
+    there = pc.not_equal(pc.binary_length(words), 0)  # what lies outside leading and trailing white space
+    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[there.to_numpy(zero_copy_only=False)]
+    coded = words.filter(there).dictionary_encode()
+    n = max(1, len(coded.dictionary))
+    cells, counts = np.unique(row * n + coded.indices.to_numpy().astype(np.int64), return_counts=True)
+    indptr = np.searchsorted(cells // n, np.arange(len(starts)))
+    kept = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    kept = pa.StructArray.from_arrays([kept.column(i) for i in range(kept.num_columns)], fields=list(kept.schema))
+    packed = [pa.array([pack(x)]) for x in (indptr, cells % n, counts)]
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(kept), *packed, one(coded.dictionary.cast(pa.binary()))], ["shard", "rows", *_PARTS, "words"])
 
 
 def _local(shard_bytes: int):
     def local(batches):
-        number, shard = TaskContext.get().partitionId() << 32, _Shard()
+        number, size, rows, texts = TaskContext.get().partitionId() << 32, 0, [], []
         for batch in batches:
-            kept, texts, start = batch.select([n for n in batch.schema.names if n != "_k_text"]), batch.column("_k_text"), 0
-            for i in range(batch.num_rows):
-                text = texts[i].as_buffer()
-                text = b"" if text is None else text.to_pybytes()
-                if shard.counts and shard.size + len(text) > shard_bytes:
-                    shard.rows.append(kept.slice(start, i - start))
-                    yield shard.batch(number)
-                    start, number, shard = i, number + 1, _Shard()
-                shard.add(text)
-            shard.rows.append(kept.slice(start))
-        if shard.counts:
-            yield shard.batch(number)
+            text = batch.column("_k_text").fill_null("")
+            kept = batch.select([n for n in batch.schema.names if n != "_k_text"])
+            ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False), dtype=np.int64)
+            start = 0
+            while start < len(ends):
+                before = ends[start - 1] if start else 0
+                # rows that still fit, one at least in an empty shard
+                stop = max(int(np.searchsorted(ends, before + shard_bytes - size, "right")), start + (not texts))
+                if stop > start:
+                    rows.append(kept.slice(start, stop - start))
+                    texts.append(text.slice(start, stop - start))
+                    size += int(ends[stop - 1] - before)
+                if stop < len(ends):
+                    yield _shard(number, rows, texts)
+                    number, size, rows, texts = number + 1, 0, [], []
+                start = stop
+        if texts:
+            yield _shard(number, rows, texts)
         release()
 
     return local
