@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import occurrences as O
+from ..functions import context as C
 from ..functions import text as X
+from .numbers import stated_numbers
 
 # Elements and attributes of HTML by role.
 NOISE_TAGS = ["script", "svg", "noscript", "iframe"]
@@ -29,7 +30,7 @@ META_IMAGE = ["og:image", "og:image:secure_url", "og:image:url", "twitter:image"
 LOGO_MARKERS = ["brand-logo", "custom-logo-link", "header-logo", "logo", "logo-link", "navbar-brand", "site-brand", "site-identity", "site-logo"]
 GENERIC_PARTS = ["about", "about us", "blog", "contact", "contact us", "faq", "frequently asked questions", "gallery", "home", "menu", "news", "our services", "our team", "services", "team"]
 THIN = 8000
-EMAIL, PHONE = O.EMAIL, O.PHONE
+EMAIL, PHONE = C.EMAIL, C.PHONE
 
 
 def attr(name: str) -> Column:
@@ -195,12 +196,13 @@ def attribute_text(nodes: DataFrame) -> DataFrame:
 
 def emails(texts: DataFrame, id_col: str, text: str = "segment") -> DataFrame:
     """Distinct lower-case e-mail addresses that a text states somewhere without denying or qualifying them there."""
-    found = texts.where(F.col(text).contains("@")).select(id_col, F.explode(O.stated_emails(text)).alias("raw"))
-    return found.select(id_col, F.lower("raw").alias("email")).distinct()
+    found = texts.where(F.col(text).contains("@")).select(id_col, F.explode(C.addresses(F.col(text))).alias("o")).where("not o.denied and not o.qualified")
+    return found.select(id_col, F.lower("o.raw").alias("email")).distinct()
 
 
 def phone_variants(raw: Column) -> Column:
     """Digit strings that stand for a number: with and without its extension and a leading 1; at least seven digits."""
+    raw = C.ascii_digits(raw)
     digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
     both = F.array(digits(raw), digits(F.regexp_replace(raw, r"(?i)\s*(?:x|ext\.?)\s*\d+\s*$", "")))
     every = F.concat(both, F.transform(F.filter(both, lambda d: (F.length(d) == 11) & d.startswith("1")), lambda d: F.substring(d, 2, 10)))
@@ -209,8 +211,7 @@ def phone_variants(raw: Column) -> Column:
 
 def phones(texts: DataFrame, id_col: str, text: str = "segment") -> DataFrame:
     """Distinct digit strings of numbers that a text states somewhere without denying or qualifying them, or calling them a fax, there."""
-    kept = texts.where(F.col(text).rlike(r"\p{Nd}{4}")).select(id_col, F.explode(O.stated_phones(text)).alias("raw"))
-    return kept.select(id_col, F.explode(phone_variants(F.col("raw"))).alias("digits")).distinct()
+    return stated_numbers(texts, id_col, text).select(id_col, F.explode(phone_variants(F.col("raw"))).alias("digits")).distinct()
 
 
 def identity_candidates(nodes: DataFrame) -> DataFrame:
