@@ -9,6 +9,7 @@ from ..operators import ground as G
 from ..operators import pages as P
 from ..sources import dom
 from ..sources.tables import read_table
+from .said import said_sql, stands_sql, told_sql
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +87,19 @@ _LINKS = rf"""l AS (SELECT page_id, unnest(range(1, len(h) + 1))::INT AS ord, un
 _C = """c AS (SELECT page_id AS doc_id, unnest([page_id, page_id + 1]) AS page_id, ord, href, lower(trim(label)) AS label FROM l)"""
 _TEXT = r"""trim(regexp_replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))"""
 _DECODED = """replace(replace(replace(replace(replace({}, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '&amp', '&')"""
+_SEGMENTS = rf"""seg AS (SELECT page_id, t FROM (SELECT page_id, unnest(list_transform(string_split_regex(regexp_replace(regexp_replace(substring({_BARE}, position('<body>' IN {_BARE}) + 6), '</?(?:a|b)\b[^>]*>', '', 'g'), '<br>', ' ', 'g'), '<[^>]*>'),
+ lambda x: lower(trim(regexp_replace({_DECODED.format('x')}, '\s+', ' ', 'g'))))) AS t FROM pages) WHERE t <> '')"""
+_DIGITS = r"regexp_replace({}, '[^0-9]', '', 'g')"
 ORACLE_SQL = {
+    "grounded_labels": rf"""WITH {_LINKS}, {_SEGMENTS}, c AS (SELECT page_id AS doc_id, unnest([page_id, page_id + 1]) AS page_id, ord, lower(trim({_DECODED.format('label')})) AS label FROM l),
+m AS (SELECT c.doc_id, c.page_id, c.ord, max(CASE WHEN {said_sql('seg.t', 'c.label')} THEN 1 ELSE 0 END) AS ok FROM c JOIN seg ON seg.page_id = c.page_id AND contains(seg.t, c.label) AND regexp_matches(c.label, '[\pL\pN]')
+ AND len(list_filter(range(1, len(string_split(seg.t, c.label))), lambda k: {stands_sql('seg.t', 'c.label')})) > 0 GROUP BY ALL)
+SELECT c.doc_id, c.page_id, 'nav/' || c.ord || '@' || c.page_id AS path, coalesce(ok, 0) = 1 AS grounded, CASE WHEN ok = 1 THEN NULL WHEN ok IS NULL THEN 'absent' ELSE 'context' END AS reason FROM c LEFT JOIN m USING (doc_id, page_id, ord)""",
+    "contact_evidence": rf"""WITH e AS (SELECT DISTINCT doc_id, text, unnest(regexp_extract_all(text, '(?i)[A-Z0-9._%+-]{{1,64}}@(?:[A-Z0-9-]{{1,63}}\.)+[A-Z]{{2,63}}')) AS raw FROM documents),
+p AS (SELECT DISTINCT doc_id, text, unnest(regexp_extract_all(text, '(?i)(?:\+?1[\s.()-]*)?(?:\(?\d{{3}}\)?[\s.()-]*)\d{{3}}[\s.-]*\d{{4}}(?:\s*(?:x|ext\.?)\s*\d+)?')) AS raw FROM documents),
+v AS (SELECT doc_id, unnest([{_DIGITS.format('raw')}, {_DIGITS.format("regexp_replace(raw, '(?i)\s*(?:x|ext\.?)\s*\d+\s*$', '')")}]) AS d FROM p WHERE {told_sql('text', 'raw')}),
+w AS (SELECT doc_id, unnest(CASE WHEN length(d) = 11 AND d[1] = '1' THEN [d, d[2:]] ELSE [d] END) AS d FROM v)
+SELECT DISTINCT doc_id, 'email' AS kind, lower(raw) AS value FROM e WHERE {told_sql('text', 'raw')} UNION ALL SELECT DISTINCT doc_id, 'phone', d FROM w WHERE length(d) >= 7""",
     "page_headings": rf"""WITH h AS (SELECT page_id, unnest(regexp_extract_all({_BARE}, '<h([1-6])>(.*?)</h[1-6]>', 1)) AS l, unnest(regexp_extract_all({_BARE}, '<h([1-6])>(.*?)</h[1-6]>', 2)) AS t FROM pages)
 SELECT page_id, l::INT AS level, {_TEXT.format('t')} AS text FROM h""",
     "page_links": f"WITH {_LINKS} SELECT page_id, ord, replace(href, '&amp;', '&') AS href FROM l",
