@@ -1,7 +1,11 @@
 """Corpus pipeline: five operators in a row over documents.
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame``; all but the last return
-the columns of documents.  Rows with a null id pass every filter.
+the columns of documents, of any names and types.  A row with a null id is
+judged by its text where a text is judged (toxicity, contamination); no id is
+smaller or larger than none, so no near copy or repeat is taken from it.
+Rows of one id are judged each by its own text.  Null and empty texts stay in
+every stage, very long ones are read whole, empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ def _columns(scored: DataFrame, text: str, columns: list[str]) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier calls toxic go."""
+    """Documents that the classifier calls toxic go; rows alike in text go or stay together."""
     scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), with_text=True)
     return _columns(scored.where("predicted = 0"), "_k_kept_text", docs.columns)
 
@@ -38,22 +42,23 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     again = few(checkpoint(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")))
     gone = few(checkpoint(found.join(keep, "doc_id", "left_anti").select("doc_id").distinct()))
     once = docs.join(again, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(docs.columns)
-    # ids of several rows, text by text
-    several = docs.join(again, "doc_id", "left_semi").withColumn("_k_key", words_key(F.col("text")))
-    worded = several.where("_k_key is not null").groupBy("doc_id", "_k_key").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_k_row"))
-    worded = worded.join(keep, ["doc_id", "_k_key"], "left_semi").select("_k_row.*")
-    return once.unionByName(worded.select(docs.columns)).unionByName(several.where("_k_key is null").select(docs.columns))
+    # ids of several rows, text by text; the documents' own columns stay apart from ours
+    rows = docs.join(again, "doc_id", "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_k_row"))
+    rows = rows.select("_k_row", F.col("_k_row.doc_id").alias("doc_id"), words_key(F.col("_k_row.text")).alias("_k_key"))
+    worded = rows.where("_k_key is not null").groupBy("doc_id", "_k_key").agg(F.min_by("_k_row", F.to_json("_k_row")).alias("_k_row"))
+    worded = worded.join(keep, ["doc_id", "_k_key"], "left_semi").unionByName(rows.where("_k_key is null").select(worded.columns))
+    return once.unionByName(worded.select("_k_row.*").select(docs.columns))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 50-byte strings that a document with a smaller id has go."""
+    """Bytes of 50-byte strings that a document with a smaller id has go; no document goes, n_chars is counted anew."""
     cut = suffix_array_dedup(docs, with_text=True)
     out = _columns(cut, "kept_text", docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a twentieth of their words or more in benchmark windows go."""
+    """Documents with a twentieth of their words or more in benchmark windows go; those without words stay."""
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_text=True)
     return _columns(found.where("not contaminated"), "_k_kept_text", docs.columns)
 

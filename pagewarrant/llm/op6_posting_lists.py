@@ -195,9 +195,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     """``query_id, rank, vec_id, score`` (Euclidean distance): for each row of ``queries`` the ``k`` nearest found in ``vectors``.
 
     A query's own id is no candidate.  Ties go to the smaller id, from rank 1.
-    Vectors that are null, zero, hold null or non-finite components, or whose
-    length is not the most frequent one take no part, nor do rows with a null
-    id; rows with the same id count once per id.
+    Vectors that are null, zero or hold null or non-finite components take no
+    part, nor do rows with a null id.  A vector meets those of its own length:
+    the most frequent length (the smaller of two) has the lists, other lengths
+    are compared whole, in blocks.  Rows with the same id count once per id, at
+    their nearest vector; of several vectors of one query id the least, by its
+    components in order, asks.  Other columns are not read, empty tables give no rows.
     """
 
     def clean(df: DataFrame) -> DataFrame:
@@ -209,16 +212,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     width = all_.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if width is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    all_, asked = all_.where(F.size("v") == width["n"]).distinct(), clean(queries).where(F.size("v") == width["n"]).dropDuplicates(["id"])
+    usual = F.size("v") == width["n"]
+    asked = clean(queries).groupBy("id").agg(F.min("v").alias("v"))
+    odd, odd_asked, all_, asked = all_.where(~usual).distinct(), asked.where(~usual), all_.where(usual).distinct(), asked.where(usual)
     picked = sampled(all_, sample, "id").collect()
     graph = CentroidGraph(bisect(np.array([r["v"] for r in picked]), PER_CENTROID))
-    lists = checkpoint(all_.mapInArrow(_post(graph), "list int, first boolean, id long, v array<double>"))
+    length_list = (-1 - F.size("v")).alias("list")  # a list for each other length
+    lists = all_.mapInArrow(_post(graph), "list int, first boolean, id long, v array<double>")
+    lists = checkpoint(lists.unionByName(odd.select(length_list, F.lit(True).alias("first"), "id", "v")))
     counts = lists.groupBy("list").agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("first"), F.col("id"))).alias("firsts"))
     sizes = np.zeros(len(graph.centroids), np.int64)
-    held = {r["list"]: r for r in counts.collect()}  # a row per centroid, at most SAMPLE / PER_CENTROID * 2
+    held = {r["list"]: r for r in counts.collect()}  # a row per centroid, at most SAMPLE / PER_CENTROID * 2, and per other length
     for r in held.values():
-        sizes[r["list"]] = r["firsts"]
-    asked = checkpoint(asked.mapInArrow(_route(graph, sizes, k + 1), "list int, query_id long, q array<double>"))
+        if r["list"] >= 0:
+            sizes[r["list"]] = r["firsts"]
+    asked = asked.mapInArrow(_route(graph, sizes, k + 1), "list int, query_id long, q array<double>")
+    asked = checkpoint(asked.unionByName(odd_asked.select(length_list, F.col("id").alias("query_id"), F.col("v").alias("q"))))
     blocks = [(r["list"], -(-held[r["list"]]["n"] // BLOCK), -(-r["count"] // BLOCK)) for r in asked.groupBy("list").count().collect() if r["list"] in held]
     n_blocks = F.broadcast(vectors.sparkSession.createDataFrame(blocks, "list int, n_blocks int, n_asked int"))
     salt = lambda n, *of: F.pmod(F.xxhash64(*of), n).cast("int")
