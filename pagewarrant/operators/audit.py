@@ -249,10 +249,12 @@ def check_class_text(nodes: DataFrame, cls: str, required: DataFrame) -> DataFra
 
 
 def check_review_cards(cards: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Cards (doc_id, author, rating, text) without a source review of their own: the n-th use needs the n-th copy."""
-    keys = ["doc_id", "author", "rating", "text"]
-    nth = lambda df: df.select(*keys).withColumn("use", F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id")))
-    return _violations(nth(cards).join(nth(reviews), [*keys, "use"], "left_anti"), "review_without_source", F.col("author"), "doc_id")
+    """Cards (doc_id, author, rating, date, platform, text) without a source review of their own that agrees in all of these: the n-th use needs the n-th copy."""
+    keys = ["doc_id", "author", "rating", "date", "platform", "text"]
+    told = {c: norm(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("author", "date", "platform", "text")} | {"rating": F.col("rating").cast("double")}
+    alike = lambda df: df.select(*keys, F.col("author").alias("shown")).withColumns(told)
+    nth = lambda df: df.withColumn("use", F.row_number().over(Window.partitionBy(*keys).orderBy("shown")))
+    return _violations(nth(alike(cards)).join(nth(alike(reviews)).drop("shown"), [*keys, "use"], "left_anti"), "review_without_source", F.col("shown"), "doc_id")
 
 
 def check_form(nodes: DataFrame, contract: DataFrame) -> DataFrame:

@@ -100,12 +100,12 @@ def required_copy(spark, sf_dir):
 def review_audit(spark, sf_dir):
     """Line items as review cards without a source review of their own; sources are the discounted ones."""
     cards = _items(spark, sf_dir)
-    out = A.check_review_cards(cards, cards.where("discount > 0.03").drop("discount"))
+    out = A.check_review_cards(cards, cards.where("discount > 0.03"))
     return out.groupBy("doc_id", "rule_id", "evidence").agg(F.count("*").alias("n"))
 
 
 def _items(spark, sf_dir) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("doc_id"), F.col("l_returnflag").alias("author"), F.col("l_quantity").cast("int").alias("rating"), F.col("l_linestatus").alias("text"), F.col("l_discount").alias("discount"))
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("doc_id"), F.col("l_returnflag").alias("author"), F.col("l_quantity").cast("int").alias("rating"), F.col("l_linestatus").alias("text"), F.col("l_discount").alias("discount"), F.lit("").alias("date"), F.lit("").alias("platform"))
 
 
 def order_verdicts(spark, sf_dir):

@@ -55,9 +55,10 @@ def test_claims(spark):
 
 
 def test_reviews_are_a_multiset(spark):
-    kind = "doc_id long, author string, rating double, text string"
-    cards = spark.createDataFrame([(1, "a", 5.0, "t"), (1, "a", 5.0, "t"), (1, "b", 4.0, "u")], kind)
-    assert [r[2] for r in rules(A.check_review_cards(cards, spark.createDataFrame([(1, "a", 5.0, "t"), (1, "b", 4.0, "u")], kind)))] == ["a"]
+    kind = "doc_id long, author string, rating double, date string, platform string, text string"
+    cards = spark.createDataFrame([(1, "a", 5.0, "May", "Web", "t"), (1, "a", 5.0, "May", "Web", "t"), (1, "b", 4.0, "May", "Web", "u"), (1, "c", 4.0, "June", "Web", "v")], kind)
+    sources = [(1, "a", 5.0, "may", "web", "t"), (1, "b", 4.0, "May", "Web", "u"), (1, "c", 4.0, "May", "Web", "v")]
+    assert [r[2] for r in rules(A.check_review_cards(cards, spark.createDataFrame(sources, kind)))] == ["a", "c"]
 
 
 def test_verdicts_and_attempts(spark):

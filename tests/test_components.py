@@ -86,3 +86,14 @@ def test_catalogs_and_images(spark):
     claims = spark.createDataFrame([(1, "image", "/a.png?x=1&amp;y=2 "), (1, "text", "/a"), (2, "logo", "b.png"), (3, "image", None)], "doc_id long, kind string, value string")
     sites = spark.createDataFrame([(1, "https://h.example/p/"), (2, " ")], "doc_id long, base_url string")
     assert {tuple(r) for r in C.canonical_images(claims, sites).collect()} == {(1, "image", "https://h.example/a.png?x=1&y=2"), (1, "text", "/a"), (2, "logo", "b.png"), (3, "image", None)}
+
+
+def test_review_cards_are_read_and_compared_whole(spark):
+    card = lambda author="Ann", score="4.5", date="May", platform="Web", text="Good work", tail="": f"<div class=review-card><span class=review-stars-sm style='--score: {score}'>★★★★★</span><p class=review-text>{text}</p><div class=review-meta><span class=review-author>{author} <span class=review-date>{date}</span></span><span class=review-platform>{platform}</span></div>{tail}</div>"
+    pages = [card() + card(date="June") + card(platform="Other"), card() + card(), card(tail="<p>more</p>") + card(score="x") + card().replace("<p class=review-text>", "<p class=review-text id=a>"), "<div class=review-card></div>"]
+    nodes = dom.explode_dom(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string"))
+    cards = M.review_cards(nodes)
+    assert sorted((r["doc_id"], r["bad"]) for r in cards.where("bad is not null").collect()) == [(2, "review-card"), (2, "review-stars-sm"), (2, "review-text"), (3, "review-card")]
+    reviews = spark.createDataFrame([(k, "ann", 4.5, "may", "web", "good  work") for k in (0, 1)], "doc_id long, author string, rating double, date string, platform string, text string")
+    bad = A.check_review_cards(cards.where("bad is null"), reviews).collect()
+    assert sorted(r["doc_id"] for r in bad) == [0, 0, 1]
