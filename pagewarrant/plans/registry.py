@@ -10,6 +10,7 @@ from ..operators import contracts as C
 from ..operators import documents as S
 from ..operators import evidence as E
 from ..operators import records as R
+from ..operators import shapes as Z
 
 AS_OF, DAYS = "2000-06-30", 90
 
@@ -269,6 +270,25 @@ def site_shapes(spark, sf_dir):
     return bad.unionByName(shown)
 
 
+#: A customer's site document, as an expression that both engines read.
+_CUSTOMER_SITE = """'{"site":{"name":"' || c_name || '","type":"' || CASE WHEN c_nationkey < 12 THEN 'news' ELSE lower(c_mktsegment) END || '","tagline":' || CASE WHEN c_acctbal < 0 THEN CAST(c_nationkey AS STRING) ELSE 'null' END
+ || '},"brand":{"colors":{"raw":["#fff",' || CASE WHEN c_mktsegment = 'BUILDING' THEN '7' ELSE '"#000"' END || ']}},"nav":[{"label":"Home","url":"/"},{"label":"' || CASE WHEN c_nationkey = 5 THEN ' ' ELSE c_mktsegment END
+ || '"' || CASE WHEN c_acctbal > 6000 THEN '' ELSE ',"url":"/m"' END || '}],"pages_to_fetch":[{"label":"A","url":"/a","page_type":"' || CASE WHEN c_acctbal > 3000 THEN 'faq' ELSE 'odd' END || '","priority":' || CAST(c_nationkey AS STRING) || ',"fetchable":true'
+ || CASE WHEN c_nationkey = 3 THEN ',"more":1' ELSE '' END || '}]}'"""
+
+
+def site_errors(spark, sf_dir):
+    """Every error in the nested shape of customers' site documents."""
+    docs = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(_CUSTOMER_SITE).alias("json"))
+    return Z.shape_errors(docs, "json").select("doc_id", F.array_join("path", ".").alias("path"), "rule_id")
+
+
+def site_first_errors(spark, sf_dir):
+    """The first of them by path."""
+    docs = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(_CUSTOMER_SITE).alias("json"))
+    return Z.first_errors(Z.shape_errors(docs, "json"))
+
+
 def service_claims(spark, sf_dir):
     """Part names as services and claims of a supplier's site, by two words of a name as service and place."""
     p = _table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("doc_id"), "p_name", "p_partkey")
@@ -283,7 +303,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         card_fields, duplicate_cards, card_dates, stale_cards, card_stats, tag_gaps, manifest_errors, manifest_drift, channel_lists, evidence_bundles, enrichment_queue, remaining_pages, site_documents, contract_values, record_colors,
-        token_catalogs, branch_texts, trade_catalogs, template_classes, record_checks, record_values, token_usage, edited_records,
+        site_errors, site_first_errors, token_catalogs, branch_texts, trade_catalogs, template_classes, record_checks, record_values, token_usage, edited_records,
         record_contracts, record_claims, event_errors, site_claims, site_shapes, service_claims,
     )
 }
@@ -295,6 +315,17 @@ g AS (SELECT *, sd::DATE AS source FROM c WHERE line % 50 > 1)"""
 _P = """p AS (SELECT l_orderkey AS doc_id, l_partkey * 1000000 + l_suppkey * 10 + l_linenumber AS pos, CASE l_returnflag WHEN 'A' THEN 'contact' WHEN 'N' THEN 'about' ELSE 'news' END AS page_type,
   'https://h.example/' || l_partkey AS url, 'p' || l_partkey AS label, l_quantity::INT % 4 AS priority, l_linestatus = 'O' AS fetchable, l_discount AS discount FROM lineitem)"""
 _SEG = "lower(c_mktsegment)"
+_SITE_ERRORS = f"""WITH d AS (SELECT c_custkey AS doc_id, ({_CUSTOMER_SITE})::JSON AS j FROM customer),
+n AS (SELECT doc_id, unnest(range(json_array_length(j, '$.nav')::BIGINT)) AS i, unnest(from_json(json_extract(j, '$.nav'), '["JSON"]')) AS v FROM d), p AS (SELECT doc_id, unnest(range(json_array_length(j, '$.pages_to_fetch')::BIGINT)) AS i, unnest(from_json(json_extract(j, '$.pages_to_fetch'), '["JSON"]')) AS v FROM d),
+r AS (SELECT doc_id, unnest(range(json_array_length(j, '$.brand.colors.raw')::BIGINT)) AS i, unnest(from_json(json_extract(j, '$.brand.colors.raw'), '["JSON"]')) AS v FROM d),
+e AS (SELECT doc_id, ['site', 'type'] AS path, 'option' AS rule_id FROM d WHERE j->>'$.site.type' NOT IN ({", ".join(f"'{x}'" for x in Z._SITE_TYPES.split())})
+UNION ALL SELECT doc_id, ['site', 'tagline'], 'type' FROM d WHERE json_type(j, '$.site.tagline') NOT IN ('VARCHAR', 'NULL')
+UNION ALL SELECT doc_id, ['brand', 'colors', 'raw', lpad(i::VARCHAR, 6, '0')], 'type' FROM r WHERE json_type(v) <> 'VARCHAR'
+UNION ALL SELECT doc_id, ['nav', lpad(i::VARCHAR, 6, '0')], 'missing' FROM n WHERE NOT json_exists(v, '$.url') OR NOT json_exists(v, '$.label')
+UNION ALL SELECT doc_id, ['nav', lpad(i::VARCHAR, 6, '0'), 'label'], 'blank' FROM n WHERE trim(v->>'$.label') = ''
+UNION ALL SELECT doc_id, ['pages_to_fetch', lpad(i::VARCHAR, 6, '0'), 'page_type'], 'option' FROM p WHERE v->>'$.page_type' NOT IN ({", ".join(f"'{x}'" for x in Z._PAGE_TYPES.split())})
+UNION ALL SELECT doc_id, ['pages_to_fetch', lpad(i::VARCHAR, 6, '0'), 'priority'], 'bounds' FROM p WHERE (v->>'$.priority')::INT NOT BETWEEN 1 AND 3
+UNION ALL SELECT doc_id, ['pages_to_fetch', lpad(i::VARCHAR, 6, '0')], 'unknown' FROM p WHERE len(list_filter(json_keys(v), lambda k: k NOT IN ('label', 'url', 'page_type', 'priority', 'fetchable'))) > 0)"""
 ORACLE_SQL = {
     "card_fields": """WITH o AS (SELECT o_orderkey AS line, list_filter(['id', 'numbers', 'vendor'], lambda f: (f = 'id' AND o_orderkey % 7 = 0) OR (f = 'vendor' AND o_orderkey % 11 = 3) OR (f = 'numbers' AND o_orderkey % 6 = 5)) AS m FROM orders)
 SELECT line, CASE WHEN len(m) > 0 THEN 'missing_fields' ELSE 'empty_fields' END AS rule_id, CASE WHEN len(m) > 0 THEN array_to_string(m, ', ') ELSE 'summary' END AS detail FROM o WHERE len(m) > 0 OR line % 5 = 0""",
@@ -362,6 +393,9 @@ UNION ALL SELECT k, '$.sections[' || i || '].items[0].description', 'text', 'd',
     "site_shapes": """SELECT s_suppkey AS doc_id, CASE WHEN s_suppkey % 13 = 0 THEN '' WHEN s_suppkey % 7 = 0 THEN 'nav' WHEN s_suppkey % 11 = 0 THEN 'odd' ELSE 'sections' END AS path,
   CASE WHEN s_suppkey % 13 = 0 THEN 'no_object' WHEN s_suppkey % 7 = 0 THEN 'missing' WHEN s_suppkey % 11 = 0 THEN 'unknown' ELSE 'missing' END AS rule_id FROM supplier WHERE s_suppkey % 13 = 0 OR s_suppkey % 7 = 0 OR s_suppkey % 11 = 0 OR s_suppkey % 3 = 0
 UNION ALL SELECT s_suppkey, 'u1', CASE WHEN s_suppkey % 2 = 0 THEN 'logo' ELSE 'image' END FROM supplier WHERE s_suppkey % 13 <> 0 UNION ALL SELECT s_suppkey, 'u' || (s_suppkey % 4), 'image' FROM supplier WHERE s_suppkey % 13 <> 0 AND s_suppkey % 4 <> 1""",
+    "site_errors": _SITE_ERRORS + " SELECT doc_id, array_to_string(path, '.') AS path, rule_id FROM e",
+    "site_first_errors": _SITE_ERRORS
+    + " SELECT doc_id, array_to_string(list_transform(path, lambda x: regexp_replace(x, '^0+([0-9])', '\\1')), '.') AS path, rule_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY path, rule_id) AS k FROM e) WHERE k = 1",
     "service_claims": """WITH p AS (SELECT p_partkey % 50 AS doc_id, p_name, p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part), l AS (SELECT doc_id, min(a) AS loc FROM p GROUP BY 1),
 s AS (SELECT DISTINCT doc_id, b AS service FROM p WHERE p_partkey % 3 = 0), said AS (SELECT DISTINCT p.doc_id, 'best ' || p_name AS v FROM p JOIN l USING (doc_id) JOIN s USING (doc_id) WHERE contains(' best ' || p_name || ' ', ' ' || loc || ' ') AND contains(' best ' || p_name || ' ', ' ' || service || ' '))
 SELECT doc_id, 'service_location' AS rule_id, v AS evidence FROM said WHERE length(v) % 2 = 1""",
