@@ -97,7 +97,7 @@ m AS (SELECT c.doc_id, c.page_id, c.ord, max(CASE WHEN {said_sql('seg.t', 'c.lab
 SELECT c.doc_id, c.page_id, 'nav/' || c.ord || '@' || c.page_id AS path, coalesce(ok, 0) = 1 AS grounded, CASE WHEN ok = 1 THEN NULL WHEN ok IS NULL THEN 'absent' ELSE 'context' END AS reason FROM c LEFT JOIN m USING (doc_id, page_id, ord)""",
     "contact_evidence": rf"""WITH e AS (SELECT DISTINCT doc_id, text, unnest(regexp_extract_all(text, '(?i)[A-Z0-9._%+-]{{1,64}}@(?:[A-Z0-9-]{{1,63}}\.)+[A-Z]{{2,63}}')) AS raw FROM documents),
 p AS (SELECT DISTINCT doc_id, text, unnest(regexp_extract_all(text, '(?i)(?:\+?1[\s.()-]*)?(?:\(?\d{{3}}\)?[\s.()-]*)\d{{3}}[\s.-]*\d{{4}}(?:\s*(?:x|ext\.?)\s*\d+)?')) AS raw FROM documents),
-v AS (SELECT doc_id, unnest([{_DIGITS.format('raw')}, {_DIGITS.format("regexp_replace(raw, '(?i)\s*(?:x|ext\.?)\s*\d+\s*$', '')")}]) AS d FROM p WHERE {told_sql('text', 'raw')}),
+v AS (SELECT doc_id, unnest([{_DIGITS.format('raw')}, {_DIGITS.format(r"regexp_replace(raw, '(?i)\s*(?:x|ext\.?)\s*\d+\s*$', '')")}]) AS d FROM p WHERE {told_sql('text', 'raw')}),
 w AS (SELECT doc_id, unnest(CASE WHEN length(d) = 11 AND d[1] = '1' THEN [d, d[2:]] ELSE [d] END) AS d FROM v)
 SELECT DISTINCT doc_id, 'email' AS kind, lower(raw) AS value FROM e WHERE {told_sql('text', 'raw')} UNION ALL SELECT DISTINCT doc_id, 'phone', d FROM w WHERE length(d) >= 7""",
     "page_headings": rf"""WITH h AS (SELECT page_id, unnest(regexp_extract_all({_BARE}, '<h([1-6])>(.*?)</h[1-6]>', 1)) AS l, unnest(regexp_extract_all({_BARE}, '<h([1-6])>(.*?)</h[1-6]>', 2)) AS t FROM pages)
