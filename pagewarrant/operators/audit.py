@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import context as C
 from ..functions import text as X
 from ..sources.dom import VOID
 from . import pages as P
@@ -22,6 +23,11 @@ STREET_LIKE = (
     r"(?i)(?<!\w)\d{1,7}\s+(?:(?:n|s|e|w|north|south|east|west)\.?\s+)?(?:(?=[\w.'-]*[A-Za-z])[\w.'-]+\s+){1,6}"
     r"(?:street|st|avenue|ave|road|rd|boulevard|blvd|drive|dr|lane|ln|court|ct|highway|hwy|route|rte|parkway|pkwy|circle|cir|trail|trl|way)\.?(?!\w)"
 )
+POSTAL_LIKE = (
+    r"(?i)(?<![\w+()./-])\d{1,7}\s+(?:[A-Za-z0-9.'-]*[A-Za-z][A-Za-z0-9.'-]*\s+){0,5}[A-Za-z0-9.'-]*[A-Za-z][A-Za-z0-9.'-]*(?:,\s*|\s+)"
+    r"[A-Za-z][A-Za-z .'-]{1,48},?\s+[A-Z]{2}\s+\d{5}(?:-\d{4})?(?!\d)"
+)
+DIRECTIONAL = "\u061c\u200e\u200f\u202a-\u202e\u2066-\u2069"
 RADIUS = r"(?i)(?<!\d)(\d{1,4})\s*(?:-|\s)?(?:mi|mile|miles)\b"
 ESTABLISHED = r"(?i)(?<!\w)(?:since|established(?:\s+in)?|founded(?:\s+in)?)\s+(\d{4})(?!\d)"
 TENURES = [
@@ -169,16 +175,38 @@ def _outside(found: DataFrame, contract: DataFrame, kind: str, rule: str) -> Dat
     return _violations(found.distinct().join(allowed, ["doc_id", "value"], "left_anti"), rule, F.col("value"), "doc_id")
 
 
+_WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000", "".join(map(chr, range(0x21, 0x7F))) + " "
+_MARK = "\ue000"
+#: A phone with marks anywhere in it or at its ends.
+_MARKED_PHONE = f"(?<![0-9]{_MARK}{{0,8}}){_MARK}*(?:\\+?{_MARK}*1[\\s()./{_MARK}-]*)?\\(?{_MARK}*[2-9](?:{_MARK}*[0-9]){{2}}{_MARK}*\\)?[\\s./{_MARK}-]*[2-9](?:{_MARK}*[0-9]){{2}}[\\s./{_MARK}-]*[0-9](?:{_MARK}*[0-9]){{3}}{_MARK}*(?![0-9])"
+
+
+def scan_text(text: Column, mark: str = "") -> Column:
+    """A text as contacts are read in it: wide forms, digits of all scripts and dashes as ASCII, format characters gone, directional ones as a mark."""
+    plain = C.ascii_digits(F.translate(text, _WIDE, _NARROW))
+    plain = F.regexp_replace(F.regexp_replace(plain, f"[{DIRECTIONAL}]", mark), r"\p{Pd}", "-")
+    return F.regexp_replace(plain, r"\p{Cf}", "")
+
+
 def check_contacts(exposed: DataFrame, contract: DataFrame) -> DataFrame:
-    """Phones, e-mails and street addresses outside the contract's ``phone, email, address`` values."""
-    every = lambda p: exposed.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(p), 0)).alias("raw"))
-    own = contract.withColumn("value", F.when(F.col("kind") == "phone", X.phone_key(F.col("value"))).when(F.col("kind") == "email", F.lower(F.trim("value"))).otherwise(F.col("value")))
-    out = _outside(every(PHONE_LIKE).select("doc_id", X.phone_key(F.col("raw")).alias("value")), own, "phone", "phone_outside_source")
-    out = out.unionByName(_outside(every(P.EMAIL).select("doc_id", F.lower("raw").alias("value")), own, "email", "email_outside_source"))
-    allowed = own.where("kind = 'address'").groupBy("doc_id").agg(F.collect_set(compact(F.col("value"))).alias("all"))
-    streets = every(STREET_LIKE).join(allowed, "doc_id", "left")
-    inside = F.exists(F.coalesce("all", F.array().cast("array<string>")), lambda a: a.contains(compact(F.col("raw"))))
-    return out.unionByName(_violations(streets.where(~inside), "address_outside_source", F.col("raw"), "doc_id"))
+    """Phones, e-mails, street and postal addresses outside the contract's ``phone, email, address`` values, and phones with directional characters in them.
+
+    An address is allowed if its letters and digits stand in one of the contract's addresses.
+    """
+    text, all_of = F.col("text"), lambda c, p: F.regexp_extract_all(c, F.lit(p), 0)
+    seen = exposed.select("doc_id", "text", scan_text(text).alias("plain"))
+    as_rule = lambda rule, values: F.transform(values, lambda v: F.struct(F.lit(rule).alias("kind"), v.alias("value")))
+    turned = F.when(text.rlike(f"[{DIRECTIONAL}]"), F.filter(all_of(scan_text(text, _MARK), _MARKED_PHONE), lambda v: v.contains(_MARK))).otherwise(F.array().cast("array<string>"))
+    exact = F.concat(as_rule("phone", F.transform(all_of("plain", PHONE_LIKE), X.phone_key)), as_rule("email", F.transform(all_of("plain", P.EMAIL), F.lower)), as_rule("directional", F.transform(turned, X.phone_key)))
+    own = contract.select("doc_id", "kind", F.when(F.col("kind") == "phone", X.phone_key(scan_text(F.col("value")))).when(F.col("kind") == "email", F.lower(F.trim("value"))).otherwise(F.col("value")).alias("value"))
+    found = seen.select("doc_id", F.explode(F.array_distinct(exact)).alias("f")).select("doc_id", "f.*").distinct()
+    lost = found.join(own.where("kind in ('phone', 'email')"), ["doc_id", "kind", "value"], "left_anti")
+    rule = F.when(F.col("kind") == "directional", "directional_phone").otherwise(F.concat("kind", F.lit("_outside_source")))
+    lost = lost.select(F.col("doc_id").cast("long").alias("doc_id"), rule.alias("rule_id"), F.col("value").alias("evidence"))
+    places = seen.select("doc_id", F.explode(F.array_distinct(F.concat(all_of("plain", STREET_LIKE), all_of("plain", POSTAL_LIKE)))).alias("raw")).distinct()
+    allowed = own.where("kind = 'address'").select("doc_id", compact(F.col("value")).alias("whole"))
+    held = places.join(allowed, "doc_id", "left").groupBy("doc_id", "raw").agg(F.max(F.coalesce(F.col("whole").contains(compact(F.col("raw"))), F.lit(False))).alias("known"))
+    return lost.unionByName(_violations(held.where("not known"), "address_outside_source", F.col("raw"), "doc_id"))
 
 
 def check_locations(exposed: DataFrame, contract: DataFrame) -> DataFrame:
