@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,8 +78,29 @@ def check_receipt(df: DataFrame, col: str, size: str = "size_bytes", digest: str
 
 
 def write_artifacts(df: DataFrame, path: str) -> None:
-    """One set of files per slug, replaced whole or not at all."""
-    df.write.option("partitionOverwriteMode", "dynamic").partitionBy("slug").mode("overwrite").parquet(path)
+    """File sets by ``slug``, each replaced whole or not at all; columns other than ``slug`` are the files.
+
+    A set is staged in a folder of its own; once that is written, one append to the manifest names it as the last of its
+    slugs.  Spark commits an append as a whole, so a write that fails at any point leaves all sets as they were, and readers
+    (``read_artifacts``) never see parts of one.  Rows without a slug take no part; no column may be called ``artifact_set``.  Of two writers at once the later one
+    counts, for each slug whole.
+    """
+    spark, name = df.sparkSession, "w" + uuid.uuid4().hex
+    sets = df.where("slug is not null")
+    sets.write.parquet(f"{path}/sets/artifact_set={name}")
+    staged = spark.read.schema(sets.schema).parquet(f"{path}/sets/artifact_set={name}")
+    named = staged.select("slug").distinct().select("slug", F.lit(name).alias("artifact_set"), F.current_timestamp().alias("written"))
+    named.write.mode("append").parquet(f"{path}/manifest")
+
+
+def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
+    """The last whole set of each slug; staged sets that no manifest names are not read.
+
+    Sets are a partition of the table, so the join with the manifest prunes those that count no more.
+    """
+    last = spark.read.parquet(f"{path}/manifest").groupBy("slug").agg(F.max(F.struct("written", "artifact_set"))["artifact_set"].alias("artifact_set"))
+    rows = spark.read.option("mergeSchema", "true").parquet(f"{path}/sets")
+    return rows.join(last, ["slug", "artifact_set"], "left_semi").drop("artifact_set")
 
 
 def image_manifest(images: DataFrame, id_col: str, url: str = "url", order: str = "ord", context: str = "context") -> DataFrame:
