@@ -71,11 +71,11 @@ def action_audit(spark, sf_dir):
 
 
 def contact_audit(spark, sf_dir):
-    """E-mails and phones of documents outside the contract of every other e-mail, and their radii and tenure."""
+    """E-mails outside a contract of those of even lengths, and all phones and addresses, of documents."""
     seen = _exposed(spark, sf_dir)
     mails = seen.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(P.EMAIL), 0)).alias("value"))
     contract = mails.where(F.length("value") % 2 == 0).select("doc_id", F.lit("email").alias("kind"), "value")
-    return A.check_contacts(seen, contract).where("rule_id = 'email_outside_source'")
+    return A.check_contacts(seen, contract)
 
 
 def phrase_audit(spark, sf_dir):
@@ -179,8 +179,13 @@ UNION ALL SELECT k, 'class_count', 'ad ' || n || ' of ' || (k % 2 + 1) FROM c WH
     "action_audit": rf"""WITH l AS (SELECT page_id AS doc_id, unnest(range(1, len(h) + 1)) AS ord, replace(unnest(h), '&amp;', '&') AS href FROM (SELECT page_id, regexp_extract_all({_BARE}, '<a href="([^"]*)">', 1) AS h FROM pages))
 SELECT DISTINCT doc_id, 'action_outside_source' AS rule_id, href AS evidence FROM l a WHERE NOT EXISTS (SELECT 1 FROM l b WHERE b.doc_id = a.doc_id AND b.href = a.href AND b.ord % 2 = 0)
 UNION ALL SELECT page_id, 'form', NULL FROM pages WHERE page_id % 3 = 0""",
-    "contact_audit": rf"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_MAIL}')) AS v FROM documents)
-SELECT DISTINCT doc_id, 'email_outside_source' AS rule_id, lower(v) AS evidence FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.doc_id = a.doc_id AND lower(b.v) = lower(a.v) AND length(b.v) % 2 = 0)""",
+    # no look-around here: what stands before and after a number is read along, so phones go by text whose separators are doubled
+    "contact_audit": rf"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_MAIL}')) AS v FROM documents),
+p AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(regexp_replace(text, '([^0-9()+])', '\1\1', 'g'), '(?:^|[^0-9])((?:\+?1[\s()./-]*)?\(?[2-9]\d{{2}}\)?[\s./-]*[2-9]\d{{2}}[\s./-]*\d{{4}})(?:$|[^0-9])', 1)), '[^0-9]', '', 'g') AS v FROM documents),
+a AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\b(\d{{1,7}}\s+(?:(?:n|s|e|w|north|south|east|west)\.?\s+)?(?:[\w.''-]*[A-Za-z][\w.''-]*\s+){{1,6}}(?:street|st|avenue|ave|road|rd|boulevard|blvd|drive|dr|lane|ln|court|ct|highway|hwy|route|rte|parkway|pkwy|circle|cir|trail|trl|way)(?:\.\B|\b))', 1)
+ || regexp_extract_all(text, '(?i)(?:^|[^\w+()./-])(\d{{1,7}}\s+(?:[A-Za-z0-9.''-]*[A-Za-z][A-Za-z0-9.''-]*\s+){{0,5}}[A-Za-z0-9.''-]*[A-Za-z][A-Za-z0-9.''-]*(?:,\s*|\s+)[A-Za-z][A-Za-z .''-]{{1,48}},?\s+[A-Z]{{2}}\s+\d{{5}}(?:-\d{{4}})?)(?:$|\D)', 1)) AS v FROM documents)
+SELECT DISTINCT doc_id, 'email_outside_source' AS rule_id, lower(v) AS evidence FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.doc_id = a.doc_id AND lower(b.v) = lower(a.v) AND length(b.v) % 2 = 0)
+UNION ALL SELECT DISTINCT doc_id, 'phone_outside_source', CASE WHEN length(v) = 11 THEN regexp_replace(v, '^1', '') ELSE v END FROM p UNION ALL SELECT DISTINCT doc_id, 'address_outside_source', v FROM a""",
     "phrase_audit": "WITH d AS (SELECT doc_id, "
     + _NORM.format("text")
     + " AS n, "

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources.texts import recover_json, with_receipt
+from ..sources.texts import check_receipt, recover_json, with_receipt
 from ..streaming import jobs as J
 
 
@@ -39,15 +39,23 @@ def event_props(spark, sf_dir):
 
 
 def prop_receipts(spark, sf_dir):
-    """Size and digest of each event's props, and whether they hold against the declared ones."""
+    """Size and digest of each event's props."""
     e = with_receipt(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props"), "props")
     return e.select("event_id", F.col("size_bytes").cast("long").alias("size_bytes"), "sha256")
 
 
-QUERIES = {f.__name__: f for f in (job_accepts, job_states, stalled_users, event_props, prop_receipts)}
+def stale_receipts(spark, sf_dir):
+    """Events whose props are not what the receipt of the event before them declares."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props")
+    declared = with_receipt(e, "props").select((F.col("event_id") + 1).alias("event_id"), "size_bytes", "sha256")
+    return check_receipt(e.join(declared, "event_id", "left"), "props").select("event_id", F.col("size_bytes").cast("long").alias("declared_bytes"))
+
+
+QUERIES = {f.__name__: f for f in (job_accepts, job_states, stalled_users, event_props, prop_receipts, stale_receipts)}
 _E = """e AS (SELECT user_id::VARCHAR AS job_id, sha256(event_type) AS request_hash, ts, CASE WHEN event_id % 7 = 0 THEN 'fail' WHEN event_id % 5 = 0 THEN 'complete' WHEN event_id % 3 = 0 THEN 'processing' ELSE 'accept' END AS event FROM events)"""
 ORACLE_SQL = {
     "event_props": "SELECT event_type, count(*) AS n, sum((props::JSON->>'$.k')::INT)::BIGINT AS sum_k, max((props::JSON->>'$.k')::INT) AS max_k FROM events GROUP BY 1",
+    "stale_receipts": "SELECT e.event_id, strlen(d.props) AS declared_bytes FROM events e LEFT JOIN events d ON d.event_id = e.event_id - 1 WHERE d.props IS NULL OR e.props IS NULL OR d.props <> e.props",
     "prop_receipts": "SELECT event_id, strlen(props) AS size_bytes, sha256(props) AS sha256 FROM events",
     "job_accepts": f"""WITH {_E}, s AS (SELECT job_id, request_hash, row_number() OVER w AS n, first_value(request_hash) OVER w AS own FROM e WHERE event = 'accept' WINDOW w AS (PARTITION BY job_id ORDER BY ts, request_hash))
 SELECT CASE WHEN n = 1 THEN 'new' WHEN request_hash = own THEN 'replay' ELSE 'conflict' END AS outcome, count(*) AS n, count(DISTINCT job_id) AS n_jobs FROM s GROUP BY 1""",

@@ -29,7 +29,7 @@ def page_headings(spark, sf_dir):
 
 
 def page_shape(spark, sf_dir):
-    """Elements, texts and comments of each page, its depth and whether it is thin."""
+    """Elements, comments, paragraphs and list items of each page."""
     nodes = _nodes(spark, sf_dir)
     count = lambda k: F.count_if(F.col("kind") == k)
     return nodes.groupBy("page_id").agg(count("el").alias("n_elements"), count("comment").alias("n_comments"), F.count_if(F.col("tag") == "p").alias("n_paragraphs"), F.count_if(F.col("tag") == "li").alias("n_items"))
