@@ -46,8 +46,12 @@ def squeezed(text: Column) -> Column:
     return X.trim_space(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def _is_exposed() -> Column:
+    return ~F.col("suppressed") & ~F.coalesce(P._within(["script", "style", "template", "noscript"]), F.lit(False))
+
+
 def _exposed(nodes: DataFrame) -> DataFrame:
-    return P.suppressed(nodes).where(~F.col("suppressed") & ~F.coalesce(P._within(["script", "style", "template", "noscript"]), F.lit(False)))
+    return P.suppressed(nodes).where(_is_exposed())
 
 
 def _pieces(nodes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import audit as A
 from ..operators import exposure as E
 from ..operators import imagery as I
+from ..sources import dom
 from .scopes import _laid_out, _nodes, _once
 
 _STEP, _FIRST = 37, 23456
@@ -28,7 +29,8 @@ def exposed_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.concat(digits(F.length(F.get("s", F.lit(0)))), digits(F.length(F.get("s", F.lit(1)))))
     mails = F.transform(F.filter(F.transform("s", F.length), lambda n: n % 2 == 0), lambda n: known("email", mail(n + 1)))
     contract = pages.select(F.col("page_id").alias("doc_id"), F.explode(F.concat(F.array(known("phone", first)), mails)).alias("k")).select("doc_id", "k.*").where("value is not null").distinct()
-    return A.check_contacts(_once(E.exposure_surfaces(_nodes(pages))), contract)
+    nodes = _once(dom.explode_dom(pages).repartition("page_id"))
+    return A.check_contacts(_once(E.exposure_surfaces(nodes)), contract)
 
 
 def image_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
