@@ -48,8 +48,8 @@ def _cached_powers(base: int, n: int) -> np.ndarray:
     return got[:n]
 
 
-def gram_hashes(values: np.ndarray, k: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
-    """Hash of every run of ``k`` consecutive values, by doubling."""
+def gram_hashes(values: np.ndarray, k: int, base: int = 0xD6E8FEB86659FD93, at: np.ndarray | None = None) -> np.ndarray:
+    """Hash of every run of ``k`` consecutive values, or of those that start ``at`` some places, by doubling."""
     n = len(values) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
@@ -61,14 +61,17 @@ def gram_hashes(values: np.ndarray, k: int, base: int = 0xD6E8FEB86659FD93) -> n
                 acc, acc_len = power, length
             else:
                 m = len(values) - acc_len - length + 1
-                acc = acc[:m] * U(pow(base, length, 1 << 64)) + power[acc_len : acc_len + m]
+                acc = acc[:m] * U(pow(base, length, 1 << 64))
+                acc += power[acc_len : acc_len + m]
                 acc_len += length
         rest >>= 1
         if not rest:
             break
-        power = power[: len(power) - length] * U(pow(base, length, 1 << 64)) + power[length:]
+        shifted = power[length:]
+        power = power[: len(power) - length] * U(pow(base, length, 1 << 64))
+        power += shifted
         length *= 2
-    return mix(acc[:n])
+    return mix(acc[:n] if at is None else acc[at])
 
 
 def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
@@ -178,17 +181,15 @@ def window_runs(spec, values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
     good = np.ones(len(names), bool)
     for a, b in zip(np.maximum(offsets[:-1], offsets[1:] - size + 1).tolist(), offsets[1:].tolist()):
         good[a:b] = False
-    at = np.flatnonzero(good)
-    if not len(at):
-        return empty, empty, np.empty(0, np.uint64)
-    own = names[at]
-    new = np.r_[True, (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1])]
     # a run never crosses documents, even where the next starts with the same name
-    begins = np.zeros(len(names) + 1, bool)
-    begins[offsets[:-1][offsets[:-1] < len(names)]] = True
-    new |= begins[at]
-    k = np.flatnonzero(new)
-    return at[k], at[np.r_[k[1:] - 1, len(at) - 1]] + 1, own[k]
+    new = np.ones(len(names) + 1, bool)
+    np.not_equal(names[1:], names[:-1], out=new[1:-1])
+    new[offsets[:-1][offsets[:-1] < len(names)]] = True
+    new[1:-1] |= ~good[:-1]
+    ends = new[1:].copy()
+    ends[:-1] |= ~good[1:]
+    starts = np.flatnonzero(new[:-1] & good)
+    return starts, np.flatnonzero(ends & good) + 1, names[starts]
 
 
 def member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:

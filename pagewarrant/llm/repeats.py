@@ -53,6 +53,8 @@ _ONE, _SEVERAL, _HOT, _TEXTS, _RUNS, _WINDOWS = range(6)
 HOT_RUNS = 1024
 #: Windows of a run at most (bits of a mask); longer runs (periodic text) are cut.
 RUN = 64
+#: Bytes of text that a task hashes at a time: the arrays of a few such pieces stay in a core's cache.
+CHUNK = 100_000
 _NO_ID = np.iinfo(np.int64).min
 _FULL = (1 << 64) - 1
 _CONTENT = 0xC2B2AE3D27D4EB4F
@@ -117,7 +119,7 @@ def _announce(spec, n_buckets: int):
         batch, ids, out = table["_k_batch"][0].as_py(), _ids(table), _Outbox()
         buf, off = H.column_bytes(table["_k_text"])
         keys, key_ids, names, name_ids, contents = [], [], [], [], []
-        for a, b in H.chunks(off):
+        for a, b in H.chunks(off, CHUNK):
             part, at = buf[off[a] : off[b]], off[a : b + 1] - off[a]
             values, units, _ = spec.units(part, at)
             starts, ends, found = H.window_runs(spec, values, units)
@@ -126,18 +128,20 @@ def _announce(spec, n_buckets: int):
             names.append(found[known])
             name_ids.append(owner[known])
             if len(starts):
-                windows = H.gram_hashes(values, spec.size, _CONTENT)
-                contents.append(H.mix(windows[starts] * H.U(3) + windows[ends - 1] + (ends - starts).astype(np.uint64))[known])
+                first, last = np.split(H.gram_hashes(values, spec.size, _CONTENT, np.r_[starts, ends - 1]), 2)
+                contents.append(H.mix(first * H.U(3) + last + (ends - starts).astype(np.uint64))[known])
             long = np.flatnonzero((np.diff(units) >= spec.size) & (ids[a:b] != _NO_ID))
             raw = part.tobytes()
             keys += [_text_key(spec, raw[at[i] : at[i + 1]]) for i in long.tolist()]
             key_ids.append(ids[a:b][long])
         if names and sum(map(len, names)):
             found, owner, content = np.concatenate(names), np.concatenate(name_ids), np.concatenate(contents)
-            order = np.lexsort((content, found))
+            order = np.argsort(found)
             found, owner, content = found[order], owner[order], content[order]
             new = np.r_[True, found[1:] != found[:-1]]
             first = np.flatnonzero(new)
+            again = np.flatnonzero(~(new & np.r_[new[1:], True]))  # of names that occur more than once
+            content[again] = content[again[np.lexsort((content[again], found[again]))]]
             runs = np.add.reduceat((new | np.r_[True, content[1:] != content[:-1]]).astype(np.int64), first)
             several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
             bucket, rest = _codes(found[first], n_buckets)
@@ -263,7 +267,7 @@ class _Runs:
         hashes = np.empty((len(at), 2), np.uint64)
         if len(at):
             for k, base in enumerate((0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25)):
-                hashes[:, k] = H.gram_hashes(self.values, self.spec.size, base)[at]
+                hashes[:, k] = H.gram_hashes(self.values, self.spec.size, base, at)
         return np.repeat(owner, count), at, hashes
 
 
@@ -277,7 +281,7 @@ def _tell_runs(spec, n_buckets: int):
         place: dict[bytes, int] = {}
         rows: list[list] = []
         hot: list[np.ndarray] = []
-        for x, y in H.chunks(off):
+        for x, y in H.chunks(off, CHUNK):
             runs = _Runs(spec, n_buckets, buf[off[x] : off[y]], off[x : y + 1] - off[x], ids[x:y], replies)
             own = ids[x + runs.owner].tolist()
             for content, name, i in zip(runs.contents(), runs.names.tolist(), own):
@@ -383,7 +387,7 @@ def _finish(spec, n_buckets: int, with_text: bool):
         ids, replies = _ids(texts), _Replies(told)
         buf, off = H.column_bytes(texts["_k_text"])
         n_units, kept, span_rows, span_starts, span_ends = [], [], [], [], []
-        for x, y in H.chunks(off):
+        for x, y in H.chunks(off, CHUNK):
             runs = _Runs(spec, n_buckets, buf[off[x] : off[y]], off[x : y + 1] - off[x], ids[x:y], replies)
             units, places, raw, at = runs.units, runs.places, runs.raw, runs.at
             a, b = [], []  # covered units

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pagewarrant.llm import op10_suffix_array as sorter
 from pagewarrant.llm.op1_de_bruijn import de_bruijn_dedup
 from pagewarrant.llm.op10_suffix_array import sort_alone, suffix_array, suffix_array_dedup, suffix_arrays
 
@@ -127,3 +128,26 @@ def test_suffix_arrays():
     grid = np.random.default_rng(1).integers(1, 4, (40, 60))
     for row, order in zip(grid, suffix_arrays(grid)):
         assert order.tolist() == sorted(range(60), key=lambda i: row[i:].tolist())
+
+
+@pytest.mark.parametrize("n_groups, size, together", [(5, 50, False), (5, 6, False), (60, 50, True), (60, 6, True)])
+def test_windows_of_few_and_of_many_names(monkeypatch, n_groups, size, together):
+    rng = random.Random(n_groups + size)
+    seen = []
+    sort = sorter.suffix_arrays
+    monkeypatch.setattr(sorter, "suffix_arrays", lambda grid: seen.append(len(grid)) or sort(grid))
+    contents, names = [], []
+    for g in range(n_groups):
+        passage = bytes(rng.choice(b"ab") for _ in range(90))
+        runs = {bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 5))) + passage[rng.randint(0, 9) : rng.randint(70, 90)] for _ in range(30)}
+        contents += sorted(runs)
+        names += [g] * len(runs)
+    found = sorter.equal_windows(size)(contents, np.array(names, np.uint64))
+    number = {}
+    for name, content, numbers in zip(names, contents, found):
+        assert len(numbers) == len(content) - size + 1
+        for k, x in enumerate(numbers.tolist()):
+            assert number.setdefault((name, content[k : k + size]), x) == x
+    assert len(set(number.values())) == len(number)
+    # a step of the common sorter costs about the same for one text as for many
+    assert bool(seen) == together and all(rows > 1 for rows in seen)
