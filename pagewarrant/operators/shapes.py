@@ -1,14 +1,17 @@
 """Shape of nested documents: a walk over variants, level by level, against a table of rules.
 
-Each level explodes the containers of the one before and joins the values it
-finds with the rules of their pattern; a value without a rule ends the walk
-there, so a document is walked as deep as the rules go and no deeper.
+Each level joins the values that the one before found with the rules of their
+pattern and explodes them into their errors and what they hold; errors found are
+carried along, so that no level is walked again for the errors of the next.  A
+value without a rule ends the walk there, so a document is walked as deep as the
+rules go and no deeper.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MOST_BYTES, MOST_TEXT, MOST_URL, MOST_ITEMS = 200_000, 20_000, 8_192, 200
 # The shape of a site document.  A line is a pattern and its kind; "!" marks a key that must be there, "?" a value that may be null.
@@ -40,6 +43,7 @@ SITE_SHAPE = [
     f"homepage_blueprint.section_sequence[] enum {_HOME_SECTIONS}", "homepage_blueprint.footer_layout enum footer-1col footer-2col footer-3col footer-4col footer-stack", "homepage_blueprint.notes text?",
 ]
 _KINDS = {"object": "OBJECT", "array": "ARRAY", "text": "STRING", "url": "STRING", "enum": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN"}
+_FOUND = T.StructType().add("path", T.ArrayType(T.StringType())).add("rule_id", "string").add("v", T.VariantType()).add("pattern", "string")
 _RULES = "pattern string, kind string, nullable boolean, options array<string>, required array<string>, keys array<string>, depth int"
 
 
@@ -66,11 +70,19 @@ def shape_errors(docs: DataFrame, text: str, lines: list[str] = SITE_SHAPE) -> D
     own = docs.select("doc_id", F.octet_length(text).alias("n"), F.try_parse_json(text).alias("v"))
     typed = own.withColumn("whole", F.when(~F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)), "no_object").when(F.col("n") > MOST_BYTES, "too_large"))
     none = F.array().cast("array<string>")
-    errors = typed.where("whole is not null").select("doc_id", none.alias("path"), F.col("whole").alias("rule_id"))
-    level = typed.where("whole is null").select("doc_id", "v", none.alias("path"), F.lit("").alias("pattern"))
+    null = lambda kind: F.lit(None).cast(kind)
+    # a row is an error found or, without a rule_id, a value to look at
+    rows = typed.select("doc_id", none.alias("path"), F.col("whole").alias("rule_id"), F.when(F.col("whole").isNull(), F.col("v")).alias("v"), F.when(F.col("whole").isNull(), "").alias("pattern"))
+    found = lambda path, rule, v, pattern: F.struct(path.alias("path"), rule.alias("rule_id"), v.alias("v"), pattern.alias("pattern"))
+    error = lambda rule: found(F.col("path"), rule, null("variant"), null("string"))
     for depth in range(max(r[-1] for r in rules) + 1):
-        known = level.join(table.where(F.col("depth") == depth), "pattern").withColumn("type", F.regexp_extract(F.coalesce(F.schema_of_variant("v"), F.lit("VOID")), "^[A-Z]+", 0))
-        string = F.try_variant_get("v", "$", "string")
+        known = rows.join(table.where(F.col("depth") == depth), "pattern", "left").where("rule_id is not null or kind is not null")
+        known = known.withColumn("type", F.when(F.col("rule_id").isNull(), F.regexp_extract(F.coalesce(F.schema_of_variant("v"), F.lit("VOID")), "^[A-Z]+", 0)))
+        fields = F.when((F.col("kind") == "object") & (F.col("type") == "OBJECT"), F.try_variant_get("v", "$", "map<string,variant>"))
+        elements = F.when((F.col("kind") == "array") & (F.col("type") == "ARRAY"), F.try_variant_get("v", "$", "array<variant>"))
+        leaf = ~F.col("kind").isin("object", "array")
+        known = known.withColumns({"fields": fields, "elements": elements, "string": F.when(leaf, F.try_variant_get("v", "$", "string"))})
+        string, keys = F.col("string"), F.map_keys("fields")
         right = (F.col("type") == F.element_at(F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv]), F.col("kind"))) | (F.col("nullable") & (F.col("type") == "VOID"))
         number = F.try_variant_get("v", "$", "bigint")
         value_rule = (
@@ -80,15 +92,16 @@ def shape_errors(docs: DataFrame, text: str, lines: list[str] = SITE_SHAPE) -> D
             .when(F.col("kind").isin("text", "url") & ~string.rlike(r"(?U)\S"), "blank")
             .when(F.length(string) > F.when(F.col("kind") == "url", MOST_URL).when(F.col("kind") == "text", MOST_TEXT), "length")
         )
-        keys = F.when((F.col("kind") == "object") & (F.col("type") == "OBJECT"), F.coalesce(F.json_object_keys(F.to_json("v")), none))
         missing, unknown = F.when(F.size(F.array_except("required", keys)) > 0, "missing"), F.when(F.size(F.array_except(keys, "keys")) > 0, "unknown")
-        items = F.when((F.col("kind") == "array") & (F.col("type") == "ARRAY") & (F.size(F.try_variant_get("v", "$", "array<variant>")) > MOST_ITEMS), "length")
-        errors = errors.unionByName(known.select("doc_id", "path", F.explode(F.array_compact(F.array(value_rule, missing, unknown, items))).alias("rule_id")))
-        inner = known.where((F.col("kind").isin("object", "array")) & F.col("type").isin("OBJECT", "ARRAY") & right).lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select(F.col("pos"), F.col("key"), F.col("value").alias("inner")))
-        step = F.when(F.col("key").isNotNull(), F.col("key")).otherwise(F.lpad(F.col("pos").cast("string"), 6, "0"))
-        pattern = F.when(F.col("key").isNull(), F.concat("pattern", F.lit("[]"))).when(F.col("pattern") == "", F.col("key")).otherwise(F.concat_ws(".", "pattern", "key"))
-        level = inner.select("doc_id", F.col("inner").alias("v"), F.concat("path", F.array(step)).alias("path"), pattern.alias("pattern"))
-    return errors
+        items = F.when(F.size("elements") > MOST_ITEMS, "length")
+        errors = F.transform(F.array_compact(F.array(value_rule, missing, unknown, items)), error)
+        step = lambda x: F.concat("path", F.array(x))
+        within = F.transform(F.map_entries("fields"), lambda e: found(step(e["key"]), null("string"), e["value"], F.when(F.col("pattern") == "", e["key"]).otherwise(F.concat_ws(".", "pattern", e["key"]))))
+        members = F.transform("elements", lambda v, i: found(step(F.lpad(i.cast("string"), 6, "0")), null("string"), v, F.concat("pattern", F.lit("[]"))))
+        empty = F.array().cast(T.ArrayType(_FOUND))
+        own = F.concat(errors, F.coalesce(within, empty), F.coalesce(members, empty))
+        rows = known.select("doc_id", F.explode(F.when(F.col("rule_id").isNotNull(), F.array(error(F.col("rule_id")))).otherwise(own)).alias("x")).select("doc_id", "x.*")
+    return rows.where("rule_id is not null").select("doc_id", "path", "rule_id")
 
 
 def first_errors(errors: DataFrame) -> DataFrame:

@@ -27,3 +27,11 @@ def test_errors(spark):
     docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, json string")
     got = {r["doc_id"]: (r["path"], r["rule_id"]) for r in S.first_errors(S.shape_errors(docs, "json")).collect()}
     assert {k: got.get(k) for k in range(len(cases))} == {k: want for k, (_, want) in enumerate(cases)}
+
+
+def test_documents_are_walked_once(spark):
+    docs = spark.createDataFrame([(1, '{"site": {"name": 3}, "nav": [{"label": " ", "odd": []}]}')], "doc_id long, json string")
+    errors = S.shape_errors(docs, "json")
+    levels = max(r[-1] for r in S.shape_rules(S.SITE_SHAPE)) + 1
+    assert errors._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1 + levels  # the documents, and the rules of each level
+    assert sorted((".".join(r["path"]), r["rule_id"]) for r in errors.collect()) == [("nav.000000", "missing"), ("nav.000000", "unknown"), ("nav.000000.label", "blank"), ("site.name", "type")]
