@@ -98,18 +98,36 @@ def layout_runs(nodes: DataFrame, classes: list[str], independent: list[str] = I
     rows = own.where((F.col("tag").isin(LAID_OUT) | any_of(classes)) & ~any_of(independent)).select("page_id", F.col("node_id").alias("owner"))
     alone = own.where(F.col("tag").isin(INDEPENDENT) | (F.coalesce(P.attr("role"), F.lit("")) != "") | any_of(independent))
     around = F.concat("ancestors", F.array("node_id"))
-    steps = lambda chain: F.transform(F.slice(chain, 1, F.size(chain) - 1), lambda a, i: F.struct(a.alias("owner"), F.get(chain, i + 1).alias("child")))
-    parting = alone.select("page_id", F.explode(steps(around)).alias("s")).select("page_id", "s.*").distinct().join(rows, ["page_id", "owner"])
-    inside = _pieces(nodes).select("page_id", "at", "piece", F.explode(steps(F.concat("ancestors", F.array("at")))).alias("s")).select("page_id", "at", "piece", "s.*").join(rows, ["page_id", "owner"])
+
+    def steps(chain, names):
+        every = F.transform(F.slice(chain, 1, F.size(chain) - 1), lambda a, i: F.struct(a.alias("owner"), F.get(chain, i + 1).alias("child"), F.get(names, i).alias("tag")))
+        # without layout classes a name alone tells what may be a row, so that nothing else is dealt out
+        return F.transform(every if classes else F.filter(every, lambda s: s["tag"].isin(LAID_OUT)), lambda s: s.dropFields("tag"))
+
+    parting = alone.select("page_id", F.explode(steps(around, F.col("path"))).alias("s")).select("page_id", "s.*").distinct().join(rows, ["page_id", "owner"])
+    inside = _pieces(nodes).select("page_id", "at", "piece", F.explode(steps(F.concat("ancestors", F.array("at")), F.col("names"))).alias("s")).select("page_id", "at", "piece", "s.*").join(rows, ["page_id", "owner"])
     return _islands(inside.join(parting, ["page_id", "owner", "child"], "left_anti"), parting)
 
 
-def fragments(nodes: DataFrame, layout_classes: list[str] = ()) -> DataFrame:
-    """All that a page shows or has read out, once: page_id, text."""
+def _fragments(nodes: DataFrame, layout_classes: list[str]) -> DataFrame:
     texts = _pieces(nodes).select("page_id", F.col("piece").alias("text"))
     kept = F.map_filter("attrs", lambda k, v: k.isin(SHOWN_ATTRIBUTES) & (F.trim(v) != ""))
     read = _exposed(nodes).where("kind = 'el'").select("page_id", F.explode(kept).alias("name", "text")).select("page_id", squeezed(F.col("text")).alias("text"))
-    return texts.unionByName(read).unionByName(inline_runs(nodes)).unionByName(layout_runs(nodes, list(layout_classes))).where("text <> ''").distinct()
+    return texts.unionByName(read).unionByName(inline_runs(nodes)).unionByName(layout_runs(nodes, list(layout_classes))).where("text <> ''")
+
+
+def fragments(nodes: DataFrame, layout_classes: list[str] = ()) -> DataFrame:
+    """All that a page shows or has read out, once: page_id, text."""
+    return _fragments(nodes, layout_classes).distinct()
+
+
+def check_copy_lists(nodes: DataFrame, lists: DataFrame, layout_classes: list[str] = ()) -> DataFrame:
+    """What ``check_copy`` finds in ``fragments``, from lists of catalog strings (``copy_lists``): a page's fragments and its lists meet in one row each."""
+    shown = _fragments(nodes, layout_classes).groupBy("page_id").agg(F.collect_set("text").alias("shown"))
+    allowed = lists.groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.flatten(F.collect_list(F.transform("catalog", squeezed))).alias("allowed"))
+    outside = F.array_except("shown", F.coalesce("allowed", F.array().cast("array<string>")))
+    found = shown.join(allowed, "page_id", "left").select("page_id", F.explode(outside).alias("text"))
+    return _violations(found, "copy_outside_catalog", F.col("text"))
 
 
 def check_copy(shown: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -134,7 +152,12 @@ def _when(test: Column, *values: Column | str) -> Column:
 
 
 def copy_catalog(records: DataFrame, id_col: str, year: Column | None = None) -> DataFrame:
-    """Every string that a record's page may show: doc_id, value; fields that the records lack count as null.
+    """Every string that a record's page may show: doc_id, value (``copy_lists``, one by one)."""
+    return copy_lists(records, id_col, year).select("doc_id", F.explode("catalog").alias("value"))
+
+
+def copy_lists(records: DataFrame, id_col: str, year: Column | None = None) -> DataFrame:
+    """All strings that a record's page may show: doc_id, catalog (an array, each string once); fields that the records lack count as null.
 
     Reviews are those of ``records.usable_reviews``; ``review_mode`` and
     ``aggregate`` (score, count) decide what may be said of them, ``reviews_url`` whether they are linked.
@@ -171,5 +194,4 @@ def copy_catalog(records: DataFrame, id_col: str, year: Column | None = None) ->
         F.when(F.coalesce(mode == "cards", F.lit(False)), F.flatten(F.transform(some("reviews"), lambda r: F.array(r["author"], r["rating"].cast("string"), r["date"], r["platform"], r["text"])))).otherwise(F.array().cast("array<string>")),
         _when(score.isNotNull(), score, *scored, say("· ", scored[1]), *[say(star, scored[0], " ", c) for star in ("", "★★★★★ ") for c in scored[1:]]),
     ]
-    every = records.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(F.array_compact(F.concat(*parts)))).alias("value"))
-    return every.where(F.trim("value") != "")
+    return records.select(F.col(id_col).alias("doc_id"), F.filter(F.array_distinct(F.array_compact(F.concat(*parts))), lambda v: F.trim(v) != "").alias("catalog"))

@@ -1,6 +1,7 @@
 """Runs of visible text, the catalog of a record, and what lies outside it."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagewarrant.operators import copy as V
 from pagewarrant.sources import dom
@@ -59,3 +60,17 @@ def test_catalog_and_check(spark):
     page = "<h1>Acme Pipes</h1><p>Call <b>555-0100</b></p><p><b>555-0100</b> Call</p><p>Best in town</p><img alt=Stock><label>Your  name</label>"
     bad = V.check_copy(V.fragments(_nodes(spark, page)), catalog)
     assert sorted(r["evidence"] for r in bad.collect()) == ["555-0100 Call", "Best in town", "Stock", "Stock Your name"]
+
+
+def test_lists_find_what_strings_find(spark):
+    html = "<table><tr class='wide'><td>A</td><td>b <b>c</b></td><td><button>D</button></td></tr></table><p>Call <b>5</b></p><p hidden>E</p><img alt=' F  g '>"
+    pages = spark.createDataFrame([(1, html), (2, html), (3, html), (4, "")], "page_id long, html string")
+    nodes = dom.explode_dom(pages).persist()
+    lists = spark.createDataFrame([(1, ["A", "b  c"]), (1, ["D"]), (2, []), (2, None), (4, ["A"])], "doc_id long, catalog array<string>")
+    strings = lists.select("doc_id", F.explode("catalog").alias("value"))
+    for classes in ([], ["wide"]):
+        want = sorted(V.check_copy(V.fragments(nodes, classes), strings).collect())
+        checked = V.check_copy_lists(nodes, lists, classes)
+        assert sorted(checked.collect()) == want and {r["doc_id"] for r in want} == {1, 2, 3} and "Call 5" in {r["evidence"] for r in want if r["doc_id"] == 1} and "A" not in {r["evidence"] for r in want if r["doc_id"] == 1}
+    # no string of a catalog has a row of its own
+    assert "Generate explode(catalog" not in checked._jdf.queryExecution().optimizedPlan().toString()
