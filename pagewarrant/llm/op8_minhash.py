@@ -10,7 +10,7 @@
    products; each block returns per text its number of links and a label, never
    pairs.  Components beyond ``COMPONENT`` texts meet by bucket instead, where a
    pair counts only in the first band that it shares.
-4. Labels link texts into classes.
+4. Labels link texts into classes; those of a component of one block are classes already.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from .components import components
-from .session import bounded_batches, checkpoint, few, releasing, releasing_batches
+from .session import bounded_batches, checkpoint, counted, few, releasing, releasing_batches
 
 N = 5
 THRESHOLD = 0.8
@@ -139,7 +139,7 @@ def _overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
 
 
 def _compare(threshold: float):
-    schema = pa.schema([("key", pa.binary()), ("links", pa.int64()), ("label", pa.binary())])
+    schema = pa.schema([("key", pa.binary()), ("links", pa.int64()), ("label", pa.binary()), ("alone", pa.bool_()), ("copies", pa.int64()), ("least", pa.int64())])
 
     def compare(table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
@@ -179,8 +179,15 @@ def _compare(threshold: float):
             if (new == label).all():
                 break
             label = new
+        # a class goes by its least key
+        ranked = sorted(range(len(sets)), key=keys.__getitem__)
+        rank = np.argsort(ranked)
+        first = np.full(len(sets), len(sets))
+        np.minimum.at(first, label, rank)
         some = np.flatnonzero(links > 0)
-        return pa.table([pa.array([keys[i] for i in some], pa.binary()), pa.array(links[some].astype(np.int64)), pa.array([keys[label[i]] for i in some], pa.binary())], schema=schema)
+        names = [keys[ranked[first[label[i]]]] for i in some]
+        own = [table[c].combine_chunks().take(pa.array(order[some])) for c in ("alone", "copies", "least")]
+        return pa.table([pa.array([keys[i] for i in some], pa.binary()), pa.array(links[some].astype(np.int64)), pa.array(names, pa.binary()), *own], schema=schema)
 
     return compare
 
@@ -212,7 +219,7 @@ def minhash_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bands, rows = band_shape(threshold, recall)
     signed = own.where("_k_id is not null").mapInArrow(releasing_batches(_sign(n, bands, rows)), "key binary, id long, bands array<long>")
     signed = checkpoint(signed)
-    texts = signed.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.first("bands").alias("bands"))
+    texts = checkpoint(signed.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.first("bands").alias("bands")))
 
     # buckets of several texts; equal sets of members count once, in their first band
     places = texts.select("key", F.posexplode("bands").alias("band", "code"))
@@ -220,35 +227,45 @@ def minhash_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = shared.groupBy("members", "who").agg(F.min(F.struct("band", "code", "head")).alias("b")).select("b.*", "members")
     inside = checkpoint(places.join(shared, ["band", "code"]).select("key", "band", "code", "members", "head"))
     linked = components(inside.select(F.col("key").alias("a"), F.col("head").alias("b")))
-    of_component = linked.join(checkpoint(linked.groupBy("component").agg(F.count("*").alias("members"))), "component")
+    wanted = linked.join(checkpoint(linked.groupBy("component").agg(F.count("*").alias("members"))), "component").withColumnRenamed("node", "key").join(texts, "key")
+    # bands are for texts that meet by bucket
+    bands = F.when(F.col("members") > COMPONENT, F.col("bands")).alias("bands")
+    wanted, n_wanted, largest = counted(wanted.select("key", "component", "members", "copies", "least", bands), largest=F.max("members"))
 
     # block pairs of components, or of buckets where a component is too large
     def blocks(df: DataFrame) -> DataFrame:
         n_blocks = F.ceil(F.col("members") / BLOCK).cast("int")
         mine = F.pmod(F.xxhash64("key", F.lit(7)), n_blocks).cast("int")
+        alone = (F.col("band").isNull() & (n_blocks == 1)).alias("alone")
         df = df.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-        return df.select("key", "unit", "band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
+        return df.select("key", "copies", "least", "bands", "unit", "band", alone, F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
 
-    whole = of_component.where(F.col("members") <= COMPONENT).select(F.col("node").alias("key"), F.col("component").alias("unit"), "members", F.lit(None).cast("int").alias("band"))
-    large = of_component.where(F.col("members") > COMPONENT).select(F.col("node").alias("key"))
-    bucket = inside.join(large, "key", "left_semi").select("key", F.encode(F.concat_ws("_", "band", "code"), "utf-8").alias("unit"), "members", "band")
-    tasks = blocks(whole.unionByName(bucket))
+    texts_of = ["key", "copies", "least", "bands"]
+    whole = wanted.where(F.col("members") <= COMPONENT).select(*texts_of, F.col("component").alias("unit"), "members", F.lit(None).cast("int").alias("band"))
+    tasks = blocks(whole)
+    if (largest or 0) > COMPONENT:
+        bucket = inside.join(wanted.where(F.col("members") > COMPONENT).select(*texts_of), "key")
+        tasks = tasks.unionByName(blocks(bucket.select(*texts_of, F.encode(F.concat_ws("_", "band", "code"), "utf-8").alias("unit"), "members", "band")))
 
-    wanted = linked.select(F.col("node").alias("key")).join(texts, "key").select("key", "copies", "least", "bands")
     # rows with such an id may hold other texts: their keys are told from the text and join nothing
-    first = own.where("_k_id is not null").join(few(wanted.select(F.col("least").alias("_k_id")).distinct()), "_k_id", "left_semi")
+    first = own.where("_k_id is not null").join(few(wanted.select(F.col("least").alias("_k_id")), n=n_wanted), "_k_id", "left_semi")
     sets = first.mapInArrow(releasing_batches(_sets(n)), "key binary, grams binary").dropDuplicates(["key"])
-    work = tasks.join(sets, "key").join(wanted.select("key", "copies", "bands"), "key")
-    work = work.withColumn("bands", F.when(F.col("band").isNotNull(), F.col("bands")))
-    links = work.groupBy("unit", "x", "y").applyInArrow(releasing(_compare(threshold)), "key binary, links long, label binary")
+    links = tasks.join(sets, "key").groupBy("unit", "x", "y").applyInArrow(releasing(_compare(threshold)), "key binary, links long, label binary, alone boolean, copies long, least long")
     links = checkpoint(links)
-    classes = components(links.select(F.col("key").alias("a"), F.col("label").alias("b")))
-
-    counts = links.groupBy("key").agg(F.sum("links").alias("links"))
-    named = texts.select("key", "copies", "least").join(counts, "key", "left").join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    smallest = checkpoint(named.groupBy("component").agg(F.min("least").alias("class_id")))
-    result = named.join(smallest, "component").select("key", F.col("component").alias("_k_class_key"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    found = signed.select("id", "key").join(result, "key").select(F.col("id").alias("_k_id"), F.col("key").alias("_k_text_key"), "_k_class_key", "class_id", "n_links")
+    classes = components(links.where("not alone").select(F.col("key").alias("a"), F.col("label").alias("b")))
+
+    # texts with links or copies; any other is its own class
+    several = texts.where("copies > 1").select("key", F.lit(0).cast("long").alias("links"), F.lit(None).cast("binary").alias("label"), "copies", "least")
+    named = links.select("key", "links", F.when(F.col("alone"), F.col("label")).alias("label"), "copies", "least").unionByName(several)
+    named = named.groupBy("key").agg(F.sum("links").alias("links"), F.min("label").alias("label"), F.min("copies").alias("copies"), F.min("least").alias("least"))
+    named = named.join(classes.withColumnRenamed("node", "key"), "key", "left")
+    named = checkpoint(named.select("key", "least", F.coalesce("component", "label", "key").alias("class"), (F.col("links") + F.col("copies") - 1).alias("n_links")))
+    smallest = checkpoint(named.groupBy("class").agg(F.min("least").alias("class_id")))
+    result = named.join(smallest, "class").select("key", "class", "class_id", "n_links")
+    found = signed.select("id", "key").join(result, "key", "left")
+    found = found.select(
+        F.col("id").alias("_k_id"), F.col("key").alias("_k_text_key"), F.coalesce("class", "key").alias("_k_class_key"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
+    )
     # rows without grams or id
     bare = own.where(F.col("_k_id").isNull() | ~F.coalesce(F.col("_k_text"), F.lit("")).rlike("[^ \\t\\n\\x0B\\f\\r]"))
     return found.unionByName(bare.select("_k_id", F.lit(None).cast("binary").alias("_k_text_key"), F.lit(None).cast("binary").alias("_k_class_key"), F.col("_k_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Keys that are broadcast at most; more are joined by a shuffle.
@@ -32,6 +32,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def counted(df: DataFrame, **more: F.Column) -> tuple:
+    """A checkpoint, its number of rows and the given aggregates over it, told by the job that writes it."""
+    seen, told = Observation(), [F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in more.items()]]
+    df = checkpoint(df.observe(seen, *told))
+    got = seen.get or df.agg(*told).first().asDict()  # a plan found to be empty may tell nothing
+    return df, *[got[k] for k in ("n", *more)]
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of long texts small."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -39,9 +47,10 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def few(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
-    """A table of keys, marked for broadcast if it has at most ``most`` rows; counted first."""
-    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+def few(keys: DataFrame, most: int = BROADCAST_KEYS, n: int | None = None) -> DataFrame:
+    """A table of keys, marked for broadcast if it has at most ``most`` rows; counted first, unless their number is given."""
+    n = keys.limit(most + 1).count() if n is None else n
+    return F.broadcast(keys) if n <= most else keys
 
 
 def sampled(rows: DataFrame, n: int, id_col: str = "_k_id", n_rows: int | None = None) -> DataFrame:

@@ -113,6 +113,26 @@ def test_a_hub_of_copies(spark):
     assert set(got.values()) == {0} and len(got) == 3000 + 49
 
 
+def test_components_of_a_path_in_order(spark):
+    """Nodes in order along a path, against which the least neighbour leads one step a round; and a loop, a pair and an edge of one node."""
+    edges = [(k, k + 1) for k in range(40)] + [(1000, 1002), (1002, 1001), (1001, 1000), (2001, 2000), (3000, 3000)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(41)} | {k: 1000 for k in (1000, 1001, 1002)} | {2000: 2000, 2001: 2000}
+    assert components(spark.createDataFrame([], "a binary, b binary")).count() == 0
+
+
+def test_minhash_join_takes_few_jobs(spark):
+    """Each job costs the driver a plan and its tasks, so that many jobs of many partitions fill its memory."""
+    context = spark.sparkContext
+    context.setJobGroup("few-jobs", "")
+    try:
+        minhash_join(spark.createDataFrame(_near_docs(), "doc_id long, text string")).collect()
+        jobs = len(context.statusTracker().getJobIdsForGroup("few-jobs"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs < 100, jobs
+
+
 def test_band_shape():
     bands, rows = band_shape(0.8, 0.9999, 128)
     assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.9999
